@@ -62,7 +62,11 @@ def label_blocks(
     local = scratch.write(local.unionByName(loose), "tile-labels")
     pairs = _touching(local, owner, tile)
     if tie:
-        tied = local.filter(F.col(tie) != F.col(local_out))
+        # Of stones that share a value, all but one at most carry it as another's id.
+        shared = local.filter(F.col(tie) != F.col("id")).select("board_id", tie).distinct()
+        tied = local.filter(F.col(tie) != F.col(local_out)).join(
+            shared, ["board_id", tie], "left_semi"
+        )
         pairs = pairs.union(
             tied.select("board_id", F.col(tie).alias("u"), F.col(local_out).alias("v"))
         )

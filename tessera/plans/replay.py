@@ -68,21 +68,20 @@ def replay(
     valid = F.col("outcome").isNull()
     on_board = F.col("x").isNotNull() & F.col("y").isNotNull()
     play = rule.filter(valid & on_board).drop("outcome").withColumn("pinned", F.lit(False))
+    job = _Job(scratch, fold_limit, tile, stones is not None)
     if stones is None:
         stones = play.limit(0).withColumn("bid", F.col("id"))
     given = stones.select("board_id", "id", "x", "y", "uid", "bid").withColumn(
         "pinned", F.lit(False)
     )
     off_board = given.filter(~on_board)
-    state, results = _advance(
-        _Job(scratch, fold_limit, tile), given.filter(on_board).select(*_STATE), play
-    )
+    state, results = _advance(job, given.filter(on_board).select(*_STATE), play)
     loose = rule.filter(valid & ~on_board)
     entered = loose.select(
         "board_id", "id", "x", "y", "uid", F.col("id").alias("bid"), F.lit(False).alias("pinned")
     )
     everything = state.unionByName(entered).unionByName(off_board).drop("pinned")
-    final = label_blocks(everything, tie="bid", tile=tile, scratch=scratch)
+    final = label_blocks(everything, **job.labelling("bid"))
     refused = rule.filter(~valid)
     extra = refused.unionByName(loose.withColumn("outcome", F.lit("placed"))).select(
         *_MOVE, "x", "y", "uid", "outcome",
@@ -96,6 +95,16 @@ class _Job(NamedTuple):
     scratch: Scratch
     fold_limit: int
     tile: int
+    may_be_cut: bool
+
+    def labelling(self, tie: str) -> dict:
+        """Arguments of ``label_blocks``.  Without given stones no block is cut, so
+        connected cells alone tell the blocks and every stone entered with its id."""
+        return {
+            "tie": tie if self.may_be_cut else None,
+            "tile": self.tile,
+            "scratch": self.scratch,
+        }
 
 
 def _advance(job: _Job, stones: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +123,7 @@ def _advance(job: _Job, stones: DataFrame, moves: DataFrame) -> tuple[DataFrame,
         stones.withColumn("arrived", F.lit(None).cast("long")).unionByName(
             first.withColumn("bid", F.col("id")).withColumn("arrived", F.col("id"))
         ),
-        out="label", tie="bid", tile=job.tile, scratch=job.scratch,
+        out="label", **job.labelling("bid"),
     )
     block = ["board_id", "label"]
     alive_labels = (
@@ -137,8 +146,7 @@ def _advance(job: _Job, stones: DataFrame, moves: DataFrame) -> tuple[DataFrame,
 
     regions = write(
         label_blocks(
-            dead.drop("alive"), owner=None, out="region", tie="label",
-            tile=job.tile, scratch=job.scratch,
+            dead.drop("alive"), owner=None, out="region", **job.labelling("label")
         ),
         "regions",
     )
@@ -276,7 +284,7 @@ def _single_moves(job: _Job, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     arrives = F.col("kind").isin(tasks.MOVE, tasks.WALL_MOVE)
     stones = label_blocks(
         events.filter(~arrives).select(*_STATE).dropDuplicates(_MOVE),
-        out="_now", tie="bid", tile=job.tile, scratch=job.scratch,
+        out="_now", **job.labelling("bid"),
     )
     now = stones.withColumn("_entry", F.col("bid")).drop("bid").withColumnRenamed("_now", "bid")
     moves = events.filter(arrives).select(
