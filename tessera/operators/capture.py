@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import adjacent
-from tessera.operators.blocks import BLOCK, block_sizes, dead_related_blocks, liberties
+from tessera.operators.blocks import (
+    BLOCK,
+    block_sizes,
+    dead_related_blocks,
+    liberties,
+    merge_last,
+)
 from tessera.operators.ingest import CELL, constraint_reason
 from tessera.operators.regions import Split, split_by
+from tessera.scratch import Scratch
 
 
 def capture_last(df: DataFrame) -> Split:
@@ -23,6 +32,28 @@ def suicide_last(df: DataFrame) -> Split:
     return split_by(df, dead.select(*BLOCK), BLOCK)
 
 
+class Settled(NamedTuple):
+    """What the last stone of each board leads to, step by step."""
+
+    merged: DataFrame
+    captured: DataFrame
+    suicided: DataFrame
+    final: DataFrame
+
+
+def settle_last(df: DataFrame, scratch: Scratch | None = None) -> Settled:
+    """Merge, capture and suicide for the last stone of every board, in that order.
+
+    Each step reads its input several times, so the states between are written.
+    """
+    scratch = scratch or Scratch(df.sparkSession)
+    merged = scratch.write(merge_last(df), "merged")
+    after = capture_last(merged)
+    kept = scratch.write(after.kept, "kept")
+    end = suicide_last(kept)
+    return Settled(merged, after.removed, end.removed, end.kept)
+
+
 def cell_context(stones: DataFrame, cells: DataFrame) -> DataFrame:
     """For each distinct cell its occupied neighbours and whether it is ``taken``.
 

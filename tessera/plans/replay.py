@@ -54,15 +54,16 @@ def replay(
     stones: DataFrame | None = None,
     fold_limit: int = FOLD_LIMIT,
     tile: int = TILE,
+    scratch: Scratch | None = None,
 ) -> Replay:
     """Play ``moves`` (``board_id, id, x, y, uid``) on top of ``stones`` (none).
 
     Move ids are unique per board and above the ids and labels of ``stones``.  A
     block is labelled with the smallest entry label of its stones, a new stone
     entering with its id.  Blocks of ``stones`` that a region delete has cut count
-    as one block while they share a label.
+    as one block while they share a label.  Both results read tables of ``scratch``.
     """
-    scratch = Scratch(moves.sparkSession)
+    scratch = scratch or Scratch(moves.sparkSession)
     moves = moves.select(*_MOVE, "x", "y", "uid")
     rule = moves.withColumn("outcome", constraint_reason())
     valid = F.col("outcome").isNull()

@@ -5,87 +5,116 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BODY = "try_parse_json(body)"
+def _as_rows(df: DataFrame, keep: list[str], fields: dict[str, Column]) -> DataFrame:
+    """Select ``keep`` and the computed fields, each computed once per row.
+
+    The fields pass through ``inline``: filters on them are not copied below it,
+    where every use would repeat the whole parsing expression.
+    """
+    row = F.struct(*[c.alias(name) for name, c in fields.items()])
+    return df.select(*keep, F.inline(F.array(row)))
 
 
-def _json_int(field: str) -> tuple[Column, Column]:
-    """``(value, acceptable)`` of an integer field, its name matched in any case."""
-    spellings = [field, field.capitalize(), field.upper()]
-    value: Column | None = None
-    kind: Column | None = None
-    for name in dict.fromkeys(spellings):
-        v = F.expr(f"try_variant_get({_BODY}, '$.{name}', 'bigint')")
-        k = F.expr(f"schema_of_variant(try_variant_get({_BODY}, '$.{name}', 'variant'))")
-        value = v if value is None else F.when(kind.isNotNull(), value).otherwise(v)
-        kind = k if kind is None else F.coalesce(kind, k)
-    ok = kind.isNull() | (kind == "VOID") | ((kind == "BIGINT") & value.isNotNull())
-    return F.coalesce(value, F.lit(0).cast("long")), ok
+def _spellings(field: str) -> list[str]:
+    return list(dict.fromkeys([field, field.capitalize(), field.upper()]))
 
 
 def parse_moves(df: DataFrame) -> DataFrame:
     """Parse ``body`` into ``x,y,uid`` plus ``code`` (0 accepted, -1 rejected).
 
-    Absent and null fields are 0 and unknown fields are ignored.  A string, a
-    fraction, an exponent, a boolean or an over-long integer rejects the record, as
-    does anything that is neither an object nor null.  A repeated key also rejects
-    (unless the session sets ``spark.sql.variant.allowDuplicateKeys``).
+    Absent and null fields are 0, unknown fields are ignored and the case of field
+    names does not matter.  A string, a fraction, an exponent, a boolean or an
+    over-long integer rejects the record, as does anything that is neither an object
+    nor null.  A repeated key also rejects (unless the session sets
+    ``spark.sql.variant.allowDuplicateKeys``).
     """
-    top = F.expr(f"schema_of_variant({_BODY})")
-    fields = {f: _json_int(f) for f in ("x", "y", "uid")}
-    ok = top.isNotNull() & (top.startswith("OBJECT<") | (top == "VOID"))
-    for _, field_ok in fields.values():
-        ok = ok & field_ok
+    fields = ("x", "y", "uid")
     keep = [c for c in df.columns if c != "body"]
-    return df.select(
-        *keep,
-        F.when(ok, F.lit(0)).otherwise(F.lit(-1)).cast("long").alias("code"),
-        *[F.when(ok, value).alias(f) for f, (value, _) in fields.items()],
-    )
-
 
-def _query_value(key: str) -> tuple[Column, Column]:
-    """``(present, value)`` of the first occurrence of a key in ``qs``."""
+    def found(field: str) -> str:
+        paths = [f"try_variant_get(_v, '$.{n}', 'variant')" for n in _spellings(field)]
+        return f"coalesce({', '.join(paths)}) as _{field}"
 
-    def name(p: Column) -> Column:
-        return F.try_url_decode(F.regexp_extract(p, "^([^=]*)", 1))
-
-    pairs = F.filter(F.split(F.coalesce("qs", F.lit("")), "&"), lambda p: name(p) == key)
-    value = F.try_url_decode(F.regexp_extract(F.get(pairs, F.lit(0)), "^[^=]*=?(.*)$", 1))
-    return F.size(pairs) > 0, value
+    parsed = df.selectExpr(*keep, "try_parse_json(body) as _v")
+    split = parsed.selectExpr(
+        *keep, "schema_of_variant(_v) as _top", *[found(f) for f in fields]
+    )
+    typed = split.selectExpr(
+        *keep,
+        "_top",
+        *[f"schema_of_variant(_{f}) as _t{f}" for f in fields],
+        *[f"try_variant_get(_{f}, '$', 'bigint') as _n{f}" for f in fields],
+    )
+    ok = F.coalesce(F.col("_top").startswith("OBJECT<") | (F.col("_top") == "VOID"), F.lit(False))
+    for f in fields:
+        kind = F.coalesce(f"_t{f}", F.lit("VOID"))
+        ok = ok & ((kind == "VOID") | ((kind == "BIGINT") & F.col(f"_n{f}").isNotNull()))
+    judged = typed.withColumn("_ok", ok)
+    zero = F.lit(0).cast("long")
+    return _as_rows(
+        judged,
+        keep,
+        {"code": F.when(F.col("_ok"), 0).otherwise(-1).cast("long")}
+        | {f: F.when(F.col("_ok"), F.coalesce(f"_n{f}", zero)) for f in fields},
+    )
 
 
 def parse_rect_requests(df: DataFrame) -> DataFrame:
     """Parse ``qs`` into ``x1,y1,x2,y2`` plus ``code`` and ``msg``.
 
     ``msg`` is the first failing check in the order x1, x2, y1, y2 (present, then an
-    integer of optional sign and decimal digits), ``x1<x2``, ``y1<y2``; the bounds
-    are NULL unless the request passes.
+    integer of optional sign and decimal digits), ``x1<x2``, ``y1<y2``.  The first
+    value of a repeated key counts.  The bounds are NULL unless the request passes.
     """
-    names = ("x1", "x2", "y1", "y2")
+    keep = [c for c in df.columns if c != "qs"]
     bad_escape = "%(?![0-9A-Fa-f]{2}).{0,2}"
+    checks = {
+        "x1": "x1 not int",
+        "x2": "x2 should be int",
+        "y1": "y1 should be int",
+        "y2": "y2 should be int",
+    }
+    at = {name: i for i, name in enumerate(checks)}
+
+    def decoded(p: Column) -> Column:
+        key = F.try_url_decode(F.regexp_extract(p, "^([^=]*)", 1))
+        value = F.try_url_decode(F.regexp_extract(p, "^[^=]*=?(.*)$", 1))
+        return F.struct(key.alias("k"), value.alias("v"))
+
+    def whole(text: Column) -> Column:
+        return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
+
+    pairs = df.withColumn(
+        "_p", F.transform(F.split(F.coalesce("qs", F.lit("")), "&"), decoded)
+    )
+    names = F.array(*[F.lit(n) for n in checks])
+    hits = pairs.withColumn(
+        "_h", F.transform(names, lambda n: F.get(F.filter("_p", lambda p: p["k"] == n), F.lit(0)))
+    )
+    numbers = hits.withColumn("_n", F.transform("_h", lambda h: whole(h["v"])))
+
+    def number(name: str) -> Column:
+        return F.col("_n")[at[name]]
+
     msg = F.when(F.col("qs").contains(";"), F.lit("invalid semicolon separator in query")).when(
         F.col("qs").rlike(bad_escape),
-        F.concat(
-            F.lit('invalid URL escape "'), F.regexp_extract("qs", bad_escape, 0), F.lit('"')
-        ),
+        F.concat(F.lit('invalid URL escape "'), F.regexp_extract("qs", bad_escape, 0), F.lit('"')),
     )
-    number = {}
-    for name in names:
-        present, text = _query_value(name)
-        digits = text.rlike("^[+-]?[0-9]+$")
-        number[name] = F.when(digits, text.try_cast("bigint"))
-        wrong = "x1 not int" if name == "x1" else f"{name} should be int"
-        msg = msg.when(~present, F.lit(f"no {name}")).when(number[name].isNull(), F.lit(wrong))
-    msg = msg.when(number["x1"] >= number["x2"], F.lit("x1<x2"))
-    msg = msg.when(number["y1"] >= number["y2"], F.lit("y1<y2"))
-    keep = [c for c in df.columns if c != "qs"]
-    checked = df.select(*keep, msg.alias("_m"), *[number[n].alias(f"_{n}") for n in names])
+    for name, wrong in checks.items():
+        msg = msg.when(F.col("_h")[at[name]].isNull(), F.lit(f"no {name}"))
+        msg = msg.when(number(name).isNull(), F.lit(wrong))
+    msg = msg.when(number("x1") >= number("x2"), F.lit("x1<x2"))
+    msg = msg.when(number("y1") >= number("y2"), F.lit("y1<y2"))
+    judged = numbers.withColumn("_m", msg)
     good = F.col("_m").isNull()
-    return checked.select(
-        *keep,
-        F.when(good, F.lit(0)).otherwise(F.lit(-1)).cast("long").alias("code"),
-        F.coalesce("_m", F.lit("OK")).alias("msg"),
-        *[F.when(good, F.col(f"_{n}")).alias(n) for n in ("x1", "y1", "x2", "y2")],
+    return _as_rows(
+        judged,
+        keep,
+        {
+            "code": F.when(good, 0).otherwise(-1).cast("long"),
+            "msg": F.coalesce("_m", F.lit("OK")),
+        }
+        | {n: F.when(good, number(n)) for n in ("x1", "y1", "x2", "y2")},
     )
 
 
