@@ -33,8 +33,10 @@ def neighbours(df: DataFrame, n: int = 4, distinct: bool = False) -> DataFrame:
 def tile_of(v: Column | str, tile: int = TILE) -> Column:
     """Tile index of a coordinate; tile 0 is centred on the origin."""
     c = F.col(v) if isinstance(v, str) else v
-    half = tile // 2
-    return F.floor((c + F.lit(half)) / F.lit(tile)).cast("long")
+    moved = (c + F.lit(tile // 2)).cast("long")
+    if tile & (tile - 1) == 0:
+        return F.shiftright(moved, tile.bit_length() - 1)
+    return F.floor(moved / F.lit(tile)).cast("long")
 
 
 def tile_offset(v: Column | str, tile: int = TILE) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ def label_blocks(
     tie: str | None = None,
     tile: int = TILE,
     scratch: Scratch | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Add ``out``: the smallest ``id`` of each cell's 4-connected component.
 
@@ -35,6 +36,8 @@ def label_blocks(
     which holds at most ``tile * tile`` cells however large its board, and only the
     pairs of tile components that touch across a tile edge are then joined up in
     rounds.  A stone without coordinates is a component of its own.
+
+    The result reads intermediate tables; ``written`` makes it a table of its own.
     """
     seed = tie or "id"
     scratch = scratch or Scratch(df.sparkSession)
@@ -71,13 +74,14 @@ def label_blocks(
             tied.select("board_id", F.col(tie).alias("u"), F.col(local_out).alias("v"))
         )
     pairs = scratch.write(pairs.distinct(), "touching")
-    label = F.col(local_out)
-    if not pairs.isEmpty():
-        root = smallest_of_component(pairs, scratch).withColumnRenamed("u", local_out)
-        local = local.join(root, ["board_id", local_out], "left")
-        label = F.coalesce("v", local_out)
     kept = [c for c in rest if c != out]
-    return local.select(*kept, label.alias(out))
+    if pairs.isEmpty():
+        return local.select(*kept, F.col(local_out).alias(out))
+    root = smallest_of_component(pairs, scratch).withColumnRenamed("u", local_out)
+    labelled = local.join(root, ["board_id", local_out], "left").select(
+        *kept, F.coalesce("v", local_out).alias(out)
+    )
+    return scratch.write(labelled, "labels") if written else labelled
 
 
 def _touching(local: DataFrame, owner: str | None, tile: int) -> DataFrame:
@@ -188,11 +192,48 @@ def weighted_liberties(df: DataFrame) -> DataFrame:
     )
 
 
-def open_blocks(df: DataFrame, occupied: DataFrame | None = None) -> DataFrame:
+def sides(df: DataFrame, test) -> list[Column]:
+    """``test(neighbour)`` for the four cells around each stone.
+
+    ``neighbour(column)`` reads a column of the adjacent stone, NULL if the cell is
+    empty.  Stones are ordered along their row and their column, so every stone is
+    shuffled twice and none is copied; a row or column is bounded by the board.
+    """
+
+    def looking(along: str, across: str, step: int):
+        order = Window.partitionBy("board_id", across).orderBy(along)
+        read = F.lag if step < 0 else F.lead
+
+        def neighbour(column: str) -> Column:
+            return F.when(read(along).over(order) == F.col(along) + step, read(column).over(order))
+
+        return neighbour
+
+    return [
+        test(looking(along, across, step))
+        for along, across in (("x", "y"), ("y", "x"))
+        for step in (-1, 1)
+    ]
+
+
+def any_of(tests: list[Column]) -> Column:
+    """True if one of the tests is true; NULL counts as false."""
+    return F.coalesce(*[F.when(t, True) for t in tests], F.lit(False))
+
+
+def open_blocks(df: DataFrame) -> DataFrame:
     """Distinct blocks with at least one liberty."""
-    near = neighbours(df.select(*BLOCK, "x", "y"))
-    taken = (df if occupied is None else occupied).select(*CELL)
-    return near.join(taken, CELL, "left_anti").select(*BLOCK).distinct()
+    placed = df.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    loose = df.filter(F.col("x").isNull() | F.col("y").isNull())
+    empty = sides(placed, lambda near: near("bid").isNull())
+    free = placed.select(*BLOCK, any_of(empty).alias("_free")).filter("_free")
+    return free.select(*BLOCK).union(loose.select(*BLOCK)).distinct()
+
+
+def open_among(some: DataFrame, occupied: DataFrame) -> DataFrame:
+    """``open_blocks`` of a few blocks' stones on boards occupied by ``occupied``."""
+    near = neighbours(some.select(*BLOCK, "x", "y"))
+    return near.join(occupied.select(*CELL), CELL, "left_anti").select(*BLOCK).distinct()
 
 
 def dead_blocks(df: DataFrame) -> DataFrame:
@@ -208,7 +249,7 @@ def sweep(df: DataFrame) -> Split:
 def dead_related_blocks(df: DataFrame) -> DataFrame:
     """Related blocks of the last stone without liberties; only these are examined."""
     related = related_blocks(df)
-    alive = open_blocks(df.join(related.select(*BLOCK), BLOCK, "left_semi"), occupied=df)
+    alive = open_among(df.join(related.select(*BLOCK), BLOCK, "left_semi"), df)
     return related.join(alive, BLOCK, "left_anti")
 
 

@@ -2,7 +2,9 @@
 
 Boxes and stones meet on tiles of the board, never on the board id alone, so a board
 or a popular area that holds a large share of the data spreads over many tasks.
-Identical boxes are answered once and joined back to their requests.
+Identical boxes are answered once and joined back to their requests.  Tiles come in
+levels; a box uses the level on which it spans at most nine tiles each way, so neither
+a tiny nor a huge box meets many tiles or many stones outside it.
 """
 
 from __future__ import annotations
@@ -12,16 +14,20 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geometry import tile_of
 from tessera.operators.ingest import CELL
-from tessera.schema import COORD_MAX, COORD_MIN, TILE
+from tessera.schema import COORD_MAX, COORD_MIN
 
 BOX = ["board_id", "x1", "y1", "x2", "y2"]
-COARSE = 16
-"""Fine tiles per coarse tile edge; boxes at least this many fine tiles long use
-coarse tiles, so even a box over the whole coordinate range meets only a few hundred."""
+STEP = 8
+"""Each tile level is this much coarser than the one before."""
+FINEST = 8
 
 
-def _levels(tile: int) -> tuple[tuple[int, int], ...]:
-    return ((0, tile), (1, tile * COARSE))
+def _levels(tile: int) -> list[int]:
+    """Tile edges, finest first, until one step more would exceed the board."""
+    edges = [tile]
+    while edges[-1] * STEP < COORD_MAX - COORD_MIN + 1:
+        edges.append(edges[-1] * STEP)
+    return edges
 
 
 def _boxes(rects: DataFrame) -> DataFrame:
@@ -36,41 +42,53 @@ def _box_tiles(boxes: DataFrame, tile: int) -> DataFrame:
         *BOX, *[v.alias(f"_{k}") for k, v in (lo | hi).items()]
     ).filter("_x1 <= _x2 and _y1 <= _y2")
     extent = F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1"))
-    clip = clip.withColumn("_lvl", (extent >= tile * COARSE).cast("int"))
+    edges = _levels(tile)
+    level = F.lit(len(edges) - 1)
+    for i in reversed(range(len(edges) - 1)):
+        level = F.when(extent < edges[i] * STEP, i).otherwise(level)
+    clip = clip.withColumn("_lvl", level.cast("int"))
 
     def per_level(make) -> Column:
-        (_, fine), (_, coarse) = _levels(tile)
-        return F.when(F.col("_lvl") == 0, make(fine)).otherwise(make(coarse))
+        out = make(edges[-1])
+        for i in reversed(range(len(edges) - 1)):
+            out = F.when(F.col("_lvl") == i, make(edges[i])).otherwise(out)
+        return out
 
     def span(a: str, b: str) -> Column:
         return per_level(lambda t: F.sequence(tile_of(a, t), tile_of(b, t)))
 
+    clip = clip.withColumns(
+        {"_sx": span("_x1", "_x2"), "_sy": span("_y1", "_y2"), "_e": per_level(F.lit).cast("long")}
+    )
+
     def covered(t: str, a: str, b: str) -> Column:
-        edge = per_level(F.lit)
-        low = F.col(t) * edge - F.floor(edge / 2)
-        return (low >= F.col(a)) & (low + edge - 1 <= F.col(b))
+        low = F.col(t) * F.col("_e") - F.expr("_e div 2")
+        return (low >= F.col(a)) & (low + F.col("_e") - 1 <= F.col(b))
 
     return (
-        clip.withColumn("_tx", F.explode(span("_x1", "_x2")))
-        .withColumn("_ty", F.explode(span("_y1", "_y2")))
+        clip.withColumn("_tx", F.explode("_sx"))
+        .withColumn("_ty", F.explode("_sy"))
         .withColumn("_full", covered("_tx", "x1", "x2") & covered("_ty", "y1", "y2"))
         .select(*BOX, "_lvl", "_tx", "_ty", "_full")
     )
 
 
-def _stone_tiles(stones: DataFrame, tile: int) -> DataFrame:
-    """Each stone once per tile level."""
+def _stone_tiles(stones: DataFrame, boxes: DataFrame, tile: int) -> DataFrame:
+    """Each stone once per tile level that some box uses."""
+    used = boxes.agg(F.collect_set("_lvl")).scalar()
     at = F.array(
         *[
             F.struct(
-                F.lit(lvl).alias("_lvl"),
-                tile_of("x", t).alias("_tx"),
-                tile_of("y", t).alias("_ty"),
+                F.lit(i).alias("_lvl"), tile_of("x", t).alias("_tx"), tile_of("y", t).alias("_ty")
             )
-            for lvl, t in _levels(tile)
+            for i, t in enumerate(_levels(tile))
         ]
     )
-    return stones.select("*", F.explode(at).alias("_t")).select(*stones.columns, "_t.*")
+    wanted = stones.withColumn("_u", used).withColumn("_a", at)
+    here = F.filter("_a", lambda t: F.array_contains(F.col("_u"), t["_lvl"]))
+    return wanted.select(*stones.columns, F.explode(here).alias("_t")).select(
+        *stones.columns, "_t.*"
+    )
 
 
 _TILE_KEY = ["board_id", "_lvl", "_tx", "_ty"]
@@ -85,13 +103,13 @@ def _inside() -> Column:
 def _box_stones(boxes: DataFrame, stones: DataFrame, tile: int) -> DataFrame:
     wanted = _box_tiles(boxes, tile).drop("_full")
     return (
-        wanted.join(_stone_tiles(stones, tile), _TILE_KEY)
+        wanted.join(_stone_tiles(stones, wanted, tile), _TILE_KEY)
         .filter(_inside())
         .drop("_lvl", "_tx", "_ty")
     )
 
 
-def rects_join(rects: DataFrame, stones: DataFrame, tile: int = TILE) -> DataFrame:
+def rects_join(rects: DataFrame, stones: DataFrame, tile: int = FINEST) -> DataFrame:
     """One row per request and stone inside its inclusive box."""
     hits = _box_stones(_boxes(rects), stones, tile)
     return rects.join(hits, BOX).select(
@@ -99,14 +117,14 @@ def rects_join(rects: DataFrame, stones: DataFrame, tile: int = TILE) -> DataFra
     )
 
 
-def rect_counts(rects: DataFrame, stones: DataFrame, tile: int = TILE) -> DataFrame:
+def rect_counts(rects: DataFrame, stones: DataFrame, tile: int = FINEST) -> DataFrame:
     """``request_id, board_id, stones``: stones in each box, 0 kept.
 
     Covered tiles add their pre-aggregated count; only tiles on the rim of a box
     are compared stone by stone.
     """
     tiles = _box_tiles(_boxes(rects), tile)
-    keyed = _stone_tiles(stones.select(*CELL), tile)
+    keyed = _stone_tiles(stones.select(*CELL), tiles, tile)
     totals = keyed.groupBy(*_TILE_KEY).agg(F.count(F.lit(1)).alias("n"))
     whole = tiles.filter("_full").join(totals, _TILE_KEY).select(*BOX, "n")
     rim = (
@@ -123,7 +141,7 @@ def rect_counts(rects: DataFrame, stones: DataFrame, tile: int = TILE) -> DataFr
 
 
 def rect_result_json(
-    rects: DataFrame, stones: DataFrame, part_cells: int = 65536, tile: int = TILE
+    rects: DataFrame, stones: DataFrame, part_cells: int = 65536, tile: int = FINEST
 ) -> DataFrame:
     """``request_id, part, body``: the stones of each box as a bare JSON array of
     ``{x,y,uid}`` sorted by (y, x); an empty box gives ``[]``.

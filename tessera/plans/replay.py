@@ -17,6 +17,7 @@ is evaluated with joins.  All paths are exact.
 
 from __future__ import annotations
 
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import tasks
 from tessera.functions.geometry import neighbours
-from tessera.operators.blocks import BLOCK, label_blocks, open_blocks
+from tessera.operators.blocks import BLOCK, any_of, label_blocks, sides
 from tessera.operators.capture import captured_blocks, evaluate_moves
 from tessera.operators.ingest import CELL, constraint_reason
 from tessera.schema import TILE
 from tessera.scratch import Scratch
 
 FOLD_LIMIT = 20000
+_LONG_AGO = -(2**63)
 _MOVE = ["board_id", "id"]
 _STATE = ["board_id", "id", "x", "y", "uid", "bid", "pinned"]
 _RESULT = ["board_id", "id", "x", "y", "uid", "pinned", "outcome", "captured", "merged"]
@@ -40,13 +42,23 @@ _FOLD_SCHEMA = (
 )
 
 
-class Replay(NamedTuple):
-    """``final``: surviving stones with labels.  ``log``: one row per move with
-    ``outcome`` (placed, suicide, or a rejection reason), ``captured`` (enemy stones
-    removed) and ``merged`` (it joined an own neighbour)."""
+class Replay:
+    """``state``: surviving stones with the label they entered with.  ``log``: one
+    row per move with ``outcome`` (placed, suicide, or a rejection reason),
+    ``captured`` (enemy stones removed) and ``merged`` (it joined an own neighbour).
+    ``final``: the surviving stones with the label of their block, found on demand.
+    """
+
+    def __init__(self, state: DataFrame, log: DataFrame, labelling: dict):
+        self.state = state
+        self.log = log
+        self._labelling = labelling
 
-    final: DataFrame
-    log: DataFrame
+    @cached_property
+    def final(self) -> DataFrame:
+        return label_blocks(self.state, **self._labelling).select(
+            "board_id", "id", "x", "y", "bid", "uid"
+        )
 
 
 def replay(
@@ -82,14 +94,13 @@ def replay(
         "board_id", "id", "x", "y", "uid", F.col("id").alias("bid"), F.lit(False).alias("pinned")
     )
     everything = state.unionByName(entered).unionByName(off_board).drop("pinned")
-    final = label_blocks(everything, **job.labelling("bid"))
     refused = rule.filter(~valid)
     extra = refused.unionByName(loose.withColumn("outcome", F.lit("placed"))).select(
         *_MOVE, "x", "y", "uid", "outcome",
         F.lit(0).cast("long").alias("captured"), F.lit(False).alias("merged"),
     )
     log = results.drop("pinned").unionByName(extra)
-    return Replay(final.select("board_id", "id", "x", "y", "bid", "uid"), log)
+    return Replay(everything, log, job.labelling("bid"))
 
 
 class _Job(NamedTuple):
@@ -127,29 +138,35 @@ def _advance(job: _Job, stones: DataFrame, moves: DataFrame) -> tuple[DataFrame,
         out="label", **job.labelling("bid"),
     )
     block = ["board_id", "label"]
-    alive_labels = (
-        open_blocks(fill.drop("bid").withColumnRenamed("label", "bid"))
-        .withColumnRenamed("bid", "label")
-        .union(fill.filter("pinned").select(*block))
-        .distinct()
+    came = F.coalesce("arrived", F.lit(_LONG_AGO))
+    fill = fill.withColumn("_came", came)
+    sided = fill.withColumns(
+        {
+            "_open": F.col("pinned") | any_of(sides(fill, lambda near: near("uid").isNull())),
+            "joined": any_of(
+                sides(
+                    fill,
+                    lambda near: (near("uid") == F.col("uid")) & (near("_came") < F.col("_came")),
+                )
+            ),
+        }
     )
+    alive_labels = sided.filter("_open").select(*block, F.lit(True).alias("alive")).distinct()
     flagged = write(
-        fill.join(alive_labels.withColumn("alive", F.lit(True)), block, "left").withColumn(
-            "alive", F.coalesce("alive", F.lit(False))
-        ),
+        sided.drop("_open", "_came")
+        .join(alive_labels, block, "left")
+        .withColumn("alive", F.coalesce("alive", F.lit(False))),
         "filled",
     )
     alive = flagged.filter("alive")
     settled = alive.select(*_STATE)
     dead = flagged.filter("not alive")
     if dead.isEmpty():
-        return settled, write(_settled_results(alive, moves), "results")
+        return settled, _settled_results(alive, moves)
 
-    regions = write(
-        label_blocks(
-            dead.drop("alive"), owner=None, out="region", **job.labelling("label")
-        ),
-        "regions",
+    regions = label_blocks(
+        dead.drop("alive", "joined"), owner=None, out="region", written=True,
+        **job.labelling("label"),
     )
     cells = regions.select(*CELL, "region")
     events = write(_events(regions, alive, moves.join(cells, CELL)), "events")
@@ -158,10 +175,11 @@ def _advance(job: _Job, stones: DataFrame, moves: DataFrame) -> tuple[DataFrame,
     sizes = events.groupBy(*home).agg(
         F.count(F.lit(1)).alias("n"), F.sum(arrives.cast("long")).alias("n_moves")
     )
-    big = write(sizes.filter(F.col("n") > job.fold_limit), "oversized")
+    big = sizes.filter(F.col("n") > job.fold_limit)
     small = events
     has_big = not big.isEmpty()
     if has_big:
+        big = write(big, "oversized")
         small = events.join(big.select(*home), home, "left_anti")
     folded = write(
         small.repartition(*home)
@@ -202,21 +220,13 @@ def _advance(job: _Job, stones: DataFrame, moves: DataFrame) -> tuple[DataFrame,
         .select(*_RESULT)
         .unionByName(played.filter("not pinned").select(*_RESULT))
     )
-    return settled.unionByName(survivors), write(results, "results")
+    return settled.unionByName(survivors), results
 
 
 def _settled_results(alive: DataFrame, moves: DataFrame) -> DataFrame:
     """Results of the moves on settled cells: the first mover is placed."""
     placed = alive.filter("arrived is not null")
-    same = neighbours(placed.select(*_MOVE, "x", "y", "uid")).join(
-        alive.select(*CELL, "uid", "arrived"), [*CELL, "uid"]
-    )
-    merged = (
-        same.filter("arrived is null or arrived < id")
-        .select(*_MOVE, F.lit(True).alias("merged"))
-        .distinct()
-    )
-    known = placed.select(*_MOVE, F.lit("placed").alias("outcome")).join(merged, _MOVE, "left")
+    known = placed.select(*_MOVE, F.lit("placed").alias("outcome"), F.col("joined").alias("merged"))
     return moves.join(known, _MOVE, "left").select(
         "board_id", "id", "x", "y", "uid", "pinned",
         F.coalesce("outcome", F.lit("occupied")).alias("outcome"),
@@ -272,8 +282,10 @@ def _oversized(job: _Job, events: DataFrame) -> tuple[DataFrame, DataFrame]:
         late = timed.filter("id > _cut").drop("_cut")
         between, before = _advance(job, job.scratch.write(state, "state"), early)
         between = job.scratch.write(between, "state")
+        before = job.scratch.write(before, "results")
         after, rest = _advance(job, between, late)
-        after, rest = after.filter("not pinned"), before.unionByName(rest)
+        after = job.scratch.write(after.filter("not pinned"), "state")
+        rest = before.unionByName(job.scratch.write(rest, "results"))
         stones = after if stones is None else stones.unionByName(after)
         results = rest if results is None else results.unionByName(rest)
     return stones.select(*_STATE), results.select(*_RESULT)

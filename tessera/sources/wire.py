@@ -74,34 +74,45 @@ def parse_rect_requests(df: DataFrame) -> DataFrame:
         "y1": "y1 should be int",
         "y2": "y2 should be int",
     }
-    at = {name: i for i, name in enumerate(checks)}
+    coded = "[%+]"
 
-    def decoded(p: Column) -> Column:
-        key = F.try_url_decode(F.regexp_extract(p, "^([^=]*)", 1))
-        value = F.try_url_decode(F.regexp_extract(p, "^[^=]*=?(.*)$", 1))
-        return F.struct(key.alias("k"), value.alias("v"))
+    def plain(text: Column) -> Column:
+        return F.when(text.rlike(coded), F.try_url_decode(text)).otherwise(text)
 
-    def whole(text: Column) -> Column:
-        return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    def plain_key(pair: Column) -> Column:
+        cut = F.split(pair, "=", 2)
+        value = F.when(F.size(cut) > 1, F.concat(F.lit("="), cut[1])).otherwise(F.lit(""))
+        return F.concat(F.coalesce(F.try_url_decode(cut[0]), F.lit("?")), value)
 
-    pairs = df.withColumn(
-        "_p", F.transform(F.split(F.coalesce("qs", F.lit("")), "&"), decoded)
+    query = F.coalesce("qs", F.lit(""))
+    keys_plain = F.array_join(F.transform(F.split(query, "&"), plain_key), "&")
+    ready = df.withColumn("_q", F.when(query.rlike(coded), keys_plain).otherwise(query))
+    found = ready.withColumns(
+        {
+            f"_h_{n}": F.when(F.col("_q").rlike(f"(?:^|&){n}(?:[=&]|$)"), True).otherwise(False)
+            for n in checks
+        }
+        | {f"_t_{n}": F.regexp_extract("_q", f"(?:^|&){n}(?:=([^&]*)|&|$)", 1) for n in checks}
     )
-    names = F.array(*[F.lit(n) for n in checks])
-    hits = pairs.withColumn(
-        "_h", F.transform(names, lambda n: F.get(F.filter("_p", lambda p: p["k"] == n), F.lit(0)))
+    texts = found.withColumns({f"_t_{n}": plain(F.col(f"_t_{n}")) for n in checks})
+    numbers = texts.withColumns(
+        {
+            f"_n_{n}": F.when(
+                F.col(f"_t_{n}").rlike("^[+-]?[0-9]+$"), F.col(f"_t_{n}").try_cast("bigint")
+            )
+            for n in checks
+        }
     )
-    numbers = hits.withColumn("_n", F.transform("_h", lambda h: whole(h["v"])))
 
     def number(name: str) -> Column:
-        return F.col("_n")[at[name]]
+        return F.col(f"_n_{name}")
 
     msg = F.when(F.col("qs").contains(";"), F.lit("invalid semicolon separator in query")).when(
         F.col("qs").rlike(bad_escape),
         F.concat(F.lit('invalid URL escape "'), F.regexp_extract("qs", bad_escape, 0), F.lit('"')),
     )
     for name, wrong in checks.items():
-        msg = msg.when(F.col("_h")[at[name]].isNull(), F.lit(f"no {name}"))
+        msg = msg.when(~F.col(f"_h_{name}"), F.lit(f"no {name}"))
         msg = msg.when(number(name).isNull(), F.lit(wrong))
     msg = msg.when(number("x1") >= number("x2"), F.lit("x1<x2"))
     msg = msg.when(number("y1") >= number("y2"), F.lit("y1<y2"))

@@ -107,7 +107,7 @@ def replay_batch(moves: DataFrame, epoch: int, root: str) -> None:
             "state",
         )
     out = replay(moves, state, scratch=scratch)
-    final = out.final.drop("bid")
+    final = out.state.drop("bid")
     placed, removed = final, final.limit(0)
     if state is not None:
         placed = final.join(state.select(*_KEY), _KEY, "left_anti")
