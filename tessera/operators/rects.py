@@ -30,44 +30,37 @@ def _levels(tile: int) -> list[int]:
     return edges
 
 
-def _boxes(rects: DataFrame) -> DataFrame:
-    return rects.select(*BOX).distinct()
-
-
-def _box_tiles(boxes: DataFrame, tile: int) -> DataFrame:
-    """One row per tile a box meets, ``_full`` if it covers the tile."""
-    lo = {c: F.greatest(F.col(c), F.lit(COORD_MIN)) for c in ("x1", "y1")}
-    hi = {c: F.least(F.col(c), F.lit(COORD_MAX)) for c in ("x2", "y2")}
-    clip = boxes.select(
-        *BOX, *[v.alias(f"_{k}") for k, v in (lo | hi).items()]
-    ).filter("_x1 <= _x2 and _y1 <= _y2")
-    extent = F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1"))
+def _boxes(rects: DataFrame, tile: int) -> DataFrame:
+    """Distinct boxes with their tile level ``_lvl`` and its edge ``_e``."""
     edges = _levels(tile)
+    ends = {
+        "_x1": F.greatest(F.col("x1"), F.lit(COORD_MIN)),
+        "_y1": F.greatest(F.col("y1"), F.lit(COORD_MIN)),
+        "_x2": F.least(F.col("x2"), F.lit(COORD_MAX)),
+        "_y2": F.least(F.col("y2"), F.lit(COORD_MAX)),
+    }
+    clip = rects.select(*BOX).distinct().withColumns(ends).filter("_x1 <= _x2 and _y1 <= _y2")
+    extent = F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1"))
+    edge = F.lit(edges[-1])
     level = F.lit(len(edges) - 1)
     for i in reversed(range(len(edges) - 1)):
+        edge = F.when(extent < edges[i] * STEP, edges[i]).otherwise(edge)
         level = F.when(extent < edges[i] * STEP, i).otherwise(level)
-    clip = clip.withColumn("_lvl", level.cast("int"))
+    return clip.withColumns({"_lvl": level.cast("int"), "_e": edge.cast("long")})
 
-    def per_level(make) -> Column:
-        out = make(edges[-1])
-        for i in reversed(range(len(edges) - 1)):
-            out = F.when(F.col("_lvl") == i, make(edges[i])).otherwise(out)
-        return out
 
-    def span(a: str, b: str) -> Column:
-        return per_level(lambda t: F.sequence(tile_of(a, t), tile_of(b, t)))
+def _box_tiles(boxes: DataFrame) -> DataFrame:
+    """One row per tile a box meets, ``_full`` if it covers the tile."""
 
-    clip = clip.withColumns(
-        {"_sx": span("_x1", "_x2"), "_sy": span("_y1", "_y2"), "_e": per_level(F.lit).cast("long")}
-    )
+    def tile(c: str) -> Column:
+        return F.expr(f"({c} + _e div 2 - pmod({c} + _e div 2, _e)) div _e")
 
     def covered(t: str, a: str, b: str) -> Column:
-        low = F.col(t) * F.col("_e") - F.expr("_e div 2")
-        return (low >= F.col(a)) & (low + F.col("_e") - 1 <= F.col(b))
+        return F.expr(f"{t} * _e - _e div 2 >= {a} and {t} * _e - _e div 2 + _e - 1 <= {b}")
 
     return (
-        clip.withColumn("_tx", F.explode("_sx"))
-        .withColumn("_ty", F.explode("_sy"))
+        boxes.withColumn("_tx", F.explode(F.sequence(tile("_x1"), tile("_x2"))))
+        .withColumn("_ty", F.explode(F.sequence(tile("_y1"), tile("_y2"))))
         .withColumn("_full", covered("_tx", "x1", "x2") & covered("_ty", "y1", "y2"))
         .select(*BOX, "_lvl", "_tx", "_ty", "_full")
     )
@@ -84,11 +77,8 @@ def _stone_tiles(stones: DataFrame, boxes: DataFrame, tile: int) -> DataFrame:
             for i, t in enumerate(_levels(tile))
         ]
     )
-    wanted = stones.withColumn("_u", used).withColumn("_a", at)
-    here = F.filter("_a", lambda t: F.array_contains(F.col("_u"), t["_lvl"]))
-    return wanted.select(*stones.columns, F.explode(here).alias("_t")).select(
-        *stones.columns, "_t.*"
-    )
+    keyed = stones.select(*stones.columns, F.explode(at).alias("_t"))
+    return keyed.select(*stones.columns, "_t.*").filter(F.array_contains(used, F.col("_lvl")))
 
 
 _TILE_KEY = ["board_id", "_lvl", "_tx", "_ty"]
@@ -101,9 +91,10 @@ def _inside() -> Column:
 
 
 def _box_stones(boxes: DataFrame, stones: DataFrame, tile: int) -> DataFrame:
-    wanted = _box_tiles(boxes, tile).drop("_full")
     return (
-        wanted.join(_stone_tiles(stones, wanted, tile), _TILE_KEY)
+        _box_tiles(boxes)
+        .drop("_full")
+        .join(_stone_tiles(stones, boxes, tile), _TILE_KEY)
         .filter(_inside())
         .drop("_lvl", "_tx", "_ty")
     )
@@ -111,7 +102,7 @@ def _box_stones(boxes: DataFrame, stones: DataFrame, tile: int) -> DataFrame:
 
 def rects_join(rects: DataFrame, stones: DataFrame, tile: int = FINEST) -> DataFrame:
     """One row per request and stone inside its inclusive box."""
-    hits = _box_stones(_boxes(rects), stones, tile)
+    hits = _box_stones(_boxes(rects, tile), stones, tile)
     return rects.join(hits, BOX).select(
         "request_id", *[c for c in stones.columns if c != "board_id"], "board_id"
     )
@@ -123,8 +114,9 @@ def rect_counts(rects: DataFrame, stones: DataFrame, tile: int = FINEST) -> Data
     Covered tiles add their pre-aggregated count; only tiles on the rim of a box
     are compared stone by stone.
     """
-    tiles = _box_tiles(_boxes(rects), tile)
-    keyed = _stone_tiles(stones.select(*CELL), tiles, tile)
+    boxes = _boxes(rects, tile)
+    tiles = _box_tiles(boxes)
+    keyed = _stone_tiles(stones.select(*CELL), boxes, tile)
     totals = keyed.groupBy(*_TILE_KEY).agg(F.count(F.lit(1)).alias("n"))
     whole = tiles.filter("_full").join(totals, _TILE_KEY).select(*BOX, "n")
     rim = (
@@ -152,7 +144,7 @@ def rect_result_json(
     """
     band = F.greatest(F.lit(1), F.floor(F.lit(part_cells) / (F.col("x2") - F.col("x1") + 1)))
     lists = (
-        _box_stones(_boxes(rects), stones.select(*CELL, "uid"), tile)
+        _box_stones(_boxes(rects, tile), stones.select(*CELL, "uid"), tile)
         .withColumn("part", F.floor((F.col("y") - F.col("y1")) / band).cast("long"))
         .groupBy(*BOX, "part")
         .agg(F.sort_array(F.collect_list(F.struct("y", "x", "uid"))).alias("_s"))

@@ -74,10 +74,11 @@ def parse_rect_requests(df: DataFrame) -> DataFrame:
         "y1": "y1 should be int",
         "y2": "y2 should be int",
     }
-    coded = "[%+]"
+    def coded(text: Column) -> Column:
+        return text.contains("%") | text.contains("+")
 
     def plain(text: Column) -> Column:
-        return F.when(text.rlike(coded), F.try_url_decode(text)).otherwise(text)
+        return F.when(coded(text), F.try_url_decode(text)).otherwise(text)
 
     def plain_key(pair: Column) -> Column:
         cut = F.split(pair, "=", 2)
@@ -86,15 +87,14 @@ def parse_rect_requests(df: DataFrame) -> DataFrame:
 
     query = F.coalesce("qs", F.lit(""))
     keys_plain = F.array_join(F.transform(F.split(query, "&"), plain_key), "&")
-    ready = df.withColumn("_q", F.when(query.rlike(coded), keys_plain).otherwise(query))
+    ready = df.withColumn("_q", F.when(coded(query), keys_plain).otherwise(query))
+    # The first "key=value" or bare "key" of each name, NULL if absent.
     found = ready.withColumns(
-        {
-            f"_h_{n}": F.when(F.col("_q").rlike(f"(?:^|&){n}(?:[=&]|$)"), True).otherwise(False)
-            for n in checks
-        }
-        | {f"_t_{n}": F.regexp_extract("_q", f"(?:^|&){n}(?:=([^&]*)|&|$)", 1) for n in checks}
+        {f"_h_{n}": F.regexp_substr("_q", F.lit(f"(?:^|&){n}(?:=[^&]*|(?=&|$))")) for n in checks}
+    )
+    texts = found.withColumns(
+        {f"_t_{n}": plain(F.expr(f"substr(_h_{n}, instr(_h_{n}, '=') + 1)")) for n in checks}
     )
-    texts = found.withColumns({f"_t_{n}": plain(F.col(f"_t_{n}")) for n in checks})
     numbers = texts.withColumns(
         {
             f"_n_{n}": F.when(
@@ -108,11 +108,11 @@ def parse_rect_requests(df: DataFrame) -> DataFrame:
         return F.col(f"_n_{name}")
 
     msg = F.when(F.col("qs").contains(";"), F.lit("invalid semicolon separator in query")).when(
-        F.col("qs").rlike(bad_escape),
+        F.col("qs").contains("%") & F.col("qs").rlike(bad_escape),
         F.concat(F.lit('invalid URL escape "'), F.regexp_extract("qs", bad_escape, 0), F.lit('"')),
     )
     for name, wrong in checks.items():
-        msg = msg.when(~F.col(f"_h_{name}"), F.lit(f"no {name}"))
+        msg = msg.when(F.col(f"_h_{name}").isNull(), F.lit(f"no {name}"))
         msg = msg.when(number(name).isNull(), F.lit(wrong))
     msg = msg.when(number("x1") >= number("x2"), F.lit("x1<x2"))
     msg = msg.when(number("y1") >= number("y2"), F.lit("y1<y2"))
