@@ -21,9 +21,11 @@ def stream_ingest(json_stream: DataFrame) -> DataFrame:
     """Parse, validate, and keep the first writer of each cell.
 
     An update-mode aggregate: attempts are combined before the shuffle, so a popular
-    cell costs one row per task, and the state is one row per occupied cell.  A row
-    is emitted when a cell is taken, and again only if a smaller ``id`` arrives late.
-    Exact while no capture frees a cell; ``start_replay`` decides with captures.
+    cell costs one row per task, and the state is one row per occupied cell.  Each
+    micro-batch emits the owner of every cell it touches; a later row for the same
+    cell repeats it, or replaces it if a smaller ``id`` arrived late, so the sink
+    upserts by cell.  Exact while no capture frees a cell; ``start_replay`` decides
+    with captures.
     """
     good = parse_moves(json_stream).filter("code = 0").filter(constraint_reason().isNull())
     first = good.groupBy(*CELL).agg(F.min(F.struct("id", "uid")).alias("_w"))
