@@ -30,10 +30,10 @@ def neighbours(df: DataFrame, n: int = 4, distinct: bool = False) -> DataFrame:
     return out.distinct() if distinct else out
 
 
-def tile_of(v: Column | str, tile: int = TILE) -> Column:
-    """Tile index of a coordinate; tile 0 is centred on the origin."""
+def tile_of(v: Column | str, tile: int = TILE, centred: bool = True) -> Column:
+    """Tile index of a coordinate; tile 0 is centred on the origin, or begins there."""
     c = F.col(v) if isinstance(v, str) else v
-    moved = (c + F.lit(tile // 2)).cast("long")
+    moved = (c + F.lit(tile // 2 if centred else 0)).cast("long")
     if tile & (tile - 1) == 0:
         return F.shiftright(moved, tile.bit_length() - 1)
     return F.floor(moved / F.lit(tile)).cast("long")

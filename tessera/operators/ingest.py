@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.geometry import tile_of
 from tessera.schema import COORD_MAX, COORD_MIN
 
 CELL = ["board_id", "x", "y"]
@@ -54,30 +55,47 @@ def first_writers(df: DataFrame) -> DataFrame:
     return best.select(*CELL, "_w.*").select(*df.columns)
 
 
-def assign_ids(df: DataFrame, order: str, out: str = "id", bucket: int = 65536) -> DataFrame:
+def assign_ids(df: DataFrame, order: str, out: str = "id", fan: int = 65536) -> DataFrame:
     """Add ``out`` = arrival rank within the board, 1 for the smallest ``order``.
 
-    ``order`` is a whole number, unique per board.  Rows are ranked inside buckets
-    of ``bucket`` consecutive values, which bounds every window, and shifted by the
-    number of rows in the board's earlier buckets.
+    ``order`` is a whole number, unique per board.  Rows are ranked inside runs of
+    ``fan`` consecutive values and shifted by the rows before the run.  That shift
+    is summed up level by level, each level grouping ``fan`` runs of the one below,
+    so no window holds more than ``fan`` rows whatever the size of a board.
     """
-    cut = df.withColumn("_b", F.floor(F.col(order) / F.lit(bucket)).cast("long"))
-    before = (
-        Window.partitionBy("board_id")
-        .orderBy("_b")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    shift = (
-        cut.groupBy("board_id", "_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("board_id", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    )
-    inside = Window.partitionBy("board_id", "_b").orderBy(order)
+    depth = 1
+    while fan**depth < 2**63:
+        depth += 1
+    steps = [f"_b{i}" for i in range(1, depth)]
+    cut = df
+    for i, b in enumerate(steps):
+        below = F.col(steps[i - 1] if i else order)
+        cut = cut.withColumn(b, tile_of(below, fan, centred=False))
+    shift, counts = None, cut.groupBy("board_id", *steps).agg(F.count(F.lit(1)).alias("_n"))
+    for i, b in enumerate(steps):
+        above = steps[i + 1 :]
+        earlier = (
+            Window.partitionBy("board_id", *above)
+            .orderBy(b)
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        level = counts.select(
+            "board_id", b, *above, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_s")
+        )
+        if shift is None:
+            shift = level
+        else:
+            shift = shift.join(
+                level.withColumnRenamed("_s", "_more"), ["board_id", b, *above]
+            ).withColumn("_s", F.col("_s") + F.col("_more")).drop("_more")
+        if above:
+            counts = counts.groupBy("board_id", *above).agg(F.sum("_n").alias("_n"))
+    inside = Window.partitionBy("board_id", steps[0]).orderBy(order)
     return (
         cut.withColumn("_r", F.row_number().over(inside))
-        .join(shift, ["board_id", "_b"])
+        .join(shift.select("board_id", steps[0], "_s"), ["board_id", steps[0]])
         .withColumn(out, (F.col("_s") + F.col("_r")).cast("long"))
-        .drop("_b", "_r", "_s")
+        .drop(*steps, "_r", "_s")
     )
 
 

@@ -53,7 +53,7 @@ def _good_rects(spark: SparkSession, sf: str) -> DataFrame:
 
 def _assigned_ids(spark: SparkSession, sf: str) -> DataFrame:
     ev = boards.events(spark, sf).select(F.col("user_id").alias("board_id"), "event_id")
-    return ingest.assign_ids(ev, "event_id", bucket=256)
+    return ingest.assign_ids(ev, "event_id")
 
 
 def _assigned_labels(spark: SparkSession, sf: str) -> DataFrame:

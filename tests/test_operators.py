@@ -218,7 +218,7 @@ def test_check_stones(spark):
 def test_ids_and_labels(spark):
     data = [(b, o) for b in (1, 2) for o in (5, 900, 901, 7, 100000, 3000)]
     df = spark.createDataFrame(data, "board_id long, at long")
-    got = rows(ingest.assign_ids(df, "at", bucket=10), "board_id", "at", "id")
+    got = rows(ingest.assign_ids(df, "at", fan=16), "board_id", "at", "id")
     want = [(b, o, sorted({5, 900, 901, 7, 100000, 3000}).index(o) + 1) for b, o in data]
     assert got == sorted(want)
     stones = board(spark, [(0, 0, 1, 4), (1, 1, 1, 9)])
