@@ -12,7 +12,7 @@ from tessera.operators.ingest import CELL
 from tessera.operators.last import related_blocks
 from tessera.operators.regions import Split, split_by
 from tessera.schema import TILE
-from tessera.scratch import Scratch
+from tessera.scratch import Scratch, lookup_table
 
 BLOCK = ["board_id", "bid"]
 
@@ -249,6 +249,7 @@ def sweep(df: DataFrame) -> Split:
 def dead_related_blocks(df: DataFrame) -> DataFrame:
     """Related blocks of the last stone without liberties; only these are examined."""
     related = related_blocks(df)
+    related = lookup_table(related, "related")
     alive = open_among(df.join(related.select(*BLOCK), BLOCK, "left_semi"), df)
     return related.join(alive, BLOCK, "left_anti")
 
@@ -268,7 +269,7 @@ def merge_last(df: DataFrame) -> DataFrame:
     """Give all own related blocks of the last stone the smallest of their labels."""
     own = related_blocks(df).filter("side = 'own'").select(*BLOCK)
     least = own.groupBy("board_id").agg(F.min("bid").alias("_new"))
-    relabel = own.join(least, "board_id")
+    relabel = lookup_table(own.join(least, "board_id"), "relabel")
     return df.join(relabel, BLOCK, "left").select(
         *[F.coalesce("_new", "bid").alias("bid") if c == "bid" else F.col(c) for c in df.columns]
     )
@@ -281,11 +282,12 @@ def block_table(df: DataFrame) -> DataFrame:
 
 def stones_with_block(block: DataFrame, cells: DataFrame) -> DataFrame:
     """Join cells ``board_id, x, y, bid`` to their block's owner."""
-    return cells.select(*CELL, "bid").join(block.select(*BLOCK, "uid"), BLOCK).select(
+    owners = lookup_table(block.select(*BLOCK, "uid"), "owners")
+    return cells.select(*CELL, "bid").join(owners, BLOCK).select(
         "uid", "bid", *CELL
     )
 
 
 def orphan_cells(block: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells whose label names no block."""
-    return cells.join(block.select(*BLOCK), BLOCK, "left_anti")
+    return cells.join(lookup_table(block.select(*BLOCK), "blocks"), BLOCK, "left_anti")

@@ -17,7 +17,7 @@ from tessera.operators.blocks import (
 )
 from tessera.operators.ingest import CELL, constraint_reason
 from tessera.operators.regions import Split, split_by
-from tessera.scratch import Scratch
+from tessera.scratch import Scratch, lookup_table
 
 
 def capture_last(df: DataFrame) -> Split:
@@ -67,6 +67,7 @@ def cell_context(stones: DataFrame, cells: DataFrame) -> DataFrame:
         sizes = sizes.join(safe.withColumn("_safe", F.lit(True)), BLOCK, "left").withColumn(
             "liberties", F.col("liberties") + F.when(F.col("_safe"), 2).otherwise(0)
         ).drop("_safe")
+    sizes = lookup_table(sizes, "sizes")
     at = cells.select(*CELL).distinct()
     steps = at.select(
         "board_id",
@@ -119,8 +120,9 @@ def evaluate_moves(stones: DataFrame, moves: DataFrame) -> DataFrame:
     def stones_of(blocks):
         return F.aggregate(blocks, zero, lambda acc, b: acc + b["stones"])
 
+    context = lookup_table(cell_context(stones, moves), "context")
     placed = (
-        moves.join(cell_context(stones, moves), CELL, "left")
+        moves.join(context, CELL, "left")
         .withColumns(
             {
                 "captured": F.filter(near, lambda b: (b["uid"] != uid) & (b["liberties"] == 1)),

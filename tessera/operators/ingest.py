@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geometry import tile_of
 from tessera.schema import COORD_MAX, COORD_MIN
+from tessera.scratch import lookup_table
 
 CELL = ["board_id", "x", "y"]
 
@@ -51,8 +52,10 @@ def first_writers(df: DataFrame) -> DataFrame:
     """Just the accepted rows of a capture-free load, one per cell, in one shuffle."""
     rest = [c for c in df.columns if c not in CELL and c != "id"]
     ok = df.filter(constraint_reason().isNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
-    best = ok.groupBy(*CELL).agg(F.min(F.struct("id", *rest)).alias("_w"))
-    return best.select(*CELL, "_w.*").select(*df.columns)
+    best = ok.groupBy(*CELL).agg(
+        F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in rest]
+    )
+    return best.select(*df.columns)
 
 
 def assign_ids(df: DataFrame, order: str, out: str = "id", fan: int = 65536) -> DataFrame:
@@ -110,7 +113,7 @@ def next_bid(stones: DataFrame, boards: DataFrame | None = None) -> DataFrame:
 def assign_labels(df: DataFrame, stones: DataFrame, order: str = "id") -> DataFrame:
     """Add fresh ``bid`` labels to a batch: the board's next label, then upwards."""
     ranked = assign_ids(df, order, out="_rank")
-    base = next_bid(stones, df)
+    base = lookup_table(next_bid(stones, df), "next-labels")
     return (
         ranked.join(base, "board_id")
         .withColumn("bid", F.col("next_bid") + F.col("_rank") - 1)

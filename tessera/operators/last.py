@@ -12,8 +12,10 @@ from tessera.operators.ingest import CELL
 def last_stone(df: DataFrame) -> DataFrame:
     """Per board the stone with the greatest ``id``."""
     rest = [c for c in df.columns if c not in ("board_id", "id")]
-    top = df.groupBy("board_id").agg(F.max(F.struct("id", *rest)).alias("_s"))
-    return top.select("board_id", "_s.*").select(*df.columns)
+    top = df.groupBy("board_id").agg(
+        F.max("id").alias("id"), *[F.max_by(c, "id").alias(c) for c in rest]
+    )
+    return top.select(*df.columns)
 
 
 def adjoining(df: DataFrame, last: DataFrame | None = None) -> DataFrame:
@@ -63,14 +65,14 @@ def last_move_env(moves: DataFrame) -> DataFrame:
     stamp = "yyyy-MM-dd HH:mm:ss"
     last = moves.groupBy("board_id").agg(
         F.min("ts").alias("_t0"),
-        F.max(F.struct("id", "x", "y", "uid", "ts")).alias("_m"),
+        *[F.max_by(c, "id").alias(f"_{c}") for c in ("ts", "x", "y", "uid")],
     )
     return last.select(
         "board_id",
         F.expr(
             "stack(5, 'system_start_time', date_format(_t0, '{0}'), "
-            "'last_go_time', date_format(_m.ts, '{0}'), 'last_x', cast(_m.x as string), "
-            "'last_y', cast(_m.y as string), 'last_uid', cast(_m.uid as string))"
+            "'last_go_time', date_format(_ts, '{0}'), 'last_x', cast(_x as string), "
+            "'last_y', cast(_y as string), 'last_uid', cast(_uid as string))"
             " as (name, value)".format(stamp)
         ),
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.geometry import tile_of
 from tessera.operators.ingest import CELL
 from tessera.schema import COORD_MAX, COORD_MIN
+from tessera.scratch import lookup_table
 
 BOX = ["board_id", "x1", "y1", "x2", "y2"]
 STEP = 8
@@ -126,7 +127,9 @@ def rect_counts(rects: DataFrame, stones: DataFrame, tile: int = FINEST) -> Data
         .groupBy(*BOX)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    per_box = whole.unionByName(rim).groupBy(*BOX).agg(F.sum("n").alias("n"))
+    per_box = lookup_table(
+        whole.unionByName(rim).groupBy(*BOX).agg(F.sum("n").alias("n")), "box-counts"
+    )
     return rects.join(per_box, BOX, "left").select(
         "request_id", "board_id", F.coalesce("n", F.lit(0)).cast("long").alias("stones")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ingest import CELL, next_bid
 from tessera.schema import BORDER_OWNER, CODE_BITS
+from tessera.scratch import lookup_table
 
 
 class Split(NamedTuple):
@@ -20,7 +21,11 @@ class Split(NamedTuple):
 
 
 def split_by(df: DataFrame, hit: DataFrame, keys: list[str]) -> Split:
-    """Rows of ``df`` whose keys occur in ``hit`` are removed, the others kept."""
+    """Rows of ``df`` whose keys occur in ``hit`` are removed, the others kept.
+
+    ``hit`` is found first and once, as a written table that both results read.
+    """
+    hit = lookup_table(hit.select(*keys).distinct(), "hit")
     return Split(df.join(hit, keys, "left_anti"), df.join(hit, keys, "left_semi"))
 
 
@@ -89,7 +94,7 @@ def delete_rect_by_code(df: DataFrame, bits: int = CODE_BITS) -> Split:
     Empty code rows decode to 0, so they select the cell (0,0); reversed bounds
     select nothing.
     """
-    box = decode_rows(df, {"x1": 4, "y1": 5, "x2": 6, "y2": 7}, bits=bits)
+    box = lookup_table(decode_rows(df, {"x1": 4, "y1": 5, "x2": 6, "y2": 7}, bits=bits), "box")
     inside = F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(
         F.col("y1"), F.col("y2")
     )
@@ -104,7 +109,7 @@ def reset_region(df: DataFrame, area: DataFrame) -> Split:
     """Remove stones whose cell is in ``area`` (``x,y``, or per board with
     ``board_id``).  Blocks that are cut keep their label."""
     keys = CELL if "board_id" in area.columns else ["x", "y"]
-    return split_by(df, area.select(*keys).distinct(), keys)
+    return split_by(df, area, keys)
 
 
 def reset_square(df: DataFrame, lo: int = 0, hi: int = 18) -> Split:

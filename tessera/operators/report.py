@@ -23,24 +23,25 @@ def idle_gaps(moves: DataFrame, key: str = "board_id", threshold: int = IDLE_SEC
     """Gaps of at least ``threshold`` whole seconds between consecutive moves of a
     key: ``key, id, next_id, idle_from, idle_until, gap`` (epoch seconds).
 
-    Moves are first reduced to the first and last of each ``threshold``-wide slot.
+    Moves are first reduced, by hash aggregates with map-side combine, to one row per
+    second and then to the first and last move of each ``threshold``-wide slot.
     Inside a slot no such gap fits, so only neighbouring non-empty slots are
     compared: a hot key costs one row per slot, whatever its number of moves.
     """
     sec = moves.select(key, "id", whole_seconds(F.col("ts")).alias("_s"))
-    slots = sec.groupBy(key, F.floor(F.col("_s") / F.lit(threshold)).alias("_slot")).agg(
-        F.min(F.struct("_s", "id")).alias("_lo"), F.max(F.struct("_s", "id")).alias("_hi")
+    ticks = sec.groupBy(key, "_s").agg(F.min("id").alias("_a"), F.max("id").alias("_z"))
+    slots = ticks.groupBy(key, F.floor(F.col("_s") / F.lit(threshold)).alias("_slot")).agg(
+        F.min("_s").alias("_from"),
+        F.min_by("_a", "_s").alias("_first"),
+        F.max("_s").alias("idle_from"),
+        F.max_by("_z", "_s").alias("id"),
     )
-    ahead = F.lead("_lo").over(Window.partitionBy(key).orderBy("_slot"))
+    order = Window.partitionBy(key).orderBy("_slot")
     return (
-        slots.withColumn("_next", ahead)
-        .select(
-            key,
-            F.col("_hi.id").alias("id"),
-            F.col("_next.id").alias("next_id"),
-            F.col("_hi._s").alias("idle_from"),
-            F.col("_next._s").alias("idle_until"),
-            (F.col("_next._s") - F.col("_hi._s")).alias("gap"),
+        slots.withColumns(
+            {"next_id": F.lead("_first").over(order), "idle_until": F.lead("_from").over(order)}
         )
+        .withColumn("gap", F.col("idle_until") - F.col("idle_from"))
         .filter(F.col("gap") >= threshold)
+        .select(key, "id", "next_id", "idle_from", "idle_until", "gap")
     )

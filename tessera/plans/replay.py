@@ -128,8 +128,11 @@ def _advance(job: _Job, stones: DataFrame, moves: DataFrame) -> tuple[DataFrame,
     first = (
         moves.join(stones.select(*CELL), CELL, "left_anti")
         .groupBy(*CELL)
-        .agg(F.min(F.struct("id", "uid", "pinned")).alias("m"))
-        .select(*CELL, "m.*")
+        .agg(
+            F.min("id").alias("id"),
+            F.min_by("uid", "id").alias("uid"),
+            F.min_by("pinned", "id").alias("pinned"),
+        )
     )
     fill = label_blocks(
         stones.withColumn("arrived", F.lit(None).cast("long")).unionByName(
@@ -140,32 +143,31 @@ def _advance(job: _Job, stones: DataFrame, moves: DataFrame) -> tuple[DataFrame,
     block = ["board_id", "label"]
     came = F.coalesce("arrived", F.lit(_LONG_AGO))
     fill = fill.withColumn("_came", came)
-    sided = fill.withColumns(
-        {
-            "_open": F.col("pinned") | any_of(sides(fill, lambda near: near("uid").isNull())),
-            "joined": any_of(
-                sides(
-                    fill,
-                    lambda near: (near("uid") == F.col("uid")) & (near("_came") < F.col("_came")),
-                )
-            ),
-        }
-    )
-    alive_labels = sided.filter("_open").select(*block, F.lit(True).alias("alive")).distinct()
-    flagged = write(
-        sided.drop("_open", "_came")
-        .join(alive_labels, block, "left")
-        .withColumn("alive", F.coalesce("alive", F.lit(False))),
+    sided = write(
+        fill.withColumns(
+            {
+                "_open": F.col("pinned") | any_of(sides(fill, lambda near: near("uid").isNull())),
+                "joined": any_of(
+                    sides(
+                        fill,
+                        lambda near: (near("uid") == F.col("uid"))
+                        & (near("_came") < F.col("_came")),
+                    )
+                ),
+            }
+        ).drop("_came"),
         "filled",
     )
-    alive = flagged.filter("alive")
-    settled = alive.select(*_STATE)
-    dead = flagged.filter("not alive")
+    alive_labels = write(sided.filter("_open").select(*block).distinct(), "alive")
+    sided = sided.drop("_open")
+    dead = write(sided.join(alive_labels, block, "left_anti"), "dead")
     if dead.isEmpty():
-        return settled, _settled_results(alive, moves)
+        return sided.select(*_STATE), _settled_results(sided, moves)
+    alive = sided.join(dead.select(*_MOVE), _MOVE, "left_anti")
+    settled = alive.select(*_STATE)
 
     regions = label_blocks(
-        dead.drop("alive", "joined"), owner=None, out="region", written=True,
+        dead.drop("joined"), owner=None, out="region", written=True,
         **job.labelling("label"),
     )
     cells = regions.select(*CELL, "region")

@@ -30,8 +30,9 @@ def ingest_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     query.awaitTermination()
     updates = spark.read.schema(schema).parquet(out)
-    first = updates.groupBy(*CELL).agg(F.min(F.struct("id", "uid")).alias("_w"))
-    return first.select(*CELL, "_w.id", "_w.uid")
+    return updates.groupBy(*CELL).agg(
+        F.min("id").alias("id"), F.min_by("uid", "id").alias("uid")
+    )
 
 
 def idle_available(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,14 @@ class Scratch:
         folder = jvm.org.apache.hadoop.fs.Path(self.root)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         folder.getFileSystem(conf).delete(folder, True)
+
+
+def lookup_table(df: DataFrame, name: str = "lookup", scratch: Scratch | None = None) -> DataFrame:
+    """Write a table of unique keys that rows with possibly hot keys will look up.
+
+    Joined as it stands, an aggregate shares its shuffle with the join, and Spark
+    then cannot split the other side's hot partitions.  Read back from storage it
+    has a shuffle of its own, so adaptive execution splits them, and its known size
+    decides whether it is broadcast instead.
+    """
+    return (scratch or Scratch(df.sparkSession)).write(df, name)

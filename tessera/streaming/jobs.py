@@ -28,8 +28,7 @@ def stream_ingest(json_stream: DataFrame) -> DataFrame:
     with captures.
     """
     good = parse_moves(json_stream).filter("code = 0").filter(constraint_reason().isNull())
-    first = good.groupBy(*CELL).agg(F.min(F.struct("id", "uid")).alias("_w"))
-    return first.select(*CELL, "_w.id", "_w.uid")
+    return good.groupBy(*CELL).agg(F.min("id").alias("id"), F.min_by("uid", "id").alias("uid"))
 
 
 def stream_rejects(json_stream: DataFrame) -> DataFrame:
