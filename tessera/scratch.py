@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_CLEANED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,9 +39,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        app = spark.sparkContext.applicationId
-        self.root = f"{shared_dir(spark).rstrip('/')}/tessera-{app}/{uuid.uuid4().hex}"
+        base = f"{shared_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+        self.root = f"{base}/{uuid.uuid4().hex}"
         self._n = 0
+        if base not in _CLEANED:
+            folder, fs = self._folder(base)
+            fs.mkdirs(folder)
+            fs.deleteOnExit(folder)
+            _CLEANED.add(base)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -54,10 +60,13 @@ class Scratch:
 
     def discard(self) -> None:
         """Delete this job's own intermediate tables; call when nothing reads them."""
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.root)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        folder.getFileSystem(conf).delete(folder, True)
+        folder, fs = self._folder(self.root)
+        fs.delete(folder, True)
+
+    def _folder(self, path: str):
+        context = self.spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(context._jsc.hadoopConfiguration())
 
 
 def lookup_table(df: DataFrame, name: str = "lookup", scratch: Scratch | None = None) -> DataFrame:
