@@ -31,7 +31,7 @@ from tessera.operators.ingest import CELL, constraint_reason
 from tessera.schema import TILE
 from tessera.scratch import Scratch
 
-FOLD_LIMIT = 20000
+FOLD_LIMIT = 100_000
 _LONG_AGO = -(2**63)
 _MOVE = ["board_id", "id"]
 _STATE = ["board_id", "id", "x", "y", "uid", "bid", "pinned"]
