@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import adjacent
@@ -54,12 +54,16 @@ def settle_last(df: DataFrame, scratch: Scratch | None = None) -> Settled:
     return Settled(merged, after.removed, end.removed, end.kept)
 
 
+_SLOTS = (1, 2, 3, 4)
+
+
 def cell_context(stones: DataFrame, cells: DataFrame) -> DataFrame:
-    """For each distinct cell its occupied neighbours and whether it is ``taken``.
+    """For each distinct cell with a stone on or next to it: ``taken``, the number of
+    occupied ``sides``, and up to four neighbouring blocks.
 
-    ``near`` is an array of at most four ``(bid, uid, stones, liberties)``, one per
-    neighbouring block.  Blocks are measured once for the whole board set; a column
-    ``pinned`` on the stones marks blocks that can never lose their last liberty.
+    Slot ``k`` holds a block's ``_b{k}, _u{k}, _n{k}, _l{k}`` (label, owner, stones,
+    liberties); a block met again on another side leaves its later slot NULL.  A
+    column ``pinned`` on the stones marks blocks that never lose their last liberty.
     """
     sizes = block_sizes(stones)
     if "pinned" in stones.columns:
@@ -73,28 +77,33 @@ def cell_context(stones: DataFrame, cells: DataFrame) -> DataFrame:
         "board_id",
         F.col("x").alias("_x"),
         F.col("y").alias("_y"),
-        F.explode(adjacent(F.col("x"), F.col("y"), 5)).alias("_c"),
-    ).select("board_id", "_x", "_y", "_c.x", "_c.y")
-    here = (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))
-    touched = (
-        steps.join(stones.select(*CELL, "bid"), CELL)
-        .groupBy("board_id", "_x", "_y", "bid")
-        .agg(
-            F.max(here).alias("_taken"),
-            F.sum(F.when(here, 0).otherwise(1)).cast("long").alias("sides"),
-        )
+        F.posexplode(adjacent(F.col("x"), F.col("y"), 5)).alias("_k", "_c"),
+    ).select("board_id", "_x", "_y", "_k", "_c.x", "_c.y")
+    met = steps.join(stones.select(*CELL, "bid"), CELL).drop("x", "y").join(sizes, BLOCK)
+    parts = {"_b": "bid", "_u": "uid", "_n": "stones", "_l": "liberties"}
+    wide = met.groupBy("board_id", "_x", "_y").agg(
+        F.max(F.col("_k") == 0).alias("taken"),
+        F.count(F.when(F.col("_k") > 0, 1)).alias("sides"),
+        *[
+            F.max(F.when(F.col("_k") == k, F.col(c))).alias(f"{p}{k}")
+            for k in _SLOTS
+            for p, c in parts.items()
+        ],
     )
-    return (
-        touched.join(sizes, BLOCK)
-        .groupBy("board_id", "_x", "_y")
-        .agg(
-            F.max("_taken").alias("taken"),
-            F.sum("sides").alias("sides"),
-            F.array_compact(
-                F.collect_list(F.when(F.col("sides") > 0, F.struct("bid", "uid", "stones", "liberties")))
-            ).alias("near"),
-        )
-        .select("board_id", F.col("_x").alias("x"), F.col("_y").alias("y"), "taken", "sides", "near")
+
+    def once(k: int, p: str) -> Column:
+        again = F.lit(False)
+        for j in range(1, k):
+            again = again | F.coalesce(F.col(f"_b{j}") == F.col(f"_b{k}"), F.lit(False))
+        return F.when(~again, F.col(f"{p}{k}")).alias(f"{p}{k}")
+
+    return wide.select(
+        "board_id",
+        F.col("_x").alias("x"),
+        F.col("_y").alias("y"),
+        "taken",
+        "sides",
+        *[once(k, p) for k in _SLOTS for p in parts],
     )
 
 
@@ -107,46 +116,53 @@ def evaluate_moves(stones: DataFrame, moves: DataFrame) -> DataFrame:
     suicide, lost_stones`` (own stones a suicide removes, with the move itself) and
     ``merged_bid`` (smallest adjacent own label, NULL if the stone starts a block).
     """
-    extra = [c for c in ("taken", "sides", "near", "captured", "own") if c in moves.columns]
-    if extra:
-        raise ValueError(f"reserved column names in moves: {extra}")
-    near = F.coalesce(
-        F.col("near"),
-        F.array().cast("array<struct<bid:bigint,uid:bigint,stones:bigint,liberties:bigint>>"),
-    )
-    uid = F.col("uid")
-    zero = F.lit(0).cast("long")
+    context = lookup_table(cell_context(stones, moves), "context")
+    clash = (set(context.columns) - set(CELL)) & set(moves.columns)
+    if clash:
+        raise ValueError(f"reserved column names in moves: {sorted(clash)}")
 
-    def stones_of(blocks):
-        return F.aggregate(blocks, zero, lambda acc, b: acc + b["stones"])
+    def slot(p: str, k: int) -> Column:
+        return F.col(f"{p}{k}")
 
-    context = lookup_table(cell_context(stones, moves), "context")
-    placed = (
+    def own(k: int) -> Column:
+        return F.coalesce(slot("_u", k) == F.col("uid"), F.lit(False))
+
+    def taken(k: int) -> Column:
+        return F.coalesce((slot("_u", k) != F.col("uid")) & (slot("_l", k) == 1), F.lit(False))
+
+    def total(test, value) -> Column:
+        terms = [F.when(test(k), value(k)).otherwise(0).cast("long") for k in _SLOTS]
+        return terms[0] + terms[1] + terms[2] + terms[3]
+
+    judged = (
         moves.join(context, CELL, "left")
         .withColumns(
             {
-                "captured": F.filter(near, lambda b: (b["uid"] != uid) & (b["liberties"] == 1)),
-                "own": F.filter(near, lambda b: b["uid"] == uid),
                 "accepted": ~F.coalesce("taken", F.lit(False)) & constraint_reason().isNull(),
+                "_blocks": total(taken, lambda k: F.lit(1)),
+                "_stones": total(taken, lambda k: slot("_n", k)),
+                "_own": total(own, lambda k: slot("_n", k)),
+                "_saved": total(own, lambda k: (slot("_l", k) > 1).cast("int")),
+                "_label": F.least(*[F.when(own(k), slot("_b", k)) for k in _SLOTS]),
             }
         )
         .withColumn(
             "suicide",
             F.col("accepted")
-            & (F.size("captured") == 0)
-            & (F.coalesce("sides", zero) == 4)
-            & F.forall("own", lambda b: b["liberties"] == 1),
+            & (F.col("_blocks") == 0)
+            & (F.coalesce("sides", F.lit(0)) == 4)
+            & (F.col("_saved") == 0),
         )
     )
-    ok = F.col("accepted")
-    return placed.select(
+    ok, zero = F.col("accepted"), F.lit(0).cast("long")
+    return judged.select(
         *moves.columns,
         "accepted",
-        F.when(ok, F.size("captured")).otherwise(0).cast("long").alias("captured_blocks"),
-        F.when(ok, stones_of(F.col("captured"))).otherwise(0).cast("long").alias("captured_stones"),
+        F.when(ok, F.col("_blocks")).otherwise(zero).alias("captured_blocks"),
+        F.when(ok, F.col("_stones")).otherwise(zero).alias("captured_stones"),
         "suicide",
-        F.when(F.col("suicide"), stones_of(F.col("own")) + 1).otherwise(0).cast("long").alias("lost_stones"),
-        F.when(ok, F.array_min(F.transform("own", lambda b: b["bid"]))).alias("merged_bid"),
+        F.when(F.col("suicide"), F.col("_own") + 1).otherwise(zero).alias("lost_stones"),
+        F.when(ok, F.col("_label")).alias("merged_bid"),
     )
 
 
