@@ -48,7 +48,9 @@ def _checked_rects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _good_rects(spark: SparkSession, sf: str) -> DataFrame:
-    return _checked_rects(spark, sf).filter("code = 0").drop("code", "msg")
+    """The accepted requests, parsed once for the several uses that follow."""
+    good = _checked_rects(spark, sf).filter("code = 0").drop("code", "msg")
+    return Scratch(spark).write(good, "requests")
 
 
 def _assigned_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from reference_fold import around, step
+from plain_fold import around, step
 
 from tessera.functions import geometry as geo
 from tessera.functions.clock import minute_component, minutes_since

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from reference_fold import play
+from plain_fold import play
 
 from tessera.operators.blocks import dead_blocks, label_blocks
 from tessera.plans.replay import replay

@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from reference_fold import play
+from plain_fold import play
 
 from tessera.functions import tasks
 from tessera.operators import blocks, ingest, rects, report

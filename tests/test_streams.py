@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from reference_fold import play
+from plain_fold import play
 
 from tessera.operators.report import idle_gaps
 from tessera.streaming import jobs
