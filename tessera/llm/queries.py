@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.binary import token_shards
 from tessera.llm.common import documents, pages
 from tessera.llm.digest_index import index_documents
+from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.warc import archive_pages
 
@@ -25,6 +26,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=4)
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(documents(spark, sf_dir))
 
@@ -33,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
+    "op8_minhash": op8_minhash,
     "op10_token_ids": op10_token_ids,
 }
 
