@@ -9,11 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.binary import token_shards
 from tessera.llm.common import documents, pages
 from tessera.llm.digest_index import index_documents
+from tessera.llm.langid import identify
+from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack
+from tessera.llm.quality import judge
+from tessera.llm.urls import judge_urls
 from tessera.llm.warc import archive_pages
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(pages(spark, sf_dir))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(pages(spark, sf_dir))
 
@@ -26,19 +38,31 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=4)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op3_url_filter": op3_url_filter,
     "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
+    "op7_mixing": op7_mixing,
     "op8_minhash": op8_minhash,
+    "op9_quality": op9_quality,
     "op10_token_ids": op10_token_ids,
 }
 
