@@ -14,6 +14,7 @@ from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import judge
+from tessera.llm.sketches import fingerprints
 from tessera.llm.urls import judge_urls
 from tessera.llm.warc import archive_pages
 
@@ -22,6 +23,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages(spark, sf_dir))
 
@@ -56,6 +61,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_fingerprints": op2_fingerprints,
     "op3_url_filter": op3_url_filter,
     "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
