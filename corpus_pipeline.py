@@ -5,22 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.digest_index import drop_copies
+from tessera.llm.mixing import mixed
+from tessera.llm.neardup import drop_near_duplicates
 from tessera.llm.packing import pack
+from tessera.llm.quality import keep_good
 from tessera.scratch import Scratch
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality scorer, taught by weak labels, does not reject."""
+    return keep_good(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of equal texts, by the digest index."""
     return drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: five words, similarity 0.8."""
+    return drop_near_duplicates(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once; those of smaller sources again, up to twice in all."""
+    return mixed(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document; copies made by the mixture are packed too."""
     return pack(docs)
 
 
 STAGES = [
+    ("quality classifier", quality),
     ("exact dedup", exact_dedup),
+    ("minhash near-dedup", near_dedup),
+    ("mixing", mixture),
     ("packing", packing),
 ]
 
