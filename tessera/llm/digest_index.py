@@ -88,7 +88,8 @@ def index_documents(
         digests(docs).groupBy("doc_id", "digest").agg(F.count("*").alias("copies")), "digests"
     )
     index = DigestIndex(docs.sparkSession, place or folder(scratch, "index"))
-    cuts = counted.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)
+    shares = [k / batches for k in range(1, batches)]
+    cuts = counted.approxQuantile("doc_id", shares, 0.01) if shares else []
     edges = [None, *sorted({int(c) for c in cuts}), None]
     for low, high in zip(edges, edges[1:]):
         batch = counted.where("doc_id IS NOT NULL")
