@@ -32,6 +32,12 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def id_key(name: str) -> Column:
+    """An id as a key that joins also where it is null: joins and windows on it share one
+    shuffle, which null-safe comparisons do not."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
 def folder(scratch: Scratch, name: str) -> str:
     """A new folder of the shared scratch space as a URI that tasks can open."""
     path = scratch.path(name)

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import folder, text_or_empty
+from tessera.llm.common import folder, id_key, text_or_empty
 from tessera.scratch import Scratch, lookup_table
 
 BUCKETS = 16
@@ -114,14 +114,13 @@ def drop_copies(docs: DataFrame, scratch: Scratch | None = None, **options) -> D
     scratch = scratch or Scratch(docs.sparkSession)
     decided = index_documents(docs, scratch, **options).where("kept")
     keep = lookup_table(
-        decided.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")),
+        decided.select(id_key("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")),
         "keep", scratch,
     )
     plain = F.regexp_replace(text_or_empty(), SPACE, " ")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.col("doc_id").cast("long").alias("_doc"), F.unhex(F.sha2(plain, 256)).alias("_sha"),
+        id_key("doc_id").alias("_id"), F.unhex(F.sha2(plain, 256)).alias("_digest"),
     )
-    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest"))
-    first = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_doc"))
-    return rows.join(keep, same).withColumn("_n", first).where("_n = 1").select("_row.*")
+    first = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_id"))
+    return rows.join(keep, ["_id", "_digest"]).withColumn("_n", first).where("_n = 1").select("_row.*")

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import all_parts, ordered, text_or_empty
+from tessera.llm.common import all_parts, id_key, ordered, text_or_empty
 from tessera.scratch import Scratch, lookup_table
 
 TABLES, CELLS = 3, 8
@@ -181,31 +181,29 @@ def differences(pairs: DataFrame, keys: list[str], scratch: Scratch, digests: bo
 
 
 def _neighbours(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """For each key (``doc_id``, ``h``) the next and the one before, around the end, and the
+    """For each key (``k``, ``h``) the next and the one before, around the end, and the
     characters of the one before.  Only ids are ordered, in ranges; the ends of the ranges
     are as many rows as there were partitions."""
     table = ordered(scratch, keys, [F.col("doc_id").asc_nulls_first(), F.col("h")], "order")
-    own = F.struct("doc_id", "h", "n")
+    own = F.struct("k", "h", "n")
     ends = table.groupBy("_part").agg(
-        F.min_by(own, "_at").alias("head"), F.max_by(own, "_at").alias("tail"), F.max("_at").alias("_end")
+        F.min_by(own, "_at").alias("head"), F.max_by(own, "_at").alias("tail")
     )
     parts = all_parts()
     whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select(
-        F.col("_part").alias("part"), F.col("_end").alias("end"),
-        F.coalesce(F.lead("head").over(parts), F.first("head").over(whole)).alias("after"),
+        "_part", F.coalesce(F.lead("head").over(parts), F.first("head").over(whole)).alias("after"),
         F.coalesce(F.lag("tail").over(parts), F.last("tail").over(whole)).alias("before"),
     )
     ends = lookup_table(ends, "range-ends", scratch)
     line = Window.partitionBy("_part").orderBy("_at")
     near = table.withColumns({"up": F.lead(own).over(line), "down": F.lag(own).over(line)})
-    near = near.join(ends, F.col("_part") == F.col("part"))
+    near = near.join(ends, "_part")
     after, before = F.coalesce("up", "after"), F.coalesce("down", "before")
     return lookup_table(
         near.select(
-            F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "copies",
-            after["doc_id"].alias("next_doc"), after["h"].alias("next_h"),
-            before["doc_id"].alias("prev_doc"), before["h"].alias("prev_h"), before["n"].alias("prev_n"),
+            "k", "h", "copies", after["k"].alias("next_k"), after["h"].alias("next_h"),
+            before["k"].alias("prev_k"), before["h"].alias("prev_h"), before["n"].alias("prev_n"),
         ), "neighbours", scratch,
     )
 
@@ -226,62 +224,58 @@ def fingerprints(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    texts = texts.withColumn("h", F.xxhash64("text"))
-    keys = texts.groupBy("doc_id", "h").agg(
+    texts = texts.withColumns({"k": id_key("doc_id"), "h": F.xxhash64("text")})
+    keys = texts.groupBy("doc_id", "k", "h").agg(
         F.count("*").alias("copies"), F.max(F.length("text")).cast("long").alias("n")
     )
     near = _neighbours(keys, scratch)
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))
-    copy = F.row_number().over(Window.partitionBy("of", "of_h").orderBy("doc_id"))
-    joined = texts.join(near, same).withColumn("copy", copy)
+    copy = F.row_number().over(Window.partitionBy("k", "h").orderBy("k"))
+    joined = texts.join(near, ["k", "h"]).withColumn("copy", copy)
     # Of rows that repeat, all but the last follow each other; one of those stands for them.
     joined = joined.where("copy >= copies - 1").withColumns({
         "last": F.col("copy") == F.col("copies"),
         "times": F.when(F.col("copy") == F.col("copies"), 1).otherwise(F.col("copies") - 1),
     })
     heads = joined.where("last").select(
-        F.col("prev_doc").alias("to"), F.col("prev_h").alias("to_h"),
+        F.col("prev_k").alias("k"), F.col("prev_h").alias("h"),
         F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("head"),
     )
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    to = F.col("of").eqNullSafe(F.col("to")) & (F.col("of_h") == F.col("to_h"))
     taken = F.when(F.col("last"), F.col("head")).otherwise(F.substring("text", F.lit(1), quarter))
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), taken)
     base = scratch.write(
-        joined.join(heads, to).withColumn("edited", edited).select(
-            "of", "of_h", "last", "times", n.cast("long").alias("n_chars"),
+        joined.join(heads, ["k", "h"]).withColumn("edited", edited).select(
+            "doc_id", "k", "h", "last", "times", n.cast("long").alias("n_chars"),
             F.sha2("edited", 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"),
-            paragraph_digests(F.col("edited")).alias("changed"), "next_doc", "next_h",
+            paragraph_digests(F.col("edited")).alias("changed"), "next_k", "next_h",
         ), "digests",
     )
-    ids = ["of", "of_h", "last", "kind"]
+    ids = ["k", "h", "last", "kind"]
     other = base.where("last").select(
-        F.col("of").alias("next"), F.col("of_h").alias("next_hash"), F.col("own").alias("b")
-    )
-    followed = base.where("last").join(
-        other, F.col("next_doc").eqNullSafe(F.col("next")) & (F.col("next_h") == F.col("next_hash"))
-    )
-    pairs = base.select("of", "of_h", "last", F.lit(0).alias("kind"), F.col("own").alias("a"), F.col("changed").alias("b")).union(
-        followed.select("of", "of_h", "last", F.lit(1).alias("kind"), F.col("own").alias("a"), "b")
+        F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("own").alias("b")
     )
+    followed = base.where("last").join(other, ["next_k", "next_h"])
+    pairs = base.select(
+        "k", "h", "last", F.lit(0).alias("kind"), F.col("own").alias("a"), F.col("changed").alias("b")
+    ).union(followed.select("k", "h", "last", F.lit(1).alias("kind"), F.col("own").alias("a"), "b"))
     got = differences(pairs, ids, scratch, digests=False)
-    # With n_a and n_b only on one side, a has ``size(a)`` and b as many as both share, plus n_b.
-    by_kind = got.groupBy("of", "of_h", "last").agg(*[
-        F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}") for k in (0, 1) for c in ("n_a", "n_b")
-    ]).toDF("doc", "hash", "tail", "a0", "b0", "a1", "b1")
-
-    def likeness(k: int) -> Column:
-        shared = F.size("own") - F.col(f"a{k}")
-        union = F.size("own") + F.col(f"b{k}")
+    by_kind = got.groupBy("k", "h", "last").agg(*[
+        F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{c}_{kind}")
+        for kind in (0, 1) for c in ("n_a", "n_b")
+    ])
+
+    def likeness(kind: int) -> Column:
+        """What only one side has is known; the rest of its digests is shared."""
+        shared = F.size("own") - F.col(f"n_a_{kind}")
+        union = F.size("own") + F.col(f"n_b_{kind}")
         return F.when(union > 0, shared / union).otherwise(1.0)
 
-    match = F.col("of").eqNullSafe(F.col("doc")) & (F.col("of_h") == F.col("hash")) & (F.col("last") == F.col("tail"))
-    rows = base.join(by_kind, match).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))
+    rows = base.join(by_kind, ["k", "h", "last"]).withColumn(
+        "time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))
     )
     return rows.select(
-        F.col("of").alias("doc_id"), "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"),
         written(F.col("changed")).alias("edited_fingerprint"), likeness(0).alias("near_edited"),
         F.when(F.col("last"), likeness(1)).otherwise(1.0).alias("near_next"),
     )

@@ -16,7 +16,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import attempt_name, folder, open_uri, small_batches, spread, text_or_empty
+from tessera.llm.common import attempt_name, folder, id_key, open_uri, small_batches, spread, text_or_empty
 from tessera.scratch import Scratch, lookup_table
 
 MAGIC = b"\x1f\x8b\x08"
@@ -107,22 +107,17 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) ->
     small_batches(pages.sparkSession)
     keyed = pages.select(
         F.col("page_id").cast("long"), "url", text_or_empty("html").alias("html")
-    ).withColumn("_sha1", F.unhex(F.sha1(F.encode("html", "utf-8"))))
+    ).withColumns({"_key": id_key("page_id"), "_sha1": F.unhex(F.sha1(F.encode("html", "utf-8")))})
     largest = lookup_table(
         keyed.groupBy("_sha1").agg(F.max("page_id").alias("_largest")), "largest", scratch
     )
-    rows = keyed.select("page_id", "_sha1", F.octet_length("html").alias("_size")).distinct()
-    decided = lookup_table(rows.join(largest, "_sha1"), "decided", scratch).select(
-        F.col("page_id").alias("_page"), F.col("_sha1").alias("_digest"), "_largest", "_size"
-    )
-    joined = keyed.join(
-        decided, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_sha1") == F.col("_digest"))
-    )
-    copy = F.row_number().over(Window.partitionBy("_page", "_digest").orderBy("url"))
-    original = (F.col("_size") < least_bytes) | (
+    rows = keyed.select("_key", "_sha1").distinct()
+    decided = lookup_table(rows.join(largest, "_sha1"), "decided", scratch)
+    copy = F.row_number().over(Window.partitionBy("_key", "_sha1").orderBy("url"))
+    original = (F.octet_length("html") < least_bytes) | (
         F.col("page_id").eqNullSafe(F.col("_largest")) & (F.col("_copy") == 1)
     )
-    work = joined.withColumn("_copy", copy).withColumn("_original", original)
+    work = keyed.join(decided, ["_key", "_sha1"]).withColumn("_copy", copy).withColumn("_original", original)
     chosen = work.select("page_id", "url", "html", "_sha1", "_copy", "_original", "_largest")
     schema = "uri string, bytes long, records long"
     return scratch.write(chosen.mapInArrow(_writer(folder(scratch, "warc")), schema), "manifest")
