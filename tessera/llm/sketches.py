@@ -202,7 +202,7 @@ def _neighbours(keys: DataFrame, scratch: Scratch) -> DataFrame:
     after, before = F.coalesce("up", "after"), F.coalesce("down", "before")
     return lookup_table(
         near.select(
-            "k", "h", "copies", after["k"].alias("next_k"), after["h"].alias("next_h"),
+            "doc_id", "k", "h", "copies", after["k"].alias("next_k"), after["h"].alias("next_h"),
             before["k"].alias("prev_k"), before["h"].alias("prev_h"), before["n"].alias("prev_n"),
         ), "neighbours", scratch,
     )
@@ -223,14 +223,15 @@ def fingerprints(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     Whole texts are shuffled once, and once more the part of each that the one before takes.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    texts = texts.withColumns({"k": id_key("doc_id"), "h": F.xxhash64("text")})
-    keys = texts.groupBy("doc_id", "k", "h").agg(
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    rows = rows.withColumns({"k": id_key("doc_id"), "h": F.xxhash64("text")})
+    keys = rows.groupBy("doc_id", "k", "h").agg(
         F.count("*").alias("copies"), F.max(F.length("text")).cast("long").alias("n")
     )
     near = _neighbours(keys, scratch)
     copy = F.row_number().over(Window.partitionBy("k", "h").orderBy("k"))
-    joined = texts.join(near, ["k", "h"]).withColumn("copy", copy)
+    # Both readers of the texts take the same columns, so that they share the shuffle.
+    joined = rows.select("k", "h", "text").join(near, ["k", "h"]).withColumn("copy", copy)
     # Of rows that repeat, all but the last follow each other; one of those stands for them.
     joined = joined.where("copy >= copies - 1").withColumns({
         "last": F.col("copy") == F.col("copies"),

@@ -164,9 +164,7 @@ def head_at(source: Source, at: int):
 
 def record_at(source: Source, at: int):
     """(fields, body, place after the member) of the record that starts at ``at``, else
-    None.  The whole member must inflate, with a right check sum and length, and be
-    followed by another member or the end of the file: so a record that lies inside
-    the data of another one is not taken for a record of this file."""
+    None: the whole member must inflate, with a right check sum and length."""
     got = head_at(source, at)
     if got is None:
         return None
@@ -183,30 +181,35 @@ def record_at(source: Source, at: int):
             size += len(parts[-1])
     except zlib.error:
         return None
-    place -= len(inflate.unused_data)
-    if size != want or (place < source.size and source.block(place, 3) != MAGIC):
+    if size != want:
         return None
-    return fields, b"".join(parts)[:-4], place
+    return fields, b"".join(parts)[:-4], place - len(inflate.unused_data)
 
 
 def records_in(source: Source, first: int, last: int):
-    """(fields, body) of the records that start in ``[first, last)``."""
-    at = first
+    """(fields, body) of the records that start in ``[first, last)``.
+
+    Inside a file the first record is searched for.  A record that lies inside the data of
+    another one is not taken for it, as no member follows its end; only data that hold two
+    members in a row, uncompressed, could mislead a range that begins within them.
+    """
+    at, sure = first, first == 0
     while at < last:
-        data = source.block(at, min(BLOCK, last - at) + len(MAGIC) - 1)
-        found = data.find(MAGIC)
-        if found < 0:
-            at += max(1, len(data) - len(MAGIC) + 1)
-            continue
-        at += found
-        if at >= last:
-            return
+        if not sure:
+            data = source.block(at, min(BLOCK, last - at) + len(MAGIC) - 1)
+            found = data.find(MAGIC)
+            if found < 0:
+                at += max(1, len(data) - len(MAGIC) + 1)
+                continue
+            at += found
+            if at >= last:
+                return
         got = record_at(source, at)
-        if got is None:
-            at += 1
+        if got is None or not (sure or got[2] >= source.size or head_at(source, got[2])):
+            at, sure = at + 1, False
             continue
         yield got[0], got[1]
-        at = got[2]
+        at, sure = got[2], True
 
 
 def _reader(batches):

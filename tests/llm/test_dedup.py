@@ -4,13 +4,12 @@ import re
 
 import numpy as np
 import pytest
+from brute import groups
 
 from tessera.llm import digest_index, neardup
 from tessera.llm.components import components
 from tessera.scratch import Scratch
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
 
 def key(i):
     return (i is None, i or 0)
@@ -77,34 +76,6 @@ def test_anti_join_reads_buckets_as_they_are(spark, tmp_path):
     index.close()
 
 
-def shingles(text, k):
-    words = [w for w in re.split("[\x20\x09-\x0d]+", (text or "").translate(LOWER)) if w]
-    if len(words) < k:
-        return frozenset([tuple(words)] if words else [])
-    return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
-
-
-def groups(rows, k, percent=80):
-    """Rows that are connected, by comparing all pairs."""
-    sets = [shingles(r[1], k) for r in rows]
-    parent = list(range(len(rows)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(rows)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * len(sets[a] | sets[b]):
-                parent[root(a)] = root(b)
-    found: dict = {}
-    for a in range(len(rows)):
-        found.setdefault(root(a), []).append(a)
-    return found.values(), sets
-
-
 def near(rows, k):
     out = []
     found, sets = groups(rows, k)
