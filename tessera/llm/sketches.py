@@ -231,7 +231,7 @@ def fingerprints(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     near = _neighbours(keys, scratch)
     copy = F.row_number().over(Window.partitionBy("k", "h").orderBy("k"))
     # Both readers of the texts take the same columns, so that they share the shuffle.
-    joined = rows.select("k", "h", "text").join(near, ["k", "h"]).withColumn("copy", copy)
+    joined = rows.select("k", "h", "text").join(near.hint("merge"), ["k", "h"]).withColumn("copy", copy)
     # Of rows that repeat, all but the last follow each other; one of those stands for them.
     joined = joined.where("copy >= copies - 1").withColumns({
         "last": F.col("copy") == F.col("copies"),
