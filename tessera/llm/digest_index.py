@@ -123,4 +123,4 @@ def drop_copies(docs: DataFrame, scratch: Scratch | None = None, **options) -> D
         id_key("doc_id").alias("_id"), F.unhex(F.sha2(plain, 256)).alias("_digest"),
     )
     first = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_id"))
-    return rows.join(keep, ["_id", "_digest"]).withColumn("_n", first).where("_n = 1").select("_row.*")
+    return rows.join(keep.hint("merge"), ["_id", "_digest"]).withColumn("_n", first).where("_n = 1").select("_row.*")

@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) ->
     original = (F.octet_length("html") < least_bytes) | (
         F.col("page_id").eqNullSafe(F.col("_largest")) & (F.col("_copy") == 1)
     )
-    work = keyed.join(decided, ["_key", "_sha1"]).withColumn("_copy", copy).withColumn("_original", original)
+    work = keyed.join(decided.hint("merge"), ["_key", "_sha1"]).withColumn("_copy", copy).withColumn("_original", original)
     chosen = work.select("page_id", "url", "html", "_sha1", "_copy", "_original", "_largest")
     schema = "uri string, bytes long, records long"
     return scratch.write(chosen.mapInArrow(_writer(folder(scratch, "warc")), schema), "manifest")
