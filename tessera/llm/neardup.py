@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, text_or_empty
+from tessera.llm.common import id_key, small_batches, text_or_empty
 from tessera.llm.components import components
 from tessera.llm.words import mix, span_hashes
 from tessera.scratch import Scratch, lookup_table
@@ -207,8 +207,9 @@ class NearDuplicates:
 
         return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)
 
-    def links(self) -> DataFrame:
-        """Verified links (``a``, ``b``) that connect what the candidates connect."""
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """Verified links (``a``, ``b``) that connect what the candidates connect, and the
+        components (``node``, ``component``) that they make."""
         scratch = self.scratch
         banded = self.classes.where("n_shingles > 0").select(
             "node", F.explode(self._bands()).alias("bucket")
@@ -223,7 +224,9 @@ class NearDuplicates:
         )
         members = scratch.write(members.join(degrees, "node").drop("size"), "ranked")
         self._fetch(degrees.select("node"))
-        tested = found = None
+        empty = self.classes.sparkSession.createDataFrame
+        found, labels = empty([], "a long, b long"), empty([], "node long, component long")
+        tested = None
         for turn in range(STAR_ROUNDS + 1):
             pairs = self._stars(members) if turn < STAR_ROUNDS else self._rest(members)
             if tested is not None:
@@ -233,20 +236,21 @@ class NearDuplicates:
                 break
             tested = pairs if tested is None else tested.union(pairs)
             good = self._verified(pairs)
-            found = good if found is None else scratch.write(found.union(good), "found")
-            labels = lookup_table(components(found, scratch), "labels", scratch)
-            members = scratch.write(self._apart(members, labels), "apart")
-            if members.isEmpty():
-                break
-        if found is None:
-            return self.classes.sparkSession.createDataFrame([], "a long, b long")
-        return found
+            if not good.isEmpty():
+                # What is known is kept as stars, so each turn adds only its own links.
+                found = found.union(good)
+                known = labels.where("node <> component").select("node", "component").toDF("a", "b")
+                labels = lookup_table(components(known.union(good), scratch), "labels", scratch)
+            if turn < STAR_ROUNDS:
+                members = scratch.write(self._apart(members, labels), "apart")
+                if members.isEmpty():
+                    break
+        return found, labels
 
     def _apart(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of buckets that still hold more than one component."""
         label = F.coalesce("component", "node").alias("label")
         now = members.join(labels, "node", "left").select("bucket", "node", "degree", label)
-        now = self.scratch.write(now, "labelled")
         open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         open_ = lookup_table(open_.where("lo < hi").select("bucket"), "open", self.scratch)
         return now.join(open_, "bucket")
@@ -274,12 +278,11 @@ class NearDuplicates:
 
     def _fetch(self, nodes: DataFrame) -> None:
         """Texts of one document of each class that shares a bucket."""
-        chosen = self.classes.join(nodes, "node").select(
-            "node", F.col("least").alias("_doc"), F.col("rep_text").alias("_hash")
-        )
+        chosen = self.classes.join(nodes, "node").select("node", "least", "rep_text")
         chosen = lookup_table(chosen, "wanted", self.scratch)
-        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-        texts = self.docs.join(chosen, same).select("node", "text")
+        same = F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("text_hash") == F.col("rep_text"))
+        # The wanted texts grow with the corpus: the same join at every size.
+        texts = self.docs.join(chosen.hint("merge"), same).select("node", "text")
         self.texts = self.scratch.write(texts.dropDuplicates(["node"]), "texts")
         self.signed = self.scratch.write(
             self.classes.join(nodes, "node").select("node", "signature"), "signed"
@@ -301,7 +304,7 @@ class NearDuplicates:
     def labelled(self) -> DataFrame:
         """The classes with ``component_id``, the smallest ``doc_id`` of their component, and
         ``core``, the node of the class that has it."""
-        labels = components(self.links(), self.scratch)
+        _, labels = self.links()
         mine = self.classes.join(labels, "node", "left").select(
             "hi", "lo", "node", "least", "rep_text", "n_shingles",
             F.coalesce("component", "node").alias("label"),
@@ -352,12 +355,12 @@ def drop_near_duplicates(
     best = work.labelled().where("node = core AND n_shingles > 0")
     empty = work.rows.where("n_shingles = 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
     keep = best.select("least", "rep_text", F.lit(1).cast("long").alias("times")).union(empty)
-    keep = lookup_table(keep.toDF("_id", "_hash", "_times"), "keep", scratch)
+    keep = lookup_table(keep.toDF("_doc", "_hash", "_times"), "keep", scratch)
+    keep = keep.select(id_key("_doc").alias("_id"), "_hash", "_times")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.col("doc_id").cast("long").alias("_doc"),
-        F.xxhash64(text_or_empty()).alias("_text"),
-    )
-    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
-    copy = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_doc"))
-    return rows.join(keep, same).withColumn("_n", copy).where("_n <= _times").select("_row.*")
+        id_key("doc_id").alias("_id"), F.xxhash64(text_or_empty()).alias("_hash"),
+    )
+    copy = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))
+    kept = rows.join(keep.hint("merge"), ["_id", "_hash"]).withColumn("_n", copy)
+    return kept.where("_n <= _times").select("_row.*")
