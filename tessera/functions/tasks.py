@@ -119,10 +119,15 @@ def fold_region(events: list[tuple[int, int, int, int, int, int]]):
     last liberty.  Returns the per-move results ``(kind, id, x, y, uid, outcome,
     captured, merged)`` and the region's surviving stones ``(id, x, y, uid, bid)``;
     ``bid`` is the label a stone entered with.
+
+    Every group keeps a count of its stones' open sides, changed by at most four
+    steps for each stone that comes or goes and summed when groups merge, so time
+    grows in line with the events.
     """
     stone: dict[tuple[int, int], tuple[int, int, int, int, bool]] = {}
     group_of: dict[tuple[int, int], object] = {}
     members: dict[object, list[tuple[int, int]]] = {}
+    open_sides: dict[object, int] = {}
     anchor: dict[object, tuple[int, int]] = {}
     immortal: set[object] = set()
     results = []
@@ -132,33 +137,40 @@ def fold_region(events: list[tuple[int, int, int, int, int, int]]):
         return ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1))
 
     def dead(g) -> bool:
-        if g in immortal:
-            return False
-        return all(n in stone for c in members[g] for n in around(c))
+        return g not in immortal and open_sides[g] == 0
 
     def remove(g) -> int:
         cells = members.pop(g)
+        del open_sides[g]
         for c in cells:
             del stone[c], group_of[c]
+        for c in cells:
+            for n in around(c):
+                if n in stone:
+                    open_sides[group_of[n]] += 1
         return len(cells)
 
     def put(c, uid, sid, bid, wall, key) -> bool:
         """Place a stone, merge it with equal neighbours and with its label's other
         stones, report if a neighbour was equal."""
+        beside = [n for n in around(c) if n in stone]
+        for n in beside:
+            open_sides[group_of[n]] -= 1
         stone[c] = (sid, c[0], c[1], uid, bid, wall)
-        own = {group_of[n] for n in around(c) if n in stone and stone[n][3] == uid}
+        own = {group_of[n] for n in beside if stone[n][3] == uid}
         merged = bool(own)
         if key in anchor:
             own.add(group_of[anchor[key]])
         anchor.setdefault(key, c)
         big = max(own, key=lambda g: len(members[g])) if own else key
-        cells = members.setdefault(big, [])
-        cells.append(c)
+        members.setdefault(big, []).append(c)
+        open_sides[big] = open_sides.get(big, 0) + 4 - len(beside)
         group_of[c] = big
         for g in own - {big}:
             for other in members[g]:
                 group_of[other] = big
-            cells.extend(members.pop(g))
+            members[big].extend(members.pop(g))
+            open_sides[big] += open_sides.pop(g)
             if g in immortal:
                 immortal.add(big)
         if wall:

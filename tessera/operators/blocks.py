@@ -66,7 +66,10 @@ def label_blocks(
     pairs = _touching(local, owner, tile)
     if tie:
         # Of stones that share a value, all but one at most carry it as another's id.
-        shared = local.filter(F.col(tie) != F.col("id")).select("board_id", tie).distinct()
+        shared = lookup_table(
+            local.filter(F.col(tie) != F.col("id")).select("board_id", tie).distinct(),
+            "shared", scratch,
+        )
         tied = local.filter(F.col(tie) != F.col(local_out)).join(
             shared, ["board_id", tie], "left_semi"
         )
@@ -115,14 +118,18 @@ def smallest_of_component(pairs: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``pairs`` holds edges ``u > v`` per board.  Alternates the large-star and
     small-star steps (Kiveris et al., 2014), each an aggregate with map-side combine
-    and a join, until every component is a star around its minimum.
+    and a join, until every component is a star around its minimum.  The aggregates are
+    written, so the edges of a hub have a shuffle of their own that can be split.
     """
     node = ["board_id", "u"]
     while True:
         both = pairs.union(pairs.select("board_id", F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*node).agg(F.min("v").alias("_m")).select(
-            *node, F.least("_m", "u").alias("_m")
-        )
+        low = lookup_table(
+            both.groupBy(*node).agg(F.min("v").alias("_m")).select(
+                *node, F.least("_m", "u").alias("_m")
+            ),
+            "large-low", scratch,
+        )
         large = (
             both.filter("v > u")
             .join(low, node)
@@ -130,7 +137,7 @@ def smallest_of_component(pairs: DataFrame, scratch: Scratch) -> DataFrame:
             .distinct()
         )
         large = scratch.write(large, "large-star")
-        low = large.groupBy(*node).agg(F.min("v").alias("_m"))
+        low = lookup_table(large.groupBy(*node).agg(F.min("v").alias("_m")), "small-low", scratch)
         small = (
             large.join(low, node)
             .filter("v != _m")

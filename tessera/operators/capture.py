@@ -17,6 +17,7 @@ from tessera.operators.blocks import (
 )
 from tessera.operators.ingest import CELL, constraint_reason
 from tessera.operators.regions import Split, split_by
+from tessera.schema import COORD_MAX, COORD_MIN
 from tessera.scratch import Scratch, lookup_table
 
 
@@ -57,7 +58,7 @@ def settle_last(df: DataFrame, scratch: Scratch | None = None) -> Settled:
 _SLOTS = (1, 2, 3, 4)
 
 
-def cell_context(stones: DataFrame, cells: DataFrame) -> DataFrame:
+def cell_context(stones: DataFrame, cells: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """For each distinct cell with a stone on or next to it: ``taken``, the number of
     occupied ``sides``, and up to four neighbouring blocks.
 
@@ -71,8 +72,10 @@ def cell_context(stones: DataFrame, cells: DataFrame) -> DataFrame:
         sizes = sizes.join(safe.withColumn("_safe", F.lit(True)), BLOCK, "left").withColumn(
             "liberties", F.col("liberties") + F.when(F.col("_safe"), 2).otherwise(0)
         ).drop("_safe")
-    sizes = lookup_table(sizes, "sizes")
-    at = cells.select(*CELL).distinct()
+    sizes = lookup_table(sizes, "sizes", scratch)
+    # Cells off the board have no neighbours, and stepping from the largest number fails.
+    on_board = F.col("x").between(COORD_MIN, COORD_MAX) & F.col("y").between(COORD_MIN, COORD_MAX)
+    at = cells.select(*CELL).filter(on_board).distinct()
     steps = at.select(
         "board_id",
         F.col("x").alias("_x"),
@@ -107,7 +110,9 @@ def cell_context(stones: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_moves(stones: DataFrame, moves: DataFrame) -> DataFrame:
+def evaluate_moves(
+    stones: DataFrame, moves: DataFrame, scratch: Scratch | None = None
+) -> DataFrame:
     """Outcome of each candidate move on its own, without playing it.
 
     A move captures the adjacent enemy blocks whose only liberty is its cell.  It is
@@ -116,7 +121,7 @@ def evaluate_moves(stones: DataFrame, moves: DataFrame) -> DataFrame:
     suicide, lost_stones`` (own stones a suicide removes, with the move itself) and
     ``merged_bid`` (smallest adjacent own label, NULL if the stone starts a block).
     """
-    context = lookup_table(cell_context(stones, moves), "context")
+    context = lookup_table(cell_context(stones, moves, scratch), "context", scratch)
     clash = (set(context.columns) - set(CELL)) & set(moves.columns)
     if clash:
         raise ValueError(f"reserved column names in moves: {sorted(clash)}")

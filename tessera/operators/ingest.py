@@ -49,13 +49,15 @@ def check_stones(df: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
 
 def first_writers(df: DataFrame) -> DataFrame:
-    """Just the accepted rows of a capture-free load, one per cell, in one shuffle."""
+    """Just the accepted rows of ``check_stones`` for a capture-free load, in one shuffle:
+    the first writer of each cell, and every row with a NULL coordinate."""
     rest = [c for c in df.columns if c not in CELL and c != "id"]
-    ok = df.filter(constraint_reason().isNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
-    best = ok.groupBy(*CELL).agg(
+    ok = df.filter(constraint_reason().isNull())
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    best = ok.filter(placed).groupBy(*CELL).agg(
         F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in rest]
     )
-    return best.select(*df.columns)
+    return best.select(*df.columns).unionByName(ok.filter(~placed))
 
 
 def assign_ids(df: DataFrame, order: str, out: str = "id", fan: int = 65536) -> DataFrame:

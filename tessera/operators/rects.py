@@ -2,9 +2,10 @@
 
 Boxes and stones meet on tiles of the board, never on the board id alone, so a board
 or a popular area that holds a large share of the data spreads over many tasks.
-Identical boxes are answered once and joined back to their requests.  Tiles come in
-levels; a box uses the level on which it spans at most nine tiles each way, so neither
-a tiny nor a huge box meets many tiles or many stones outside it.
+Identical boxes are answered once and joined back to their requests.  The width and
+the height of tiles are chosen apart, each from levels eight times coarser than the one
+before: a box uses those on which it spans at most nine tiles each way, so whatever its
+shape it meets few tiles, and its tiles cover at most three times its extent each way.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ BOX = ["board_id", "x1", "y1", "x2", "y2"]
 STEP = 8
 """Each tile level is this much coarser than the one before."""
 FINEST = 8
+PART_CELLS = 65536
 
 
 def _levels(tile: int) -> list[int]:
@@ -31,55 +33,78 @@ def _levels(tile: int) -> list[int]:
     return edges
 
 
-def _boxes(rects: DataFrame, tile: int) -> DataFrame:
-    """Distinct boxes with their tile level ``_lvl`` and its edge ``_e``."""
-    edges = _levels(tile)
+def _clipped(rects: DataFrame) -> DataFrame:
+    """Distinct boxes with the part ``_x1 .. _y2`` that lies on the board; the bounds of a
+    request may be any 64-bit numbers, those are safe to calculate with."""
     ends = {
         "_x1": F.greatest(F.col("x1"), F.lit(COORD_MIN)),
         "_y1": F.greatest(F.col("y1"), F.lit(COORD_MIN)),
         "_x2": F.least(F.col("x2"), F.lit(COORD_MAX)),
         "_y2": F.least(F.col("y2"), F.lit(COORD_MAX)),
     }
-    clip = rects.select(*BOX).distinct().withColumns(ends).filter("_x1 <= _x2 and _y1 <= _y2")
-    extent = F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1"))
-    edge = F.lit(edges[-1])
-    level = F.lit(len(edges) - 1)
-    for i in reversed(range(len(edges) - 1)):
-        edge = F.when(extent < edges[i] * STEP, edges[i]).otherwise(edge)
-        level = F.when(extent < edges[i] * STEP, i).otherwise(level)
-    return clip.withColumns({"_lvl": level.cast("int"), "_e": edge.cast("long")})
+    return rects.select(*BOX).distinct().withColumns(ends)
+
+
+def _boxes(rects: DataFrame, tile: int) -> DataFrame:
+    """Boxes that meet the board, with the edges ``_ex``, ``_ey`` of their tiles and the
+    number ``_lvl`` of that shape."""
+    edges = _levels(tile)
+    clip = _clipped(rects).filter("_x1 <= _x2 and _y1 <= _y2")
+
+    def pick(extent: Column, values: list[int]) -> Column:
+        chosen = F.lit(values[-1])
+        for i in reversed(range(len(edges) - 1)):
+            chosen = F.when(extent < edges[i] * STEP, values[i]).otherwise(chosen)
+        return chosen
+
+    levels = list(range(len(edges)))
+    wide, high = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
+    return clip.withColumns(
+        {
+            "_lvl": (pick(wide, levels) * len(edges) + pick(high, levels)).cast("int"),
+            "_ex": pick(wide, edges).cast("long"),
+            "_ey": pick(high, edges).cast("long"),
+        }
+    )
 
 
 def _box_tiles(boxes: DataFrame) -> DataFrame:
     """One row per tile a box meets, ``_full`` if it covers the tile."""
 
-    def tile(c: str) -> Column:
-        return F.expr(f"({c} + _e div 2 - pmod({c} + _e div 2, _e)) div _e")
+    def tile(c: str, e: str) -> Column:
+        return F.expr(f"({c} + {e} div 2 - pmod({c} + {e} div 2, {e})) div {e}")
 
-    def covered(t: str, a: str, b: str) -> Column:
-        return F.expr(f"{t} * _e - _e div 2 >= {a} and {t} * _e - _e div 2 + _e - 1 <= {b}")
+    def covered(t: str, e: str, a: str, b: str) -> Column:
+        return F.expr(f"{t} * {e} - {e} div 2 >= {a} and {t} * {e} - {e} div 2 + {e} - 1 <= {b}")
 
     return (
-        boxes.withColumn("_tx", F.explode(F.sequence(tile("_x1"), tile("_x2"))))
-        .withColumn("_ty", F.explode(F.sequence(tile("_y1"), tile("_y2"))))
-        .withColumn("_full", covered("_tx", "x1", "x2") & covered("_ty", "y1", "y2"))
+        boxes.withColumn("_tx", F.explode(F.sequence(tile("_x1", "_ex"), tile("_x2", "_ex"))))
+        .withColumn("_ty", F.explode(F.sequence(tile("_y1", "_ey"), tile("_y2", "_ey"))))
+        .withColumn("_full", covered("_tx", "_ex", "x1", "x2") & covered("_ty", "_ey", "y1", "y2"))
         .select(*BOX, "_lvl", "_tx", "_ty", "_full")
     )
 
 
 def _stone_tiles(stones: DataFrame, boxes: DataFrame, tile: int) -> DataFrame:
-    """Each stone once per tile level that some box uses."""
+    """Each stone once per tile shape that some box uses."""
     used = boxes.agg(F.collect_set("_lvl")).scalar()
-    at = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("_lvl"), tile_of("x", t).alias("_tx"), tile_of("y", t).alias("_ty")
-            )
-            for i, t in enumerate(_levels(tile))
-        ]
+    edges = _levels(tile)
+    shapes = [(i * len(edges) + j, a, b) for i, a in enumerate(edges) for j, b in enumerate(edges)]
+    at = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.array_contains(used, F.lit(n)),
+                    F.struct(
+                        F.lit(n).alias("_lvl"), tile_of("x", a).alias("_tx"), tile_of("y", b).alias("_ty")
+                    ),
+                )
+                for n, a, b in shapes
+            ]
+        )
     )
     keyed = stones.select(*stones.columns, F.explode(at).alias("_t"))
-    return keyed.select(*stones.columns, "_t.*").filter(F.array_contains(used, F.col("_lvl")))
+    return keyed.select(*stones.columns, "_t.*")
 
 
 _TILE_KEY = ["board_id", "_lvl", "_tx", "_ty"]
@@ -136,19 +161,32 @@ def rect_counts(rects: DataFrame, stones: DataFrame, tile: int = FINEST) -> Data
 
 
 def rect_result_json(
-    rects: DataFrame, stones: DataFrame, part_cells: int = 65536, tile: int = FINEST
+    rects: DataFrame, stones: DataFrame, part_cells: int = PART_CELLS, tile: int = FINEST
 ) -> DataFrame:
-    """``request_id, part, body``: the stones of each box as a bare JSON array of
-    ``{x,y,uid}`` sorted by (y, x); an empty box gives ``[]``.
-
-    A box of up to ``part_cells`` cells is one document (part 0).  A larger one is
-    answered in bands of whole rows, each at most that large and each an array of
-    its own, so no single value or task grows with the box.
+    """``request_id, part, parts, body``: the stones of each box as JSON arrays of
+    ``{x,y,uid}``.
+
+    A box is answered in bands of whole rows, as many as fit ``part_cells`` cells of its
+    part on the board.  Every request has its bands ``0 .. parts - 1``, all of them, also
+    where no stone lies (``[]``); put together in order of ``part``, their elements are the
+    one array of the box, sorted by (y, x).  So no value or task grows with a box, and a
+    consumer knows when it has all of an answer.
     """
-    band = F.greatest(F.lit(1), F.floor(F.lit(part_cells) / (F.col("x2") - F.col("x1") + 1)))
+    clip = _clipped(rects).withColumns(
+        {
+            "_wide": F.greatest(F.lit(1), F.col("_x2") - F.col("_x1") + 1),
+            "_high": F.greatest(F.lit(1), F.col("_y2") - F.col("_y1") + 1),
+        }
+    ).filter("x1 <= x2 and y1 <= y2")
+    band = F.greatest(F.lit(1), F.floor(F.lit(part_cells) / F.col("_wide"))).cast("long")
+    clip = clip.withColumn("_band", band).withColumn(
+        "parts", F.ceil(F.col("_high") / F.col("_band")).cast("long")
+    )
+    split = lookup_table(clip.select(*BOX, "_y1", "_band", "parts"), "bands")
     lists = (
         _box_stones(_boxes(rects, tile), stones.select(*CELL, "uid"), tile)
-        .withColumn("part", F.floor((F.col("y") - F.col("y1")) / band).cast("long"))
+        .join(split, BOX)
+        .withColumn("part", F.floor((F.col("y") - F.col("_y1")) / F.col("_band")).cast("long"))
         .groupBy(*BOX, "part")
         .agg(F.sort_array(F.collect_list(F.struct("y", "x", "uid"))).alias("_s"))
         .select(
@@ -159,8 +197,10 @@ def rect_result_json(
             ).alias("body"),
         )
     )
-    return rects.join(lists, BOX, "left").select(
-        "request_id",
-        F.coalesce("part", F.lit(0)).cast("long").alias("part"),
-        F.coalesce("body", F.lit("[]")).alias("body"),
+    every = split.select(
+        *BOX, "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    )
+    bodies = lookup_table(every.join(lists, [*BOX, "part"], "left"), "bodies")
+    return rects.join(bodies, BOX).select(
+        "request_id", "part", "parts", F.coalesce("body", F.lit("[]")).alias("body")
     )

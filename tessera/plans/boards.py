@@ -15,6 +15,7 @@ from tessera.functions.geometry import neighbours
 from tessera.operators.blocks import label_blocks
 from tessera.operators.ingest import first_writers
 from tessera.operators.last import last_stone
+from tessera.operators.regions import decode_rows
 from tessera.schema import EVENTS
 from tessera.scratch import Scratch
 from tessera.sources.snapshot import export_snapshot, load_stones
@@ -154,6 +155,61 @@ def rect_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("request_id", "board_id", F.expr(damage).alias("qs"))
 
 
+def large_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of four shapes derived from customers: wide and thin, tall and thin, large,
+    and reaching beyond the board on both sides."""
+    boards = events(spark, sf_dir).agg((F.floor(F.max("event_id") / 1000) + 1).cast("long"))
+    k, shape = F.col("c_custkey"), F.col("c_custkey") % 4
+    row = k % 38 - 19
+
+    def bound(*ways: Column) -> Column:
+        return F.when(shape == 0, ways[0]).when(shape == 1, ways[1]).when(shape == 2, ways[2]).otherwise(ways[3])
+
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        k.alias("request_id"),
+        (k % boards.scalar()).alias("board_id"),
+        bound(-600 - k % 9, row, -400 - k % 50, F.lit(-20000)).cast("long").alias("x1"),
+        bound(row, -600 - k % 9, -30 - k % 9, row - 40).cast("long").alias("y1"),
+        bound(600 + k % 7, row + 1, 400 + k % 30, F.lit(20000)).cast("long").alias("x2"),
+        bound(row + 1, 600 + k % 7, 300 + k % 20, row + 40).cast("long").alias("y2"),
+    )
+
+
+def coded_stones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``stones`` with more on the far cells that the code rows of each board spell: a pair
+    on the coded cell, one on each corner of the coded box, and one outside it."""
+
+    def build() -> DataFrame:
+        near = stones(spark, sf_dir).drop("bid")
+        code = decode_rows(near, {"cx": 0, "cy": 2, "x1": 4, "y1": 5, "x2": 6, "y2": 7})
+        cells = [("cx", "cy"), ("cx + 1", "cy"), ("x1", "y1"), ("x2", "y2"), ("x2 + 1", "y2")]
+        far = F.array(*[
+            F.struct(F.lit(k).alias("k"), F.expr(x).alias("x"), F.expr(y).alias("y"))
+            for k, (x, y) in enumerate(cells)
+        ])
+        more = code.select("board_id", F.explode(far).alias("c")).select(
+            "board_id", (F.lit(10**12) + F.col("board_id") * 10 + F.col("c.k")).alias("id"),
+            "c.x", "c.y", F.lit(1).cast("long").alias("uid"),
+        )
+        return label_blocks(first_writers(near.unionByName(more.filter("x <= 10000 and y <= 10000"))))
+
+    return _stored(spark, sf_dir, "coded_stones", build)
+
+
+def late_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves derived from customers, to be played on ``stones``."""
+    boards = events(spark, sf_dir).agg((F.floor(F.max("event_id") / 1000) + 1).cast("long"))
+    k = F.col("c_custkey")
+    spread = (k * k * 17 + k * 7919) % 1000003
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        (k % boards.scalar()).alias("board_id"),
+        (F.lit(10**9) + k).alias("id"),
+        (spread % 38 - 19).alias("x"),
+        (F.floor(spread / 38).cast("long") % 38 - 19).alias("y"),
+        (F.floor(spread / 1444).cast("long") % 4).alias("uid"),
+    )
+
+
 def moves_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``placements`` rendered as JSON bodies; every 11th one is unusual or damaged."""
     return moves_json_of(events(spark, sf_dir))
@@ -162,7 +218,7 @@ def moves_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def moves_json_of(ev: DataFrame) -> DataFrame:
     body = (
         "case when id % 11 <> 0 then concat('{\"x\":', x, ',\"y\":', y, ',\"uid\":', uid, '}')"
-        " else case (id div 11) % 12"
+        " else case (id div 11) % 14"
         " when 0 then concat('{\"x\":\"', x, '\",\"y\":', y, ',\"uid\":', uid, '}')"
         " when 1 then concat('{\"x\":', x, '.5,\"y\":', y, ',\"uid\":', uid, '}')"
         " when 2 then concat('{\"x\":', x, ',\"uid\":', uid, '}')"
@@ -174,6 +230,8 @@ def moves_json_of(ev: DataFrame) -> DataFrame:
         " when 8 then concat('{\"x\":', x, ',\"y\":99999999999999999999,\"uid\":', uid, '}')"
         " when 9 then concat('{\"x\":1e2,\"y\":', y, ',\"uid\":', uid, '}')"
         " when 10 then concat('{\"x\":', x, ',\"y\":', y, ',\"uid\":true}')"
+        " when 11 then concat('{\"x\":', x, ',\"y\":', y, ',\"uId\":', uid, '}')"
+        " when 12 then concat('{\"X\":', x, ',\"x\":null,\"y\":', y, ',\"UID\":null,\"uiD\":', uid, '}')"
         " else '' end end"
     )
     return placements_of(ev).select("board_id", "id", F.expr(body).alias("body"))

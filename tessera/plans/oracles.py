@@ -137,11 +137,48 @@ rects AS (
   SELECT request_id, board_id, x1, y1, x2, y2 FROM boxes
   WHERE request_id % 7 <> 0 OR (request_id // 7) % 8 = 6)"""
 
+LARGE = """
+large AS (
+  SELECT c_custkey AS request_id,
+         c_custkey % (SELECT max(event_id) // 1000 + 1 FROM events) AS board_id,
+         CASE c_custkey % 4 WHEN 0 THEN -600 - c_custkey % 9 WHEN 1 THEN c_custkey % 38 - 19
+              WHEN 2 THEN -400 - c_custkey % 50 ELSE -20000 END AS x1,
+         CASE c_custkey % 4 WHEN 0 THEN c_custkey % 38 - 19 WHEN 1 THEN -600 - c_custkey % 9
+              WHEN 2 THEN -30 - c_custkey % 9 ELSE c_custkey % 38 - 59 END AS y1,
+         CASE c_custkey % 4 WHEN 0 THEN 600 + c_custkey % 7 WHEN 1 THEN c_custkey % 38 - 18
+              WHEN 2 THEN 400 + c_custkey % 30 ELSE 20000 END AS x2,
+         CASE c_custkey % 4 WHEN 0 THEN c_custkey % 38 - 18 WHEN 1 THEN 600 + c_custkey % 7
+              WHEN 2 THEN 300 + c_custkey % 20 ELSE c_custkey % 38 + 21 END AS y2
+  FROM customer),
+bands AS (
+  SELECT *, 65536 // (least(x2, 10000) - greatest(x1, -10000) + 1) AS band FROM large),
+parts AS (
+  SELECT *, ((y2 - y1 + band) // band)::BIGINT AS parts,
+         unnest(range(0, (y2 - y1 + band) // band))::BIGINT AS part
+  FROM bands)"""
+
 _RECT_MSG = """CASE WHEN request_id % 7 <> 0 THEN 'OK' ELSE CASE (request_id // 7) % 8
   WHEN 0 THEN 'no x1' WHEN 1 THEN 'x1 not int' WHEN 2 THEN 'x1<x2' WHEN 3 THEN 'no y2'
   WHEN 4 THEN 'y2 should be int' WHEN 5 THEN 'y1<y2' WHEN 6 THEN 'OK'
   ELSE 'y2 should be int' END END"""
 
+def _spelled(field: str) -> list[str]:
+    """The field in every mixture of cases; test bodies have a value under one at most."""
+    ways = [""]
+    for c in field:
+        ways = [w + d for w in ways for d in (c, c.upper())]
+    return ways
+
+
+def _json_type(field: str) -> str:
+    each = [f"nullif(json_type(j, '$.{n}'), 'NULL')" for n in _spelled(field)]
+    return f"coalesce({', '.join(each)}, 'NULL')"
+
+
+def _json_value(field: str) -> str:
+    return f"coalesce({', '.join(f"json_extract_string(j, '$.{n}')" for n in _spelled(field))})"
+
+
 MOVES_JSON = (
     "WITH"
     + PLACEMENTS
@@ -149,7 +186,7 @@ MOVES_JSON = (
 bodies AS (
   SELECT board_id, id, CASE WHEN id % 11 <> 0
       THEN '{"x":' || x || ',"y":' || y || ',"uid":' || uid || '}'
-    ELSE CASE (id // 11) % 12
+    ELSE CASE (id // 11) % 14
     WHEN 0 THEN '{"x":"' || x || '","y":' || y || ',"uid":' || uid || '}'
     WHEN 1 THEN '{"x":' || x || '.5,"y":' || y || ',"uid":' || uid || '}'
     WHEN 2 THEN '{"x":' || x || ',"uid":' || uid || '}'
@@ -161,18 +198,16 @@ bodies AS (
     WHEN 8 THEN '{"x":' || x || ',"y":99999999999999999999,"uid":' || uid || '}'
     WHEN 9 THEN '{"x":1e2,"y":' || y || ',"uid":' || uid || '}'
     WHEN 10 THEN '{"x":' || x || ',"y":' || y || ',"uid":true}'
+    WHEN 11 THEN '{"x":' || x || ',"y":' || y || ',"uId":' || uid || '}'
+    WHEN 12 THEN '{"X":' || x || ',"x":null,"y":' || y || ',"UID":null,"uiD":' || uid || '}'
     ELSE '' END END AS body
   FROM placements),
 fields AS (
   SELECT board_id, id, CASE WHEN json_valid(body) THEN body END AS j FROM bodies),
 typed AS (
   SELECT board_id, id, j, json_type(j) AS top,
-    coalesce(json_type(j, '$.x'), json_type(j, '$.X'), 'NULL') AS tx,
-    coalesce(json_type(j, '$.y'), json_type(j, '$.Y'), 'NULL') AS ty,
-    coalesce(json_type(j, '$.uid'), json_type(j, '$.Uid'), 'NULL') AS tu,
-    coalesce(json_extract_string(j, '$.x'), json_extract_string(j, '$.X')) AS vx,
-    coalesce(json_extract_string(j, '$.y'), json_extract_string(j, '$.Y')) AS vy,
-    coalesce(json_extract_string(j, '$.uid'), json_extract_string(j, '$.Uid')) AS vu
+""" + ",\n".join(f"    {_json_type(f)} AS t{f[0]}" for f in ("x", "y", "uid")) + """,
+""" + ",\n".join(f"    {_json_value(f)} AS v{f[0]}" for f in ("x", "y", "uid")) + """
   FROM fields),
 parsed AS (
   SELECT *, coalesce(top IN ('OBJECT', 'NULL')
@@ -194,18 +229,8 @@ _OPEN = (
     "list_contains({ks}, s.k + 1) AND list_contains({ks}, s.k - 1) AND "
     "list_contains({ks}, s.k + 100) AND list_contains({ks}, s.k - 100))), lambda s: s.bid))"
 )
-REPLAY = f"""WITH RECURSIVE
-spread AS (SELECT *, {_SPREAD} AS h FROM events),
-moves AS MATERIALIZED (
-  SELECT user_id AS board_id, event_id AS id, h % 6 AS x, (h // 6) % 6 AS y, event_id % 2 AS uid,
-         (h % 6 + 1) * 100 + (h // 6) % 6 + 1 AS k,
-         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
-  FROM spread),
-played AS (
-  SELECT DISTINCT board_id, 0::BIGINT AS n, 0::BIGINT AS id, '' AS outcome, 0::BIGINT AS captured,
-         0::BIGINT AS merged,
-         []::STRUCT(id BIGINT, k BIGINT, uid BIGINT, bid BIGINT)[] AS st
-  FROM moves
+_STATE = "STRUCT(id BIGINT, k BIGINT, uid BIGINT, bid BIGINT)[]"
+_PLAYED = f"""
   UNION ALL
   SELECT board_id, n, id,
     CASE WHEN occ THEN 'occupied' WHEN suicide THEN 'suicide' ELSE 'placed' END,
@@ -240,6 +265,41 @@ played AS (
                     FROM played p JOIN moves m ON m.board_id = p.board_id AND m.n = p.n + 1
                   ))))))))))"""
 
+_FIRST = "0::BIGINT AS n, 0::BIGINT AS id, '' AS outcome, 0::BIGINT AS captured, 0::BIGINT AS merged"
+
+REPLAY = (
+    f"""WITH RECURSIVE
+spread AS (SELECT *, {_SPREAD} AS h FROM events),
+moves AS MATERIALIZED (
+  SELECT user_id AS board_id, event_id AS id, h % 6 AS x, (h // 6) % 6 AS y, event_id % 2 AS uid,
+         (h % 6 + 1) * 100 + (h // 6) % 6 + 1 AS k,
+         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
+  FROM spread),
+played AS (
+  SELECT DISTINCT board_id, {_FIRST}, []::{_STATE} AS st FROM moves"""
+    + _PLAYED
+)
+
+REPLAY_ON_STONES = (
+    STONES
+    + f""",
+tries AS (
+  SELECT c_custkey % (SELECT max(event_id) // 1000 + 1 FROM events) AS board_id,
+         1000000000 + c_custkey AS id,
+         (c_custkey * c_custkey * 17 + c_custkey * 7919) % 1000003 AS h
+  FROM customer),
+moves AS MATERIALIZED (
+  SELECT board_id, id, h % 38 - 19 AS x, (h // 38) % 38 - 19 AS y, (h // 1444) % 4 AS uid,
+         (h % 38 + 1) * 100 + (h // 38) % 38 + 1 AS k,
+         row_number() OVER (PARTITION BY board_id ORDER BY id) AS n
+  FROM tries),
+played AS (
+  SELECT board_id, {_FIRST},
+         list({{'id': id, 'k': (x + 20) * 100 + y + 20, 'uid': uid, 'bid': bid}})::{_STATE} AS st
+  FROM stones GROUP BY board_id"""
+    + _PLAYED
+)
+
 _REPLAY_LOG = REPLAY + """
 SELECT m.board_id, m.id, m.x, m.y, m.uid, p.outcome, p.captured, p.merged
 FROM played p JOIN moves m ON m.board_id = p.board_id AND m.n = p.n"""
@@ -267,18 +327,30 @@ def _bits(row: int, bits: int) -> str:
     )
 
 
-_BLOCK_CODE = (
+_CODED = (
     STONES
     + f""",
-code AS (SELECT board_id, {_bits(0, 4)} AS cx, {_bits(2, 4)} AS cy FROM stones GROUP BY board_id),
-hit AS (SELECT s.board_id, s.bid FROM stones s JOIN code c ON s.board_id = c.board_id
-        AND s.x = c.cx AND s.y = c.cy)"""
-)
-_RECT_CODE = (
-    STONES
+spelled AS (
+  SELECT board_id, {_bits(0, 14)} AS cx, {_bits(2, 14)} AS cy, {_bits(4, 14)} AS x1,
+         {_bits(6, 14)} AS x2, {_bits(5, 14)} AS y1, {_bits(7, 14)} AS y2
+  FROM stones GROUP BY board_id),
+far AS (
+  SELECT board_id, 1000000000000 + board_id * 10 + k AS id,
+         [cx, cx + 1, x1, x2, x2 + 1][k + 1] AS x, [cy, cy, y1, y2, y2][k + 1] AS y, 1 AS uid
+  FROM spelled, range(5) AS r(k)),
+every_stone AS MATERIALIZED (
+  SELECT board_id, id, x, y, uid FROM stones
+  UNION ALL SELECT board_id, id, x, y, uid FROM far WHERE x <= 10000 AND y <= 10000),
+unique_cells AS MATERIALIZED (
+  SELECT * FROM every_stone QUALIFY row_number() OVER (PARTITION BY board_id, x, y ORDER BY id) = 1),"""
+    + _labelled("unique_cells", "coded")
     + f""",
-code AS (SELECT board_id, {_bits(4, 4)} AS x1, {_bits(6, 4)} AS x2, {_bits(5, 4)} AS y1,
-         {_bits(7, 4)} AS y2 FROM stones GROUP BY board_id)"""
+code AS (
+  SELECT board_id, {_bits(0, 14)} AS cx, {_bits(2, 14)} AS cy, {_bits(4, 14)} AS x1,
+         {_bits(6, 14)} AS x2, {_bits(5, 14)} AS y1, {_bits(7, 14)} AS y2
+  FROM coded GROUP BY board_id),
+hit AS (SELECT s.board_id, s.bid FROM coded s JOIN code c ON s.board_id = c.board_id
+        AND s.x = c.cx AND s.y = c.cy)"""
 )
 _IN_CODE = "s.x BETWEEN c.x1 AND c.x2 AND s.y BETWEEN c.y1 AND c.y2"
 _IN_SQUARE = "x BETWEEN 0 AND 18 AND y BETWEEN 0 AND 18"
@@ -370,7 +442,7 @@ ORACLES: dict[str, str] = {
     SELECT a.board_id, a.x, a.y, s.uid FROM area a LEFT JOIN stones s
       ON s.board_id = a.board_id AND s.x = a.x AND s.y = a.y""",
     "rect_json": f"""{STONES}, {RECTS}
-    SELECT r.request_id, 0::BIGINT AS part,
+    SELECT r.request_id, 0::BIGINT AS part, 1::BIGINT AS parts,
       coalesce((to_json(list({{'x': s.x, 'y': s.y, 'uid': s.uid}} ORDER BY s.y, s.x)
         FILTER (s.id IS NOT NULL)))::VARCHAR, '[]') AS body
     FROM rects r LEFT JOIN stones s ON s.board_id = r.board_id
@@ -416,6 +488,17 @@ ORACLES: dict[str, str] = {
     SELECT r.request_id, r.board_id, count(s.id) AS stones FROM rects r LEFT JOIN stones s
       ON s.board_id = r.board_id AND s.x BETWEEN r.x1 AND r.x2 AND s.y BETWEEN r.y1 AND r.y2
     GROUP BY ALL""",
+    "rect_counts_large": f"""{STONES}, {LARGE}
+    SELECT r.request_id, r.board_id, count(s.id) AS stones FROM large r LEFT JOIN stones s
+      ON s.board_id = r.board_id AND s.x BETWEEN r.x1 AND r.x2 AND s.y BETWEEN r.y1 AND r.y2
+    GROUP BY ALL""",
+    "rect_json_large": f"""{STONES}, {LARGE}
+    SELECT r.request_id, r.part, r.parts,
+      coalesce((to_json(list({{'x': s.x, 'y': s.y, 'uid': s.uid}} ORDER BY s.y, s.x)
+        FILTER (s.id IS NOT NULL)))::VARCHAR, '[]') AS body
+    FROM parts r LEFT JOIN stones s ON s.board_id = r.board_id AND s.x BETWEEN r.x1 AND r.x2
+      AND s.y BETWEEN r.y1 + r.part * r.band AND least(r.y2, r.y1 + (r.part + 1) * r.band - 1)
+    GROUP BY ALL""",
     "rect_join_stones": f"""{STONES}, {RECTS}
     SELECT r.request_id, s.id, s.x, s.y, s.bid, s.uid, r.board_id FROM rects r JOIN stones s
       ON s.board_id = r.board_id AND s.x BETWEEN r.x1 AND r.x2 AND s.y BETWEEN r.y1 AND r.y2""",
@@ -454,12 +537,15 @@ ORACLES: dict[str, str] = {
              QUALIFY row_number() OVER (PARTITION BY board_id ORDER BY n DESC) = 1)
     SELECT board_id, s.id AS id, s.k // 100 - 1 AS x, s.k % 100 - 1 AS y, s.bid AS bid, s.uid AS uid FROM ends""",
     "replay_log": _REPLAY_LOG,
-    "block_by_code_removed": f"""{_BLOCK_CODE} SELECT {_COLUMNS} FROM stones
+    "replay_on_stones_log": REPLAY_ON_STONES + """
+    SELECT m.board_id, m.id, m.x, m.y, m.uid, p.outcome, p.captured, p.merged
+    FROM played p JOIN moves m ON m.board_id = p.board_id AND m.n = p.n""",
+    "block_by_code_removed": f"""{_CODED} SELECT {_COLUMNS} FROM coded
       WHERE (board_id, bid) IN (SELECT (board_id, bid) FROM hit)""",
-    "block_by_code_kept": f"""{_BLOCK_CODE} SELECT {_COLUMNS} FROM stones
+    "block_by_code_kept": f"""{_CODED} SELECT {_COLUMNS} FROM coded
       WHERE (board_id, bid) NOT IN (SELECT (board_id, bid) FROM hit)""",
-    "rect_by_code_removed": f"{_RECT_CODE} SELECT s.* FROM stones s JOIN code c USING (board_id) WHERE {_IN_CODE}",
-    "rect_by_code_kept": f"{_RECT_CODE} SELECT s.* FROM stones s JOIN code c USING (board_id) WHERE NOT ({_IN_CODE})",
+    "rect_by_code_removed": f"{_CODED} SELECT s.* FROM coded s JOIN code c USING (board_id) WHERE {_IN_CODE}",
+    "rect_by_code_kept": f"{_CODED} SELECT s.* FROM coded s JOIN code c USING (board_id) WHERE NOT ({_IN_CODE})",
     "region_reset_kept": f"{STONES} SELECT {_COLUMNS} FROM stones WHERE NOT ({_IN_SQUARE})",
     "region_reset_removed": f"{STONES} SELECT {_COLUMNS} FROM stones WHERE {_IN_SQUARE}",
     "square_reset_kept": f"{STONES} SELECT {_COLUMNS} FROM stones WHERE NOT ({_IN_SQUARE})",
@@ -491,7 +577,11 @@ ORACLES: dict[str, str] = {
       FROM marked GROUP BY ALL)
     SELECT board_id, started, ended, moves FROM sessions
     WHERE ended + 1199 <= (SELECT max(s) FROM moves)""",
+    "stream_rejects": f"""{MOVES_JSON} SELECT board_id, id, code, 'not a move' AS reason
+      FROM moves WHERE code <> 0""",
     "stream_replay_log": _REPLAY_LOG,
+    "stream_replay_epochs_log": _REPLAY_LOG,
 }
+ORACLES["stream_replay_final"] = ORACLES["replay_final"]
 ORACLES["rect_join_counts_small_tiles"] = ORACLES["rect_join_counts"]
 ORACLES["block_labels_small_tiles"] = ORACLES["block_labels"]

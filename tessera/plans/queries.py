@@ -17,7 +17,6 @@ from tessera.sources.snapshot import export_snapshot, load_stones
 from tessera.sources.wire import envelope, parse_moves, parse_rect_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
-CODE_BITS = 4
 NOW = "timestamp_ntz'2024-03-01 00:00:00'"
 
 
@@ -29,6 +28,10 @@ def _on_small(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: f(boards.small_boards(spark, sf))
 
 
+def _on_coded(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: f(boards.coded_stones(spark, sf))
+
+
 def _labels(tile: int) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         loaded = ingest.first_writers(boards.placements(spark, sf))
@@ -118,6 +121,12 @@ def _replay_log(spark: SparkSession, sf: str) -> DataFrame:
     return log.withColumn("merged", F.col("merged").cast("long"))
 
 
+def _replay_on_stones(spark: SparkSession, sf: str) -> DataFrame:
+    """Boards of many regions, blocks without liberties among them, are played on."""
+    log = replay(boards.late_moves(spark, sf), boards.stones(spark, sf)).log
+    return log.withColumn("merged", F.col("merged").cast("long"))
+
+
 def _region_reset(which: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         stones = boards.stones(spark, sf)
@@ -194,6 +203,12 @@ QUERIES: dict[str, Query] = {
     "rect_join_counts_small_tiles": lambda spark, sf: rects.rect_counts(
         _good_rects(spark, sf), boards.stones(spark, sf), tile=4
     ),
+    "rect_counts_large": lambda spark, sf: rects.rect_counts(
+        boards.large_boxes(spark, sf), boards.stones(spark, sf)
+    ),
+    "rect_json_large": lambda spark, sf: rects.rect_result_json(
+        boards.large_boxes(spark, sf), boards.stones(spark, sf)
+    ),
     "rect_join_stones": lambda spark, sf: rects.rects_join(
         _good_rects(spark, sf), boards.stones(spark, sf)
     ),
@@ -217,19 +232,12 @@ QUERIES: dict[str, Query] = {
     "move_captures": _captures,
     "replay_final": _replay_final,
     "replay_log": _replay_log,
+    "replay_on_stones_log": _replay_on_stones,
     # region deletes, maintenance, aggregates, time
-    "block_by_code_removed": _on_stones(
-        lambda s: regions.delete_block_at_code(s, bits=CODE_BITS).removed
-    ),
-    "block_by_code_kept": _on_stones(
-        lambda s: regions.delete_block_at_code(s, bits=CODE_BITS).kept
-    ),
-    "rect_by_code_removed": _on_stones(
-        lambda s: regions.delete_rect_by_code(s, bits=CODE_BITS).removed
-    ),
-    "rect_by_code_kept": _on_stones(
-        lambda s: regions.delete_rect_by_code(s, bits=CODE_BITS).kept
-    ),
+    "block_by_code_removed": _on_coded(lambda s: regions.delete_block_at_code(s).removed),
+    "block_by_code_kept": _on_coded(lambda s: regions.delete_block_at_code(s).kept),
+    "rect_by_code_removed": _on_coded(lambda s: regions.delete_rect_by_code(s).removed),
+    "rect_by_code_kept": _on_coded(lambda s: regions.delete_rect_by_code(s).kept),
     "region_reset_kept": _region_reset("kept"),
     "region_reset_removed": _region_reset("removed"),
     "square_reset_kept": _on_stones(lambda s: regions.reset_square(s).kept),
@@ -244,13 +252,13 @@ QUERIES: dict[str, Query] = {
     # streams, run to the end of the available input
     "stream_ingest": stream_queries.ingest_available,
     "stream_idle_sessions": stream_queries.idle_available,
+    "stream_rejects": stream_queries.rejects_available,
     "stream_replay_log": stream_queries.replay_available,
+    "stream_replay_epochs_log": stream_queries.replay_epochs,
+    "stream_replay_final": stream_queries.replay_final,
 }
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Liberty count per block: which blocks have no way out?"""
     return QUERIES["liberty_counts"](spark, sf_dir)
-
-
-

@@ -9,7 +9,8 @@ of the other blocks need the order of play, and their 4-connected regions, divid
 by walls, cannot influence each other.  So one set-based pass settles most cells, and
 the regions that remain are folded in parallel.
 
-A region with more events than ``fold_limit`` is not folded in one task: its moves
+A region without a move keeps its stones, whatever its size.  A region with more than
+``fold_limit`` moves, or ten times as many stones, is not folded in one task: its moves
 are halved by time and the same pass is applied to each half in turn, which settles
 more cells because fewer moves compete.  A single move against an oversized region
 is evaluated with joins.  All paths are exact.
@@ -29,9 +30,11 @@ from tessera.operators.blocks import BLOCK, any_of, label_blocks, sides
 from tessera.operators.capture import captured_blocks, evaluate_moves
 from tessera.operators.ingest import CELL, constraint_reason
 from tessera.schema import TILE
-from tessera.scratch import Scratch
+from tessera.scratch import Scratch, lookup_table
 
 FOLD_LIMIT = 100_000
+STONES_PER_MOVE = 10
+"""A task folds up to ``fold_limit`` moves among this many times as many stones."""
 _LONG_AGO = -(2**63)
 _MOVE = ["board_id", "id"]
 _STATE = ["board_id", "id", "x", "y", "uid", "bid", "pinned"]
@@ -125,14 +128,15 @@ def _advance(job: _Job, stones: DataFrame, moves: DataFrame) -> tuple[DataFrame,
     A ``pinned`` stone has a liberty outside the part of the board at hand.
     """
     write = job.scratch.write
+    # Attempts are combined before they meet the stones: a popular cell is one row there.
     first = (
-        moves.join(stones.select(*CELL), CELL, "left_anti")
-        .groupBy(*CELL)
+        moves.groupBy(*CELL)
         .agg(
             F.min("id").alias("id"),
             F.min_by("uid", "id").alias("uid"),
             F.min_by("pinned", "id").alias("pinned"),
         )
+        .join(stones.select(*CELL), CELL, "left_anti")
     )
     fill = label_blocks(
         stones.withColumn("arrived", F.lit(None).cast("long")).unionByName(
@@ -174,15 +178,23 @@ def _advance(job: _Job, stones: DataFrame, moves: DataFrame) -> tuple[DataFrame,
     events = write(_events(regions, alive, moves.join(cells, CELL)), "events")
     home = ["board_id", "region"]
     arrives = F.col("kind").isin(tasks.MOVE, tasks.WALL_MOVE)
-    sizes = events.groupBy(*home).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(arrives.cast("long")).alias("n_moves")
+    sizes = write(
+        events.groupBy(*home).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(arrives.cast("long")).alias("n_moves")
+        ),
+        "region-sizes",
     )
-    big = sizes.filter(F.col("n") > job.fold_limit)
+    # Nothing happens in a region without a move: its stones stay, however many they are.
+    quiet = sizes.filter("n_moves = 0").select(*home)
+    # Moves can be halved; stones alone make a region too large only far beyond that.
+    too_many = (F.col("n_moves") > job.fold_limit) | (F.col("n") > STONES_PER_MOVE * job.fold_limit)
+    big = sizes.filter((F.col("n_moves") > 0) & too_many)
+    has_big, has_quiet = not big.isEmpty(), not quiet.isEmpty()
     small = events
-    has_big = not big.isEmpty()
+    if has_quiet:
+        small = small.join(quiet, home, "left_anti")
     if has_big:
-        big = write(big, "oversized")
-        small = events.join(big.select(*home), home, "left_anti")
+        small = small.join(big.select(*home), home, "left_anti")
     folded = write(
         small.repartition(*home)
         .sortWithinPartitions(*home, "step", "id")
@@ -203,6 +215,11 @@ def _advance(job: _Job, stones: DataFrame, moves: DataFrame) -> tuple[DataFrame,
         "captured",
         "merged",
     )
+    if has_quiet:
+        untouched = events.join(quiet, home, "left_semi").filter(F.col("kind") == tasks.PRESENT)
+        survivors = survivors.unionByName(
+            untouched.select("board_id", "id", "x", "y", "uid", "bid", F.lit(False).alias("pinned"))
+        )
     if has_big:
         more_stones, more_results = _oversized(job, events.join(big.select(*home, "n_moves"), home))
         survivors = survivors.unionByName(more_stones)
@@ -278,7 +295,10 @@ def _oversized(job: _Job, events: DataFrame) -> tuple[DataFrame, DataFrame]:
         moves = many.filter(arrives).select(
             "board_id", "id", "x", "y", "uid", "pinned"
         ).dropDuplicates(_MOVE)
-        half = moves.groupBy("board_id").agg(F.percentile_approx("id", 0.5).alias("_cut"))
+        half = lookup_table(
+            moves.groupBy("board_id").agg(F.percentile_approx("id", 0.5).alias("_cut")),
+            "cuts", job.scratch,
+        )
         timed = job.scratch.write(moves.join(half, "board_id"), "halves")
         early = timed.filter("id <= _cut").drop("_cut")
         late = timed.filter("id > _cut").drop("_cut")
@@ -305,7 +325,7 @@ def _single_moves(job: _Job, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     moves = events.filter(arrives).select(
         "board_id", "id", "x", "y", "uid", "pinned"
     ).dropDuplicates(_MOVE)
-    judged = write(evaluate_moves(now, moves), "judged")
+    judged = write(evaluate_moves(now, moves, job.scratch), "judged")
     taken = captured_blocks(
         now, judged.filter("accepted").withColumn("move_id", F.col("id"))
     ).select(*BLOCK)

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ingest import CELL
 from tessera.plans import boards
+from tessera.schema import EVENTS
 from tessera.scratch import Scratch
-from tessera.streaming.jobs import replay_log, start_replay, stream_idle, stream_ingest
+from tessera.streaming.jobs import (
+    current_stones,
+    replay_log,
+    start_replay,
+    stream_idle,
+    stream_ingest,
+    stream_rejects,
+)
 
 
 def ingest_available(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +59,57 @@ def idle_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(sessions.schema).parquet(out)
 
 
-def replay_available(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``start_replay`` over the replay moves of the test tables; its log."""
+def rejects_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``stream_rejects`` over all JSON moves of the test tables."""
+    scratch = Scratch(spark)
+    out = scratch.path("rejects")
+    refused = stream_rejects(boards.moves_json_of(boards.event_stream(spark, sf_dir)))
+    query = (
+        refused.writeStream.option("checkpointLocation", scratch.path("rejects-checkpoint"))
+        .format("parquet")
+        .trigger(availableNow=True)
+        .start(out)
+    )
+    query.awaitTermination()
+    return spark.read.schema(refused.schema).parquet(out).select("board_id", "id", "code", "reason")
+
+
+def _played(spark: SparkSession, sf_dir: str, epochs: int) -> str:
+    """Replay all events in ``epochs`` micro-batches of ascending id; the folder of results.
+
+    For more than one, the events are first cut into as many files of a stream.
+    """
     scratch = Scratch(spark)
     root = scratch.path("replay")
-    moves = boards.replay_moves_of(boards.event_stream(spark, sf_dir))
-    start_replay(moves, root, scratch.path("replay-checkpoint")).awaitTermination()
-    return replay_log(spark, root).withColumn("merged", F.col("merged").cast("long"))
+    stream = boards.event_stream(spark, sf_dir)
+    if epochs > 1:
+        source = scratch.path("source")
+        top = boards.events(spark, sf_dir).agg(F.max("event_id")).first()[0] or 0
+        for k in range(epochs):
+            low, high = (top + 1) * k // epochs, (top + 1) * (k + 1) // epochs
+            part = boards.events(spark, sf_dir).filter(F.col("event_id").between(low, high - 1))
+            part.coalesce(1).write.mode("append").parquet(source)
+        files = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1)
+        stream = files.parquet(source)
+    moves = boards.replay_moves_of(stream)
+    start_replay(moves, root, scratch.path("replay-checkpoint"), compact_every=2).awaitTermination()
+    return root
+
+
+def replay_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``start_replay`` over the replay moves of the test tables; its log."""
+    log = replay_log(spark, _played(spark, sf_dir, 1))
+    return log.withColumn("merged", F.col("merged").cast("long"))
+
+
+def replay_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in five micro-batches, each on the stones that earlier ones left."""
+    log = replay_log(spark, _played(spark, sf_dir, 5))
+    return log.withColumn("merged", F.col("merged").cast("long"))
+
+
+def replay_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stones after three micro-batches, with their labels."""
+    return current_stones(spark, _played(spark, sf_dir, 3)).select(
+        "board_id", "id", "x", "y", "bid", "uid"
+    )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def _as_rows(df: DataFrame, keep: list[str], fields: dict[str, Column]) -> DataFrame:
     """Select ``keep`` and the computed fields, each computed once per row.
 
@@ -16,46 +19,53 @@ def _as_rows(df: DataFrame, keep: list[str], fields: dict[str, Column]) -> DataF
 
 
 def _spellings(field: str) -> list[str]:
-    return list(dict.fromkeys([field, field.capitalize(), field.upper()]))
+    """All ways to write a field name in upper and lower case."""
+    return ["".join(p) for p in itertools.product(*[(c, c.upper()) for c in field])]
 
 
 def parse_moves(df: DataFrame) -> DataFrame:
     """Parse ``body`` into ``x,y,uid`` plus ``code`` (0 accepted, -1 rejected).
 
     Absent and null fields are 0, unknown fields are ignored and the case of field
-    names does not matter.  A string, a fraction, an exponent, a boolean or an
-    over-long integer rejects the record, as does anything that is neither an object
+    names does not matter: of several spellings of a field the last one that is not
+    null counts.  A string, a fraction, an exponent, a boolean or an over-long integer
+    under any spelling rejects the record, as does anything that is neither an object
     nor null.  A repeated key also rejects (unless the session sets
     ``spark.sql.variant.allowDuplicateKeys``).
     """
-    fields = ("x", "y", "uid")
+    names = {f: _spellings(f) for f in ("x", "y", "uid")}
+    every = [n for spelled in names.values() for n in spelled]
+    at = {n: i for i, n in enumerate(every)}  # column names ignore case
     keep = [c for c in df.columns if c != "body"]
-
-    def found(field: str) -> str:
-        paths = [f"try_variant_get(_v, '$.{n}', 'variant')" for n in _spellings(field)]
-        return f"coalesce({', '.join(paths)}) as _{field}"
-
-    parsed = df.selectExpr(*keep, "try_parse_json(body) as _v")
-    split = parsed.selectExpr(
-        *keep, "schema_of_variant(_v) as _top", *[found(f) for f in fields]
+    parsed = df.selectExpr(
+        *keep, "try_parse_json(body) as _v", "json_object_keys(body) as _keys"
     )
-    typed = split.selectExpr(
+    split = parsed.selectExpr(
         *keep,
-        "_top",
-        *[f"schema_of_variant(_{f}) as _t{f}" for f in fields],
-        *[f"try_variant_get(_{f}, '$', 'bigint') as _n{f}" for f in fields],
+        "schema_of_variant(_v) as _top",
+        "_keys",
+        *[f"schema_of_variant(try_variant_get(_v, '$.{n}', 'variant')) as _t{at[n]}" for n in every],
+        *[f"try_variant_get(_v, '$.{n}', 'bigint') as _n{at[n]}" for n in every],
     )
     ok = F.coalesce(F.col("_top").startswith("OBJECT<") | (F.col("_top") == "VOID"), F.lit(False))
-    for f in fields:
-        kind = F.coalesce(f"_t{f}", F.lit("VOID"))
-        ok = ok & ((kind == "VOID") | ((kind == "BIGINT") & F.col(f"_n{f}").isNotNull()))
-    judged = typed.withColumn("_ok", ok)
+    for n in every:
+        kind = F.coalesce(f"_t{at[n]}", F.lit("VOID"))
+        ok = ok & ((kind == "VOID") | ((kind == "BIGINT") & F.col(f"_n{at[n]}").isNotNull()))
+
+    def place(n: str) -> Column:
+        return F.when(F.col(f"_n{at[n]}").isNotNull(), F.array_position("_keys", n))
+
+    def last(f: str) -> Column:
+        latest = F.greatest(*[place(n) for n in names[f]])
+        return F.coalesce(*[F.when(place(n) == latest, F.col(f"_n{at[n]}")) for n in names[f]])
+
+    judged = split.withColumns({"_ok": ok} | {f"_{f}": last(f) for f in names})
     zero = F.lit(0).cast("long")
     return _as_rows(
         judged,
         keep,
         {"code": F.when(F.col("_ok"), 0).otherwise(-1).cast("long")}
-        | {f: F.when(F.col("_ok"), F.coalesce(f"_n{f}", zero)) for f in fields},
+        | {f: F.when(F.col("_ok"), F.coalesce(f"_{f}", zero)) for f in names},
     )
 
 

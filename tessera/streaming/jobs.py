@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,7 +11,7 @@ from tessera.operators.blocks import label_blocks
 from tessera.operators.ingest import CELL, constraint_reason
 from tessera.plans.replay import replay
 from tessera.schema import IDLE_SECONDS
-from tessera.scratch import Scratch
+from tessera.scratch import Scratch, lookup_table
 from tessera.sources.wire import parse_moves
 
 _KEY = ["board_id", "id"]
@@ -66,18 +66,81 @@ def stream_idle(
 _STONE = "board_id long, id long, x long, y long, uid long"
 
 
-def _before(spark: SparkSession, root: str, name: str, schema: str, epoch: int) -> DataFrame:
+BUCKETS = 64
+COMPACT_EVERY = 20
+
+
+def _tail(spark: SparkSession, root: str, name: str, schema: str, first: int, epoch: int) -> DataFrame:
+    """What the epochs from ``first`` and before ``epoch`` wrote; older folders aren't read."""
     table = spark.read.schema(f"{schema}, epoch long").parquet(f"{root}/{name}")
-    return table.filter(F.col("epoch") < epoch).drop("epoch")
+    return table.filter(F.col("epoch").between(first, epoch - 1)).drop("epoch")
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("board_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
-def _stones_before(spark: SparkSession, root: str, epoch: int) -> DataFrame:
-    placed = _before(spark, root, "placed", _STONE, epoch)
-    removed = _before(spark, root, "removed", _STONE, epoch).select(*_KEY)
+def _snapshot_at(epoch: int, every: int) -> int:
+    """The newest snapshot an epoch can read: it holds what the epochs before it left."""
+    return epoch // every * every
+
+
+def _stones_before(
+    spark: SparkSession, root: str, epoch: int, every: int, buckets: list[int] | None = None
+) -> DataFrame:
+    """The stones that the epochs before ``epoch`` left: the newest snapshot, of which only
+    the folders of ``buckets`` are read, and the epochs since."""
+    base = _snapshot_at(epoch, every)
+    placed = _tail(spark, root, "placed", _STONE, base, epoch)
+    removed = _tail(spark, root, "removed", _STONE, base, epoch).select(*_KEY)
+    if base:
+        kept = spark.read.schema(f"{_STONE}, bucket int").parquet(f"{root}/stones/epoch={base}")
+        if buckets is not None:
+            kept = kept.filter(F.col("bucket").isin(buckets))
+        placed = kept.drop("bucket").unionByName(placed)
     return placed.join(removed, _KEY, "left_anti")
 
 
-def replay_batch(moves: DataFrame, epoch: int, root: str) -> None:
+def _last_before(
+    spark: SparkSession, root: str, epoch: int, every: int, buckets: list[int] | None = None
+) -> DataFrame:
+    """The last applied id of every board."""
+    base = _snapshot_at(epoch, every)
+    schema = "board_id long, id long"
+    last = _tail(spark, root, "last", schema, base, epoch)
+    if base:
+        kept = spark.read.schema(f"{schema}, bucket int").parquet(f"{root}/ids/epoch={base}")
+        if buckets is not None:
+            kept = kept.filter(F.col("bucket").isin(buckets))
+        last = kept.drop("bucket").unionByName(last)
+    return last.groupBy("board_id").agg(F.max("id").alias("id"))
+
+
+def _compact(spark: SparkSession, root: str, epoch: int, every: int) -> None:
+    """Write the snapshot of an epoch from the one before and the epochs since.  Running it
+    again overwrites it with the same rows."""
+    before = epoch - every
+    base = {"stones": _STONE, "ids": "board_id long, id long"}
+    placed = _tail(spark, root, "placed", _STONE, before, epoch)
+    removed = _tail(spark, root, "removed", _STONE, before, epoch).select(*_KEY)
+    last = _tail(spark, root, "last", base["ids"], before, epoch)
+    if before:
+        old = {
+            n: spark.read.schema(f"{s}, bucket int").parquet(f"{root}/{n}/epoch={before}").drop("bucket")
+            for n, s in base.items()
+        }
+        placed, last = old["stones"].unionByName(placed), old["ids"].unionByName(last)
+    now = {
+        "stones": placed.join(removed, _KEY, "left_anti"),
+        "ids": last.groupBy("board_id").agg(F.max("id").alias("id")),
+    }
+    for name, rows in now.items():
+        rows.select("*", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{root}/{name}/epoch={epoch}"
+        )
+
+
+def replay_batch(moves: DataFrame, epoch: int, root: str, every: int = COMPACT_EVERY) -> None:
     """Play one micro-batch on the stones left by the epochs before it.
 
     Writes what changed under ``root``: ``placed`` and ``removed`` stones, the last
@@ -85,24 +148,31 @@ def replay_batch(moves: DataFrame, epoch: int, root: str) -> None:
     folder of its epoch.  Running an epoch again overwrites the same folders.  Rows
     of a micro-batch need no order; a move not above its board's last applied id is
     rejected as late.
+
+    Every ``every`` epochs all stones and last ids are written in buckets of boards, so a
+    micro-batch reads the buckets of its own boards and fewer than ``every`` epochs, however
+    long the stream has run.  ``every`` must stay the same for one ``root``.
     """
     spark = moves.sparkSession
     scratch = Scratch(spark)
     moves = scratch.write(moves.select(*_KEY, "x", "y", "uid"), "batch")
     late, state = moves.limit(0), None
-    touched = moves.select("board_id").distinct()
     if epoch > 0:
-        last = (
-            _before(spark, root, "last", "board_id long, id long", epoch)
+        if epoch % every == 0:
+            _compact(spark, root, epoch, every)
+        touched = lookup_table(moves.select("board_id").distinct(), "touched", scratch)
+        buckets = [r.bucket for r in touched.select(_bucket()).distinct().collect()]
+        last = lookup_table(
+            _last_before(spark, root, epoch, every, buckets)
             .join(touched, "board_id", "left_semi")
-            .groupBy("board_id")
-            .agg(F.max("id").alias("_last"))
-        )
+            .withColumnRenamed("id", "_last"),
+            "last", scratch,
+        )
         judged = scratch.write(moves.join(last, "board_id", "left"), "judged")
         late = judged.filter("id <= _last").drop("_last")
         moves = judged.filter("_last is null or id > _last").drop("_last")
         state = scratch.write(
-            _stones_before(spark, root, epoch)
+            _stones_before(spark, root, epoch, every, buckets)
             .join(touched, "board_id", "left_semi")
             .withColumn("bid", F.col("id")),
             "state",
@@ -129,7 +199,11 @@ def replay_batch(moves: DataFrame, epoch: int, root: str) -> None:
 
 
 def start_replay(
-    moves: DataFrame, root: str, checkpoint: str, available_now: bool = True
+    moves: DataFrame,
+    root: str,
+    checkpoint: str,
+    available_now: bool = True,
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Replay a stream of moves; each micro-batch is one distributed ``replay``.
 
@@ -138,14 +212,16 @@ def start_replay(
     """
     writer = (
         moves.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, epoch: replay_batch(batch, epoch, root))
+        .foreachBatch(lambda batch, epoch: replay_batch(batch, epoch, root, compact_every))
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def current_stones(spark: SparkSession, root: str) -> DataFrame:
     """The labelled stones after all epochs so far."""
-    return label_blocks(_stones_before(spark, root, 2**62))
+    placed = spark.read.schema(f"{_STONE}, epoch long").parquet(f"{root}/placed")
+    removed = spark.read.schema(f"{_STONE}, epoch long").parquet(f"{root}/removed")
+    return label_blocks(placed.drop("epoch").join(removed.select(*_KEY), _KEY, "left_anti"))
 
 
 def replay_log(spark: SparkSession, root: str) -> DataFrame:

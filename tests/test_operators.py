@@ -1,6 +1,7 @@
 """Each operator on small literal frames, and against brute force on random ones."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -10,8 +11,10 @@ from plain_fold import around, step
 from tessera.functions import geometry as geo
 from tessera.functions.clock import minute_component, minutes_since
 from tessera.operators import blocks, capture, ingest, last, rects, regions, report
+from tessera.plans.replay import replay
 from tessera.schema import STONES
 from tessera.sources.snapshot import export_snapshot, load_stones
+from tessera.sources.wire import parse_moves, parse_rect_requests
 
 CELLS = "board_id long, id long, x long, y long, uid long"
 
@@ -212,7 +215,9 @@ def test_check_stones(spark):
         (1, 5): "out_of_range", (1, 6): "null_owner", (1, 7): None, (1, 8): None,
         (1, 9): None, (2, 1): None, (1, 10): "occupied",
     }
-    assert rows(ingest.first_writers(df), "board_id", "id") == [(1, 1), (1, 3), (1, 7), (1, 10), (2, 1)]
+    accepted = rows(ingest.check_stones(df).filter("reason is null"), "board_id", "id")
+    assert rows(ingest.first_writers(df), "board_id", "id") == accepted
+    assert (1, 8) in accepted and (1, 9) in accepted
 
 
 def test_ids_and_labels(spark):
@@ -290,20 +295,56 @@ def test_rectangles(spark):
         assert got == sorted((i, len(c)) for i, c in want.items())
     got = rows(rects.rects_join(asked, df), "request_id", "x", "y")
     assert got == sorted((i, *c) for i, cs in want.items() for c in cs)
-    import json
-
     for size in (100, 65536):
-        parts = {}
+        parts, promised = {}, {}
         for r in rects.rect_result_json(asked, df, part_cells=size).collect():
             doc = [(s["x"], s["y"]) for s in json.loads(r.body)]
             assert doc == sorted(doc, key=lambda c: (c[1], c[0]))
-            parts.setdefault(r.request_id, {})[r.part] = doc
-        assert {i: sorted(sum(p.values(), [])) for i, p in parts.items()} == want
-        assert parts[99] == {0: []}
-        if size > 100:
-            assert list(parts[0]) == [0]
-        else:
-            assert len(parts[2]) > 1
+            assert r.part not in parts.setdefault(r.request_id, {})
+            parts[r.request_id][r.part] = doc
+            promised[r.request_id] = r.parts
+        # All bands are there, and in order they make the one array of the box.
+        for i, p in parts.items():
+            assert sorted(p) == list(range(promised[i]))
+            whole = sum((p[k] for k in sorted(p)), [])
+            assert whole == sorted(want[i], key=lambda c: (c[1], c[0]))
+        assert set(parts) == set(want)
+        assert parts[99] == {0: []} and promised[0] == (1 if size > 100 else 2)
+
+
+def test_extreme_bounds_end_no_batch(spark):
+    low, high = -(2**63), 2**63 - 1
+    text = [f"x1={low}&x2={high}&y1={low}&y2={high}", f"x1={high - 1}&x2={high}&y1=0&y2=1", f"x1=0&x2=1&y1={low}&y2={low + 1}", "x1=0&x2=1&y1=0&y2=1"]
+    asked = parse_rect_requests(
+        spark.createDataFrame([(i, 1, q) for i, q in enumerate(text)], "request_id long, board_id long, qs string")
+    ).filter("code = 0").drop("code", "msg")
+    df = board(spark, [(0, 0, 1), (5, 5, 2)])
+    want = {0: 2, 1: 0, 2: 0, 3: 1}
+    assert dict(rows(rects.rect_counts(asked, df), "request_id", "stones")) == want
+    assert sorted(r.request_id for r in rects.rects_join(asked, df).collect()) == [0, 0, 3]
+    found = {}
+    for r in rects.rect_result_json(asked, df, part_cells=10**9).collect():
+        found[r.request_id] = found.get(r.request_id, 0) + len(json.loads(r.body))
+    assert found == want
+    bodies = [f'{{"x":{high},"y":{low},"uid":{high}}}', f'{{"x":{low},"y":0,"uid":1}}', '{"x":0,"y":1,"uid":2}']
+    moves = parse_moves(
+        spark.createDataFrame([(1, i, b) for i, b in enumerate(bodies)], "board_id long, id long, body string")
+    )
+    judged = {r.id: (r.accepted, r.suicide) for r in capture.evaluate_moves(df, moves.drop("code")).collect()}
+    assert judged == {0: (False, False), 1: (False, False), 2: (True, False)}
+    played = {r.id: r.outcome for r in replay(moves.drop("code").withColumn("id", F.col("id") + 100), df).log.collect()}
+    assert played == {100: "out_of_range", 101: "out_of_range", 102: "placed"}
+
+
+def test_a_thin_box_meets_few_stones(spark):
+    """Tiles fit a box in width and height apart."""
+    boxes = spark.createDataFrame([(1, 1, -500, 0, 500, 1)], "request_id long, board_id long, x1 long, y1 long, x2 long, y2 long")
+    grid = spark.range(1000 * 40).selectExpr(
+        "1L as board_id", "id", "id % 1000 - 500 as x", "id div 1000 - 20 as y", "1L as uid"
+    )
+    shaped = rects._boxes(boxes, 8)
+    met = rects._box_tiles(shaped).join(rects._stone_tiles(grid, shaped, 8), rects._TILE_KEY).count()
+    assert rects.rects_join(boxes, grid).count() == 2000 and met <= 10 * 2000
 
 
 def test_rect_filter_is_pushed_down(spark, tmp_path):

@@ -1,8 +1,10 @@
 import random
+import time
 
 import pytest
 from plain_fold import play
 
+from tessera.functions import tasks
 from tessera.operators.blocks import dead_blocks, label_blocks
 from tessera.plans.replay import replay
 
@@ -127,3 +129,45 @@ def test_missing_coordinates_are_placed_apart(spark):
     log = {r.id: r.outcome for r in out.log.collect()}
     assert log == {1: "placed", 2: "placed", 3: "null_owner", 4: "placed"}
     assert {(r.id, r.bid) for r in out.final.collect()} == {(1, 1), (2, 2), (4, 4)}
+
+
+def test_regions_without_a_move_stay_whatever_their_size(spark):
+    """A liberty-less block that nothing touches, alone and beside a region that is divided."""
+    ring = [(0, 1), (0, -1), (1, 0), (-1, 0)]
+    dead = {(0, 0): (1, 1, 1)} | {c: (k + 2, 2, k + 2) for k, c in enumerate(ring)}
+    outer = [(0, 2), (0, -2), (2, 0), (-2, 0), (1, 1), (-1, 1), (1, -1), (-1, -1)]
+    closed = dead | {c: (k + 10, 1, k + 10) for k, c in enumerate(outer)}
+    calm = {0: [(100, 50, 50, 1)]}
+    for start in (dead, closed):
+        check(spark, calm, {0: start}, fold_limit=3)
+    busy = random_boards(3, 1, 6, 60, 2)[0]
+    far = {(x + 40, y): s for (x, y), s in closed.items()}
+    check(spark, {0: [(i + 100, x, y, u) for i, x, y, u in busy]}, {0: far}, fold_limit=3)
+    check(spark, {0: [(i + 100, x, y, u) for i, x, y, u in busy], 1: []}, {0: far, 1: closed}, fold_limit=5)
+
+
+def test_fold_takes_time_in_line_with_events():
+    """A large block hemmed in, with moves beside it: its liberties are not counted anew."""
+
+    def events(n):
+        side = int(n**0.5)
+        inner = [(0, k + 1, k % side, k // side, 1, 1) for k in range(side * side)]
+        rim = [(x, y) for x in range(-1, side + 1) for y in (-1, side)]
+        rim += [(x, y) for y in range(side) for x in (-1, side)]
+        moves = [(1, 10**6 + k, x, y, 2, 0) for k, (x, y) in enumerate(rim)]
+        again = [(1, 2 * 10**6 + k, *rim[k % len(rim)], 3, 0) for k in range(n)]
+        return inner + moves + again
+
+    def seconds(n):
+        begin = time.process_time()
+        results, _ = tasks.fold_region(events(n))
+        assert max(r[6] for r in results) == int(n**0.5) ** 2
+        return time.process_time() - begin
+
+    seconds(1000)
+    assert seconds(40_000) < 3.0
+    lone = [(0, k + 1, k, 0, 1, 1) for k in range(6000)]
+    beside = [(1, 10_000 + k, k, 1, 2, 0) for k in range(6000)]
+    begin = time.process_time()
+    tasks.fold_region(lone + beside)
+    assert time.process_time() - begin < 1.0

@@ -21,6 +21,13 @@ def test_moves(spark):
         '{"uid":4294967040}': (0, 0, 4294967040),
         '{"x":-0}': (0, 0, 0),
         '{"x":1} trailing': (1, 0, 0),
+        **{f'{{"x":1,"{n}":3}}': (1, 0, 3) for n in ("uId", "UId", "uiD", "uID", "UiD", "Uid", "UID")},
+        '{"x":null,"X":5}': (5, 0, 0),
+        '{"X":5,"x":null}': (5, 0, 0),
+        '{"x":1,"X":2}': (2, 0, 0),
+        '{"X":2,"x":1}': (1, 0, 0),
+        '{"UID":1,"uid":2,"uId":3,"Uid":null}': (0, 0, 3),
+        '{"x":1,"X":"2"}': None,
         '{"x":"1"}': None,
         '{"x":1.5}': None,
         '{"x":1.0}': None,
