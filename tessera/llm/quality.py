@@ -26,6 +26,8 @@ STEPS = 300
 LEAST_TRIGRAMS = 256
 """Shares of shorter texts are taken of so many trigrams: they tell less."""
 GOOD, BAD = 1, 2
+SHORT = 20
+"""Shares are taken of so many words (or letters) more: a single odd word among few says little."""
 LABELLERS = ("marks", "capitals", "bars", "repeats", "variety", "function_words", "punctuation", "length")
 
 # Frequent function words of the four languages.
@@ -71,13 +73,13 @@ def shape(text: str) -> dict[str, float] | None:
     n = len(words)
     return {
         "words": n,
-        "marks": doubled.sum() / n,
-        "capitals": kinds[_UPPER] / max(kinds[_UPPER] + kinds[_LOWER], 1),
-        "bars": (np.diff(ends, prepend=0)[_KIND[last] == _MARK] == 2).sum() / n,
-        "repeats": (words[1:] == words[:-1]).sum() / n,
+        "marks": doubled.sum() / (n + SHORT),
+        "capitals": kinds[_UPPER] / (kinds[_UPPER] + kinds[_LOWER] + SHORT),
+        "bars": (np.diff(ends, prepend=0)[_KIND[last] == _MARK] == 2).sum() / (n + SHORT),
+        "repeats": (words[1:] == words[:-1]).sum() / (n + SHORT),
         "variety": len(np.unique(words)) / n,
         "function_words": (near == words).sum() / n,
-        "punctuation": kinds[_MARK] / max(len(raw) - kinds[_SPACE], 1),
+        "punctuation": kinds[_MARK] / (len(raw) - kinds[_SPACE] + 4 * SHORT),
         "length": (len(raw) - kinds[_SPACE] - kinds[_MARK]) / n,
     }
 
