@@ -177,7 +177,7 @@ def rect_result_json(
             "_wide": F.greatest(F.lit(1), F.col("_x2") - F.col("_x1") + 1),
             "_high": F.greatest(F.lit(1), F.col("_y2") - F.col("_y1") + 1),
         }
-    ).filter("x1 <= x2 and y1 <= y2")
+    )
     band = F.greatest(F.lit(1), F.floor(F.lit(part_cells) / F.col("_wide"))).cast("long")
     clip = clip.withColumn("_band", band).withColumn(
         "parts", F.ceil(F.col("_high") / F.col("_band")).cast("long")
