@@ -85,4 +85,29 @@ ORACLES: dict[str, str] = {
                digest AS text_sha256
         FROM d WINDOW g AS (PARTITION BY digest)
     """,
+    "op8_minhash": r"""
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS shingle
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i
+                  FROM w WHERE len(words) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS MATERIALIZED (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+            HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+        reach AS (
+            SELECT doc_id, doc_id AS least FROM documents
+            UNION SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.least) AS component_id,
+               d.doc_id = min(r.least) AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r USING (doc_id)
+        GROUP BY d.doc_id, n.n
+    """,
 }
