@@ -16,7 +16,7 @@ MEMO_IDS = 64
 """Words with more ids are not remembered."""
 CALL_WORDS = 512
 """Words that go to the tokenizer in one call."""
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 """Bytes of text that are encoded together."""
 
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]

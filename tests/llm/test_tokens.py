@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.llm import binary, packing, tokens
+from tessera.llm import binary, packing, tokens, words
 from tessera.scratch import Scratch
 
 
@@ -44,6 +44,21 @@ def test_encoder_forgets_and_stays_right(plain, prose, monkeypatch):
         assert encoder.encode([prose(k, 100)])[0].tolist() == plain(prose(k, 100))
 
 
+def test_hashes_of_spans_across_blocks(prose, monkeypatch):
+    raw = np.frombuffer((prose(3, 2000) + " " + "y" * 500 + " " + prose(3, 50)).encode(), dtype=np.uint8)
+    edges = np.flatnonzero(raw == 32)
+    starts, ends = np.append(0, edges + 1), np.append(edges, len(raw))
+    whole = words.span_hashes(raw, starts, ends)
+    by_word: dict = {}
+    for a, b, h in zip(starts.tolist(), ends.tolist(), whole.tolist()):
+        assert by_word.setdefault(raw[a:b].tobytes(), h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    monkeypatch.setattr(words, "BLOCK", 64)
+    words._kept.cache_clear()
+    assert (words.span_hashes(raw, starts, ends) == whole).all()
+    words._kept.cache_clear()
+
+
 def test_encoder_without_cuts(plain, prose):
     encoder = tokens.TextEncoder(tokens.default_path())
     encoder.cuttable = False
