@@ -1,14 +1,15 @@
 """Document fingerprints that subtract: invertible Bloom lookup sketches of paragraphs.
 
-A paragraph is a line, cut further after sentence ends.  Each distinct paragraph of a text,
-together with how often it occurs, has a 64-bit digest.  The fingerprint holds 3 tables of
+A paragraph is a line; a long one is cut at the end of the sentence that its 200th character
+lies in, and so on.  Each distinct paragraph of a text, together with how often it occurs,
+has a 64-bit digest.  The fingerprint holds 3 tables of
 8 cells; a digest goes to one cell of each, which counts it and adds it to two running
 exclusive-ors, of digests and of their check hashes.  Subtracted cell by cell, what two
 versions share vanishes, and peeling recovers the digests that differ: a cell with one
 digest left gives it away, and taking it out of its other cells frees the next.
 
-Where more differs than a sketch can hold, it is retried 16 times larger, in the form of 16
-sketches of the same size, each for the digests of one value of four further bits; only
+Where more differs than a sketch can hold, it is retried four times larger, in the form of
+four sketches of the same size, each for the digests of one value of two further bits; only
 those that fail again are enlarged again.  So a sketch is always a short array, and the
 paragraphs of a very long text spread over many rows.
 """
@@ -24,10 +25,11 @@ from tessera.llm.common import all_parts, id_key, ordered, text_or_empty
 from tessera.scratch import Scratch, lookup_table
 
 TABLES, CELLS = 3, 8
-PEELS = 10
-SPLIT_BITS = 4
-BREAK = r"\n|(?<=[.!?]) "
-EMPTY = "named_struct('n', 0L, 'key', 0L, 'chk', 0L)"
+PEELS = 6
+SPLIT_BITS = 2
+LINE = 200
+PARAGRAPH = rf"[^\n]{{1,{LINE}}}+[^\n.!?]*+[.!?]*+"
+CELL = "struct<n: bigint, key: bigint, chk: bigint>"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -36,8 +38,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def paragraph_digests(text: Column) -> Column:
-    """Distinct digests of the paragraphs of a text, empty ones left out."""
-    each = F.filter(F.split(text, BREAK), lambda p: p != "")
+    """Distinct digests of the paragraphs of a text."""
+    each = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
 
     def counted(a: Column) -> Column:
         n = F.size(a)
@@ -53,22 +55,29 @@ def paragraph_digests(text: Column) -> Column:
 
 
 def sketch(digests: Column) -> Column:
-    """The cells for an array of digests."""
-    return let(digests, lambda es: F.transform(
-        F.sequence(F.lit(0), F.lit(TABLES * CELLS - 1)),
-        lambda i: F.aggregate(
-            F.filter(es, lambda e: _in_cell(e, i)), F.expr(EMPTY),
-            lambda c, e: _cell(c["n"] + 1, c["key"].bitwiseXOR(e), c["chk"].bitwiseXOR(_check(e))),
-        ),
-    ))
+    """The cells for an array of digests, a field for each table."""
+
+    def table(t: int, es: Column) -> Column:
+        empty = F.expr(f"cast(named_struct('n', 0L, 'key', 0L, 'chk', 0L) as {CELL})")
+        return F.transform(
+            F.sequence(F.lit(0).cast("long"), F.lit(CELLS - 1).cast("long")),
+            lambda c: F.aggregate(
+                F.filter(es, lambda e: _place(e, t) == c), empty,
+                lambda x, e: _cell(x["n"] + 1, x["key"].bitwiseXOR(e), x["chk"].bitwiseXOR(_check(e))),
+            ),
+        )
+
+    return let(digests, lambda es: _tables(lambda t: table(t, es)))
+
 
+def _tables(make: Callable[[int], Column]) -> Column:
+    return F.struct(*[make(t).alias(f"t{t}") for t in range(TABLES)])
 
-def _in_cell(digest: Column, i: Column) -> Column:
-    """Cell ``i`` of all tables: whether the digest belongs to it."""
-    table = F.floor(i / CELLS).cast("int")
-    bits = F.when(table == 0, digest).when(table == 1, F.shiftrightunsigned(digest, 3))
-    bits = bits.otherwise(F.shiftrightunsigned(digest, 6))
-    return bits.bitwiseAND(F.lit(CELLS - 1)) == i % CELLS
+
+def _place(digest: Column, t: int) -> Column:
+    """The cell of a digest in table ``t``."""
+    bits = F.shiftrightunsigned(digest, 3 * t) if t else digest
+    return bits.bitwiseAND(F.lit(CELLS - 1).cast("long"))
 
 
 def _check(digest: Column) -> Column:
@@ -79,50 +88,61 @@ def _cell(n: Column, key: Column, chk: Column) -> Column:
     return F.struct(n.alias("n"), key.alias("key"), chk.alias("chk"))
 
 
+def _less(x: Column, y: Column) -> Column:
+    return _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["chk"].bitwiseXOR(y["chk"]))
+
+
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(
-        x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["chk"].bitwiseXOR(y["chk"])
-    ))
+    """Cell by cell; each side is bound once, though every table reads it."""
+    return let(a, lambda x: let(b, lambda y: _tables(lambda t: F.zip_with(x[f"t{t}"], y[f"t{t}"], _less))))
 
 
 def peel(cells: Column) -> Column:
-    """``cells`` that are left and what was ``found``: digests with +1 or -1."""
+    """The ``cells`` that are left and what was ``found``: digests with +1 or -1."""
 
     def turn(state: Column, _: Column) -> Column:
-        alone = F.filter(
-            state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"]))
-        )
-        pure = F.array_distinct(F.transform(alone, lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
+        def lone(t: int) -> Column:
+            held = F.filter(
+                state["cells"][f"t{t}"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"]))
+            )
+            return held
+
+        # With its check hash a lone cell is all that its other cells need.
+        pure = F.array_distinct(F.concat(*[lone(t) for t in range(TABLES)]))
 
         def taken(p: Column) -> Column:
-            left = F.transform(state["cells"], lambda c, i: F.aggregate(
-                F.filter(p, lambda x: _in_cell(x["key"], i)), c,
-                lambda y, x: _cell(
-                    y["n"] - x["n"], y["key"].bitwiseXOR(x["key"]), y["chk"].bitwiseXOR(_check(x["key"]))
-                ),
+            left = _tables(lambda t: F.transform(
+                state["cells"][f"t{t}"],
+                lambda c, i: F.aggregate(F.filter(p, lambda x: _place(x["key"], t) == i), c, _less),
             ))
             now = F.struct(left.alias("cells"), F.concat(state["found"], p).alias("found"))
             return F.when(F.size(p) > 0, now).otherwise(state)
 
         return let(pure, taken)
 
-    none = F.expr("cast(array() as array<struct<key: bigint, n: bigint>>)")
+    none = F.expr(f"cast(array() as array<{CELL}>)")
     start = F.struct(cells.alias("cells"), none.alias("found"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(PEELS)), start, turn)
 
 
 def written(digests: Column) -> Column:
     """The fingerprint as text: number of digests, then count, key and check of each cell."""
-    cells = F.transform(sketch(digests), lambda c: F.concat_ws(
-        ".", c["n"].cast("string"), F.hex(c["key"]), F.hex(c["chk"].bitwiseAND(F.lit(0xFFFFFFFF)))
-    ))
-    return F.concat(F.size(digests).cast("string"), F.lit(":"), F.array_join(cells, ","))
+    def line(cells: Column) -> Column:
+        all_ = F.concat(*[cells[f"t{t}"] for t in range(TABLES)])
+        return F.array_join(F.transform(all_, lambda c: F.concat_ws(
+            ".", c["n"].cast("string"), F.hex(c["key"]), F.hex(c["chk"].bitwiseAND(F.lit(0xFFFFFFFF)))
+        )), ",")
+
+    return F.concat(F.size(digests).cast("string"), F.lit(":"), let(sketch(digests), line))
 
 
 def _peeled(rows: DataFrame) -> DataFrame:
     """Add ``found`` and ``ok`` (nothing is left) for the digests ``a`` and ``b``."""
     rows = rows.withColumn("peeled", peel(subtract(sketch(F.col("a")), sketch(F.col("b")))))
-    clean = F.forall("peeled.cells", lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0))
+    clean = F.lit(True)
+    for t in range(TABLES):
+        zero = F.forall(f"peeled.cells.t{t}", lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0))
+        clean = clean & zero
     return rows.withColumn("ok", clean).withColumn("found", F.col("peeled.found")).drop("peeled")
 
 
@@ -130,11 +150,11 @@ def differences(pairs: DataFrame, keys: list[str], scratch: Scratch, digests: bo
     """What differs between the digests ``a`` and ``b`` of each pair: ``keys``, ``n_a`` and
     ``n_b`` (how many only one side has) and, on request, the digests ``only_a``, ``only_b``.
 
-    Sketches that do not peel are retried on 16 parts of their digests, as often as needed;
+    Sketches that do not peel are retried on four parts of their digests, as often as needed;
     each try is a written table.  The parts of one pair are added up by hash aggregation.
     """
     tries, depth, todo = [], 0, pairs.select(*keys, "a", "b")
-    keep = F.col("found") if digests else F.expr("cast(null as array<struct<key: bigint, n: bigint>>)")
+    keep = F.col("found") if digests else F.expr(f"cast(null as array<{CELL}>)")
     while True:
         done = _peeled(todo)
         table = scratch.write(
@@ -155,8 +175,8 @@ def differences(pairs: DataFrame, keys: list[str], scratch: Scratch, digests: bo
             raise RuntimeError("digests cannot be told apart")
 
         def part(side: str, j: Column) -> Column:
-            mine = F.shiftrightunsigned  # the next bits of a digest choose its part
-            return F.filter(side, lambda e: mine(e, shift).bitwiseAND(F.lit((1 << SPLIT_BITS) - 1)) == j)
+            mask = F.lit((1 << SPLIT_BITS) - 1).cast("long")  # the next bits choose the part
+            return F.filter(side, lambda e: F.shiftrightunsigned(e, shift).bitwiseAND(mask) == j)
 
         parts = F.transform(
             F.sequence(F.lit(0).cast("long"), F.lit((1 << SPLIT_BITS) - 1).cast("long")),

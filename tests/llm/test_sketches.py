@@ -11,7 +11,7 @@ from tessera.scratch import Scratch
 
 def paragraphs(text):
     """Distinct paragraphs with how often each occurs."""
-    return frozenset(Counter(p for p in re.split(r"\n|(?<=[.!?]) ", text) if p).items())
+    return frozenset(Counter(re.findall(sketches.PARAGRAPH, text)).items())
 
 
 def likeness(a, b):
