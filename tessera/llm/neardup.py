@@ -7,8 +7,9 @@ probability; survivors are verified on their full shingle sets.
 
 Within a bucket not all pairs are compared.  Every bucket first compares its members with
 one centre, the member that meets most others over all bands.  What is linked then needs
-no further comparison for the components; only members of one bucket that still lie in
-different components are compared with each other, until no such pair is left.
+no further comparison for the components.  A centre has met its whole bucket and leaves it;
+while the others still lie in different components, each turn takes more centres among them
+and compares those with all that are in another component, until no such pair is left.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ BANDS, ROWS = 32, 4
 BATCH = 16
 MISS = 1e-7
 """Accepted probability that a pruned pair is similar enough."""
-STAR_ROUNDS = 2
+STAR_ROUNDS = 8
+"""After so many turns, with up to 4**turn centres each, what is left is compared pair by pair."""
+CENTRES = 4
+"""Each turn takes so many times as many centres of a bucket as the one before."""
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -228,46 +232,57 @@ class NearDuplicates:
         found, labels = empty([], "a long, b long"), empty([], "node long, component long")
         tested = None
         for turn in range(STAR_ROUNDS + 1):
-            pairs = self._stars(members) if turn < STAR_ROUNDS else self._rest(members)
+            centres = self._centres(members, turn) if turn < STAR_ROUNDS else None
+            pairs = self._rest(members) if centres is None else self._stars(members, centres)
+            pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
+            pairs = pairs.dropDuplicates(["lo", "hi"])
             if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = scratch.write(pairs, "pairs")
-            if pairs.isEmpty():
-                break
-            tested = pairs if tested is None else tested.union(pairs)
-            good = self._verified(pairs)
-            if not good.isEmpty():
-                # What is known is kept as stars, so each turn adds only its own links.
-                found = found.union(good)
-                known = labels.where("node <> component").select("node", "component").toDF("a", "b")
-                labels = lookup_table(components(known.union(good), scratch), "labels", scratch)
-            if turn < STAR_ROUNDS:
-                members = scratch.write(self._apart(members, labels), "apart")
+                pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
+            pairs = scratch.write(pairs.select("a", "b", "lo", "hi"), "pairs")
+            if not pairs.isEmpty():
+                now = pairs.select("lo", "hi")
+                tested = now if tested is None else tested.union(now)
+                good = self._verified(pairs.select("a", "b"))
+                if not good.isEmpty():
+                    # What is known is kept as stars, so each turn adds only its own links.
+                    found = found.union(good)
+                    known = labels.where("node <> component").select("node", "component").toDF("a", "b")
+                    labels = lookup_table(components(known.union(good), scratch), "labels", scratch)
+            if centres is not None:
+                # A turn without new pairs or links still uses up its centres.
+                members = scratch.write(self._apart(members, centres, labels), "apart")
                 if members.isEmpty():
                     break
         return found, labels
 
-    def _apart(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of buckets that still hold more than one component."""
+    def _apart(self, members: DataFrame, centres: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members that were no centre yet, of buckets in which those are of more than one
+        component."""
+        used = centres.select("bucket", F.col("centre").alias("node"))
         label = F.coalesce("component", "node").alias("label")
-        now = members.join(labels, "node", "left").select("bucket", "node", "degree", label)
+        now = members.join(used, ["bucket", "node"], "left_anti").join(labels, "node", "left")
+        now = now.select("bucket", "node", "degree", label)
         open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         open_ = lookup_table(open_.where("lo < hi").select("bucket"), "open", self.scratch)
         return now.join(open_, "bucket")
 
-    def _stars(self, members: DataFrame) -> DataFrame:
-        """Each member with the centre of its bucket, if that is in another component."""
-        first = "label" not in members.columns
-        if first:
-            members = members.withColumn("label", F.col("node"))
-        centre = members.groupBy("bucket").agg(
-            F.max(F.struct("degree", F.expr("-node").alias("low"), "label")).alias("c")
-        )
-        centre = lookup_table(
+    def _centres(self, members: DataFrame, turn: int) -> DataFrame:
+        """Up to ``CENTRES**turn`` members of each bucket: of those that a hash puts together,
+        the one that meets most others."""
+        label = F.col("label" if "label" in members.columns else "node")
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(CENTRES**turn)).alias("slot")
+        best = F.max(F.struct("degree", F.expr("-node").alias("low"), label.alias("label")))
+        centre = members.groupBy("bucket", slot).agg(best.alias("c"))
+        return lookup_table(
             centre.select("bucket", F.expr("-c.low").alias("centre"), F.col("c.label").alias("core")),
             "centres", self.scratch,
         )
-        pairs = members.join(centre, "bucket").where("node <> centre AND label <> core")
+
+    def _stars(self, members: DataFrame, centres: DataFrame) -> DataFrame:
+        """Each member with the centres of its bucket that are in another component."""
+        if "label" not in members.columns:
+            members = members.withColumn("label", F.col("node"))
+        pairs = members.join(centres, "bucket").where("node <> centre AND label <> core")
         return pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
     def _rest(self, members: DataFrame) -> DataFrame:

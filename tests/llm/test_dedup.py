@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 from brute import groups
+from pyspark.sql import functions as F
 
 from tessera.llm import digest_index, neardup
 from tessera.llm.components import components
@@ -132,6 +133,21 @@ def test_rest_pairs_are_exact(spark, prose, words, monkeypatch):
     assert work.links()[0].count() >= 36
 
 
+@pytest.mark.parametrize("rounds", [1, neardup.STAR_ROUNDS])
+def test_links_that_the_first_centre_does_not_see(spark, prose, monkeypatch, rounds):
+    """All texts in one bucket, in families that have nothing in common: the first centre
+    links one family at most."""
+    monkeypatch.setattr(neardup, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(neardup.NearDuplicates, "_bands", staticmethod(lambda: F.array(F.lit(0).cast("long"))))
+    rows = []
+    for family in range(12):
+        text = prose(300 + family, 100)
+        rows += [(3 * family + k, text + " more" * k) for k in range(1 + family % 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(docs, words=4).collect()
+    assert sorted(map(tuple, got), key=str) == near(rows, 4)
+
+
 def test_near_stage(odd, odd_rows, none):
     got = neardup.drop_near_duplicates(odd, words=5)
     assert got.columns == odd.columns
