@@ -1,8 +1,7 @@
 """Document fingerprints that subtract: invertible Bloom lookup sketches of paragraphs.
 
-A paragraph is a line; a long one is cut at the end of the sentence that its 200th character
-lies in, and so on.  Each distinct paragraph of a text, together with how often it occurs,
-has a 64-bit digest.  The fingerprint holds 3 tables of
+A paragraph is a line, cut further after sentence ends.  Each distinct paragraph of a text,
+together with how often it occurs, has a 64-bit digest.  The fingerprint holds 3 tables of
 8 cells; a digest goes to one cell of each, which counts it and adds it to two running
 exclusive-ors, of digests and of their check hashes.  Subtracted cell by cell, what two
 versions share vanishes, and peeling recovers the digests that differ: a cell with one
@@ -27,8 +26,8 @@ from tessera.scratch import Scratch, lookup_table
 TABLES, CELLS = 3, 8
 PEELS = 6
 SPLIT_BITS = 2
-LINE = 200
-PARAGRAPH = rf"[^\n]{{1,{LINE}}}+[^\n.!?]*+[.!?]*+"
+PARAGRAPH = r"(?=[^\n])(?!(?<=[.!?]) )(?:[^\n.!?]++|[.!?]++(?! ))*+[.!?]*+"
+"""What line ends, and single spaces after a full stop or such, leave between them."""
 CELL = "struct<n: bigint, key: bigint, chk: bigint>"
 
 

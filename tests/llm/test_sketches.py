@@ -47,6 +47,20 @@ def test_odd_rows(spark, odd, odd_rows):
     compare(sketches.fingerprints(odd), odd_rows, spark)
 
 
+def test_paragraphs_are_cut_by_content(spark, prose):
+    """By a rule of its own: lines and sentences, wherever in a line they lie."""
+    text = " ".join(f"Sentence {k} of a long line ends here." for k in range(40))
+    more = "Put in front! " + text
+    texts = [text, more, "One. Two?  Three\n\nfour.\n five... six!", prose(9, 300), " . a", "", "x" * 100_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r.k: set(r.d) for r in frame.select("k", sketches.paragraph_digests(F.col("t")).alias("d")).collect()}
+    for k, t in enumerate(texts):
+        counts = Counter(p for p in re.split(r"\n|(?<=[.!?]) ", t) if p)
+        want = spark.createDataFrame(list(counts.items()), "p string, n int") if counts else None
+        assert got[k] == {r.d for r in want.select(F.xxhash64(F.xxhash64("p"), "n").alias("d")).collect()} if counts else got[k] == set()
+    assert len(got[0] & got[1]) == 40 and len(got[1]) == 41
+
+
 def test_rows_that_repeat(spark, prose):
     rows = [(1, prose(1, 80))] * 4 + [(2, prose(2, 50))] + [(3, prose(1, 80))] * 2
     compare(sketches.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")), rows, spark)
