@@ -22,8 +22,6 @@ from tessera.scratch import Scratch, lookup_table
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 1 << 22
 BLOCK = 1 << 16
-HEAD_LIMIT = 1 << 20
-"""A head longer than this is no head."""
 SCHEMA = (
     "page_id long, payload_bytes long, payload_digest string, record_type string, "
     "refers_to long, url string"
@@ -137,20 +135,22 @@ class Source:
 
 def head_at(source: Source, at: int):
     """(fields, inflater, inflated rest of the head's blocks, next place) of the record
-    whose member starts at ``at``; None if no record does."""
-    inflate, text, place = zlib.decompressobj(31), b"", at
-    while b"\r\n\r\n" not in text:
+    whose member starts at ``at``; None if no record does.  A head may be of any length, as
+    it holds the whole url; what does not begin like one is refused at once."""
+    inflate, text, place, seen = zlib.decompressobj(31), bytearray(), at, 0
+    while text.find(b"\r\n\r\n", seen) < 0:
+        seen = max(0, len(text) - 3)
         data = source.block(place, BLOCK if place > at else 2048)
-        if not data or len(text) > HEAD_LIMIT or inflate.eof:
+        if not data or inflate.eof:
             return None
         try:
             text += inflate.decompress(data)
         except zlib.error:
             return None
         place += len(data)
-        if not b"WARC/1.".startswith(text[:7]) and not text.startswith(b"WARC/1."):
+        if not b"WARC/1.".startswith(bytes(text[:7])):
             return None
-    head, _, rest = text.partition(b"\r\n\r\n")
+    head, _, rest = bytes(text).partition(b"\r\n\r\n")
     fields = {}
     for line in head.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -191,7 +191,8 @@ def records_in(source: Source, first: int, last: int):
 
     Inside a file the first record is searched for.  A record that lies inside the data of
     another one is not taken for it, as no member follows its end; only data that hold two
-    members in a row, uncompressed, could mislead a range that begins within them.
+    members in a row, uncompressed, could mislead a range that begins within them.  Where a
+    record must start, at the file's begin and after each record, anything else is an error.
     """
     at, sure = first, first == 0
     while at < last:
@@ -205,6 +206,8 @@ def records_in(source: Source, first: int, last: int):
             if at >= last:
                 return
         got = record_at(source, at)
+        if got is None and sure:
+            raise ValueError(f"no record starts at byte {at}")
         if got is None or not (sure or got[2] >= source.size or head_at(source, got[2])):
             at, sure = at + 1, False
             continue
@@ -267,7 +270,13 @@ def archive_pages(pages: DataFrame, scratch: Scratch | None = None, range_bytes:
     Null ``html`` is an empty payload, a null ``url`` an absent header.  A null ``page_id``
     is below all others and is read back as null.  Of rows that repeat the largest
     ``page_id`` of a payload the first by ``url`` is the response and the others revisit it.
-    An empty table gives no file and no row; further columns are ignored.
+    An empty table gives no file and no row; further columns are ignored.  It is an error if
+    not as many records are read as the manifest says were written.
     """
     scratch = scratch or Scratch(pages.sparkSession)
-    return read_archives(write_archives(pages, scratch), range_bytes)
+    manifest = write_archives(pages, scratch)
+    records = scratch.write(read_archives(manifest, range_bytes), "records")
+    wrote, read = manifest.agg(F.sum("records")).first()[0] or 0, records.count()
+    if wrote != read:
+        raise RuntimeError(f"{wrote} records were written and {read} read")
+    return records

@@ -85,3 +85,27 @@ def test_false_starts(tmp_path):
         rest = [f.get("x-page-id") for f, _ in warc.records_in(source, cut, source.size)]
         assert first + rest == [None, "6"]
     assert len(list(warc.records_in(source, 1, len(outer)))) == 0
+
+
+def test_url_longer_than_any_block(spark):
+    long = "data:," + "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(20_000))
+    rows = [(1, "http://a", "<p>1"), (2, long, "<p>2"), (3, "http://c", "<p>3"), (4, long + "4", None)]
+    pages = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    for size in (1 << 16, 1 << 22):
+        got = warc.archive_pages(pages, range_bytes=size).collect()
+        assert sorted((r.page_id, r.url) for r in got) == [r[:2] for r in rows]
+
+
+def test_what_is_no_record_is_an_error(tmp_path):
+    one = warc.record(1, "a", b"one", digest(b"one"), 1, True, 1)
+    file = tmp_path / "a.warc.gz"
+    file.write_bytes(one + b"\0" + one)
+    with pytest.raises(ValueError, match=f"byte {len(one)}"):
+        list(warc.records_in(warc.Source(f"file:{file}"), 0, 2 * len(one) + 1))
+
+
+def test_lost_records_are_noticed(spark, monkeypatch):
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a: read(*a).where("page_id <> 2"))
+    with pytest.raises(RuntimeError, match="2 records were written and 1 read"):
+        warc.archive_pages(spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], SCHEMA))
