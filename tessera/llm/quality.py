@@ -71,8 +71,13 @@ def shape(text: str) -> dict[str, float] | None:
     known = _function_words()
     near = known[np.minimum(np.searchsorted(known, words), len(known) - 1)]
     n = len(words)
+    # Code points by their first bytes: two of them from 0xC2, three and four from 0xE0.
+    wide, beyond, other = (int((raw >= first).sum()) for first in (0xE0, 0xCA, 0xC2))
+    letters = kinds[_UPPER] + kinds[_LOWER] + other
     return {
         "words": n,
+        "beyond": beyond / max(letters, 1),
+        "wide": wide / max(letters, 1),
         "marks": doubled.sum() / (n + SHORT),
         "capitals": kinds[_UPPER] / (kinds[_UPPER] + kinds[_LOWER] + SHORT),
         "bars": (np.diff(ends, prepend=0)[_KIND[last] == _MARK] == 2).sum() / (n + SHORT),
@@ -80,7 +85,7 @@ def shape(text: str) -> dict[str, float] | None:
         "variety": len(np.unique(words)) / n,
         "function_words": (near == words).sum() / n,
         "punctuation": kinds[_MARK] / (len(raw) - kinds[_SPACE] + 4 * SHORT),
-        "length": (len(raw) - kinds[_SPACE] - kinds[_MARK]) / n,
+        "length": (len(raw) - int(((raw & 0xC0) == 0x80).sum()) - kinds[_SPACE] - kinds[_MARK]) / n,
     }
 
 
@@ -89,11 +94,16 @@ def _vote(value: float, good_below: float, bad_from: float) -> int:
 
 
 def votes(seen: dict[str, float] | None) -> tuple[int, ...]:
-    """GOOD, BAD or 0 of each of LABELLERS."""
+    """GOOD, BAD or 0 of each of LABELLERS.
+
+    A text without function words may be of a language that has others: the labeller of
+    those abstains if nothing else speaks against the text and it is of another script, or
+    repeats words as any language does.  Length abstains on scripts that may do without spaces.
+    """
     if seen is None:
         return (BAD,) * len(LABELLERS)
     long = seen["words"] >= 40
-    return (
+    cast = (
         _vote(seen["marks"], 0.02, 0.08),
         _vote(seen["capitals"], 0.15, 0.3),
         _vote(seen["bars"], 0.01, 0.05),
@@ -101,8 +111,13 @@ def votes(seen: dict[str, float] | None) -> tuple[int, ...]:
         _vote(1 - seen["variety"], 0.9, 0.97) if long else 0,
         _vote(0.1 - seen["function_words"], 0.0, 0.08) if long else 0,
         _vote(seen["punctuation"], 0.06, 0.12),
-        _vote(abs(seen["length"] - 6.0), 2.5, 6.0) if long else 0,
+        _vote(abs(seen["length"] - 6.0), 2.5, 6.0) if long and seen["wide"] <= 0.5 else 0,
     )
+    at = LABELLERS.index("function_words")
+    natural = seen["beyond"] > 0.5 or seen["words"] < 100 or seen["variety"] <= 0.98
+    if cast[at] == BAD and natural and cast.count(BAD) == 1:
+        cast = (*cast[:at], 0, *cast[at + 1 :])
+    return cast
 
 
 def pattern(cast: tuple[int, ...]) -> int:

@@ -119,6 +119,38 @@ def test_quality_finds_junk_without_labels(spark, graded):
     assert all(0 <= r.score <= 1 and 0 <= r.weak_label <= 1 for r in got)
 
 
+CLEAN = {
+    "pl": "Wczoraj wieczorem poszliśmy nad rzekę, gdzie dzieci rzucały kamienie i śmiały się głośno. "
+    "Nikt nie wiedział, czy jutro będzie padać, ale wszyscy mieli nadzieję, że i tym razem się uda. ",
+    "ru": "Вчера вечером мы пошли к реке, где дети бросали камни и громко смеялись. "
+    "Никто не знал, будет ли завтра дождь, но все надеялись, что достопримечательности не закроют. ",
+    "el": "Χθες το βράδυ πήγαμε στο ποτάμι, όπου τα παιδιά πετούσαν πέτρες και γελούσαν δυνατά. ",
+    "hi": "कल शाम हम नदी के किनारे गए जहाँ बच्चे पत्थर फेंक रहे थे और ज़ोर से हँस रहे थे। ",
+    "ja": "昨日の夕方、私たちは川へ行きました。 子供たちが石を投げて大声で笑っていました。 ",
+}
+
+
+@pytest.mark.parametrize("lang", CLEAN)
+def test_no_labeller_is_against_a_further_language(lang):
+    seen = quality.shape(CLEAN[lang] * 30)
+    assert seen["words"] >= 40 and quality.BAD not in quality.votes(seen)
+
+
+def test_function_words_still_judge_what_no_language_is():
+    made = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}xqzk" for k in range(150))
+    assert quality.votes(quality.shape(made))[5] == quality.BAD
+    assert quality.votes(quality.shape(CLEAN["pl"].replace(" ", "$$$ ") * 3))[5] == quality.BAD
+
+
+def test_quality_keeps_a_further_language(spark, graded):
+    rows, truth = graded
+    russian = CLEAN["ru"].split()
+    more = [(1000 + k, " ".join((russian[k % 20 :] + russian) * 3)) for k in range(40)]
+    got = quality.judge(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()
+    assert all(r.kept for r in got if r.doc_id >= 1000)
+    assert sum(r.kept != truth[r.doc_id] for r in got if r.doc_id < 1000) <= 4
+
+
 def test_labels_equal_plain_expectation_maximisation():
     """On pattern counts the model is that of one document at a time."""
     rng = np.random.default_rng(3)
