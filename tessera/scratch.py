@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _CLEANED: set[str] = set()
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,11 +54,26 @@ class Scratch:
         return f"{self.root}/{self._n:04d}-{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Materialise ``df`` and return a frame that reads the written table."""
+        """Materialise ``df`` and return a frame that reads the written table.
+
+        The shuffle files of the write go with it, as nothing reads them again.
+        """
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEAN_UP)
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``write`` returned and nothing reads any more."""
+        for table in tables:
+            for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()[:1]}:
+                folder, fs = self._folder(path)
+                fs.delete(folder, True)
+
     def discard(self) -> None:
         """Delete this job's own intermediate tables; call when nothing reads them."""
         folder, fs = self._folder(self.root)
