@@ -21,6 +21,14 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let Arrow batches of texts hold few rows (a setting of the session)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
