@@ -15,6 +15,7 @@ from tessera.functions.geometry import neighbours
 from tessera.operators.blocks import label_blocks
 from tessera.operators.ingest import first_writers
 from tessera.operators.last import last_stone
+from tessera.operators.maintained import BlockView
 from tessera.operators.regions import decode_rows
 from tessera.schema import EVENTS
 from tessera.scratch import Scratch
@@ -119,6 +120,29 @@ def replay_moves_of(ev: DataFrame) -> DataFrame:
     return _moves(ev, F.col("user_id"), F.col("event_id") % 2, 6)
 
 
+def zoned_moves_of(ev: DataFrame) -> DataFrame:
+    """The same move logs on one board, each in the middle of a walled square of its own."""
+    moves = replay_moves_of(ev)
+    column, row = F.col("board_id") % 400, F.floor(F.col("board_id") / 400).cast("long")
+    return moves.withColumns(
+        {"x": column * 20 + 5 + F.col("x"), "y": row * 20 + 5 + F.col("y"), "board_id": F.lit(0).cast("long")}
+    )
+
+
+def view(spark: SparkSession, sf_dir: str) -> BlockView:
+    """A view of the blocks of ``placements`` after three batches: each places a third of the
+    stones, the later ones also remove some of the batch before."""
+    key = (spark.sparkContext.applicationId, sf_dir, "view")
+    if key not in _WRITTEN:
+        scratch = Scratch(spark)
+        made = BlockView(spark, scratch.path("view"), buckets=16)
+        loaded = scratch.write(first_writers(placements(spark, sf_dir)), "loaded")
+        for k, gone in enumerate(("false", "id % 3 = 0 and id % 7 = 3", "id % 3 = 1 and id % 7 = 5")):
+            made.apply(loaded.filter(F.col("id") % 3 == k), loaded.filter(gone))
+        _WRITTEN[key] = made.root
+    return BlockView(spark, _WRITTEN[key], buckets=16)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell next to a stone, free or not, as a move of owners 0 to 3."""
     cells = neighbours(stones(spark, sf_dir).select("board_id", "x", "y"), distinct=True)

@@ -585,3 +585,41 @@ ORACLES: dict[str, str] = {
 ORACLES["stream_replay_final"] = ORACLES["replay_final"]
 ORACLES["rect_join_counts_small_tiles"] = ORACLES["rect_join_counts"]
 ORACLES["block_labels_small_tiles"] = ORACLES["block_labels"]
+ORACLES["stream_keyed_log"] = _REPLAY_LOG
+ORACLES["stream_keyed_final"] = ORACLES["replay_final"]
+ORACLES["stream_keyed_hot_log"] = f"""
+    SELECT 0::BIGINT AS board_id, id, 20 * (board_id % 400) + 5 + x AS x,
+      20 * (board_id // 400) + 5 + y AS y, uid, outcome, captured, merged
+    FROM ({_REPLAY_LOG}) AS log"""
+
+
+def _viewed(gone: str) -> str:
+    """The stones of all batches but those that ``gone`` names, labelled and sized."""
+    return f"""WITH RECURSIVE {PLACEMENTS},
+    loaded AS MATERIALIZED (
+      SELECT * FROM placements QUALIFY row_number() OVER (PARTITION BY board_id, x, y ORDER BY id) = 1),
+    left_over AS MATERIALIZED (SELECT * FROM loaded WHERE NOT ({gone})),
+    {_labelled("left_over", "viewed")}"""
+
+
+_FIRST_GONE, _SECOND_GONE = "id % 3 = 0 AND id % 7 = 3", "id % 3 = 1 AND id % 7 = 5"
+_VIEWED = _viewed(f"({_FIRST_GONE}) OR ({_SECOND_GONE})")
+ORACLES |= {
+    "view_stones": f"{_VIEWED} SELECT {_COLUMNS} FROM viewed",
+    "view_stones_before": _viewed(f"({_FIRST_GONE}) OR id % 3 = 2") + f" SELECT {_COLUMNS} FROM viewed",
+    "view_blocks": f"""{_VIEWED},
+    qi AS (
+      SELECT board_id, bid, count(*) AS qi FROM (
+        SELECT DISTINCT v.board_id, v.bid, v.x + d.dx AS x, v.y + d.dy AS y
+        FROM viewed v CROSS JOIN {_SIDES} AS d(dx, dy)) c
+      WHERE NOT EXISTS (SELECT 1 FROM viewed o WHERE o.board_id = c.board_id AND o.x = c.x AND o.y = c.y)
+      GROUP BY ALL)
+    SELECT board_id, bid, uid, coalesce(qi, 0)::BIGINT AS qi
+    FROM (SELECT DISTINCT board_id, bid, uid FROM viewed) b LEFT JOIN qi USING (board_id, bid)""",
+    "view_poll": f"""{STONES}, {RECTS}
+    SELECT r.request_id, s.id, s.x, s.y, s.uid, CASE WHEN s.id % 3 = 0 THEN -1 ELSE 1 END::BIGINT AS change,
+      r.board_id
+    FROM rects r JOIN stones s ON s.board_id = r.board_id
+      AND s.x BETWEEN r.x1 AND r.x2 AND s.y BETWEEN r.y1 AND r.y2
+    WHERE ({_FIRST_GONE}) OR s.id % 3 = 2 OR (s.id % 3 = 1 AND s.id % 7 <> 5)""",
+}

@@ -152,6 +152,17 @@ def _minute_part(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _view_poll(spark: SparkSession, sf: str) -> DataFrame:
+    """What changed in each requested box between the first and the last version of the view."""
+    changes = boards.view(spark, sf).changes(1, 3)
+    return rects.rects_join(_good_rects(spark, sf), changes)
+
+
+def _view_at(spark: SparkSession, sf: str) -> DataFrame:
+    """The stones and labels as of the second of three versions."""
+    return boards.view(spark, sf).stones(2)
+
+
 QUERIES: dict[str, Query] = {
     # sources, ingest and sinks
     "stones_scan": _on_stones(lambda s: s),
@@ -249,6 +260,11 @@ QUERIES: dict[str, Query] = {
     "last_owner_setting": lambda spark, sf: last.env_long(
         last.last_move_env(boards.replay_moves(spark, sf)), "last_uid"
     ),
+    # kept up to date batch by batch
+    "view_stones": lambda spark, sf: boards.view(spark, sf).stones(),
+    "view_blocks": lambda spark, sf: boards.view(spark, sf).blocks(),
+    "view_stones_before": _view_at,
+    "view_poll": _view_poll,
     # streams, run to the end of the available input
     "stream_ingest": stream_queries.ingest_available,
     "stream_idle_sessions": stream_queries.idle_available,
@@ -256,6 +272,9 @@ QUERIES: dict[str, Query] = {
     "stream_replay_log": stream_queries.replay_available,
     "stream_replay_epochs_log": stream_queries.replay_epochs,
     "stream_replay_final": stream_queries.replay_final,
+    "stream_keyed_log": stream_queries.keyed_log,
+    "stream_keyed_final": stream_queries.keyed_final,
+    "stream_keyed_hot_log": stream_queries.keyed_hot_log,
 }
 
 

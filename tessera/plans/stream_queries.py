@@ -9,6 +9,7 @@ from tessera.operators.ingest import CELL
 from tessera.plans import boards
 from tessera.schema import EVENTS
 from tessera.scratch import Scratch
+from tessera.streaming import keyed
 from tessera.streaming.jobs import (
     current_stones,
     replay_log,
@@ -74,25 +75,30 @@ def rejects_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(refused.schema).parquet(out).select("board_id", "id", "code", "reason")
 
 
-def _played(spark: SparkSession, sf_dir: str, epochs: int) -> str:
-    """Replay all events in ``epochs`` micro-batches of ascending id; the folder of results.
+def _fed(spark: SparkSession, sf_dir: str, runs: int, run) -> None:
+    """Call ``run`` with a stream of all events so far, each time after a further share of them,
+    in ascending id, was written: every run is a restart that reads the new files."""
+    source = Scratch(spark).path("source")
+    top = boards.events(spark, sf_dir).agg(F.max("event_id")).first()[0] or 0
+    for k in range(runs):
+        low, high = (top + 1) * k // runs, (top + 1) * (k + 1) // runs
+        part = boards.events(spark, sf_dir).filter(F.col("event_id").between(low, high - 1))
+        part.write.mode("append").parquet(source)
+        run(spark.readStream.schema(EVENTS).parquet(source)).awaitTermination()
+
 
-    For more than one, the events are first cut into as many files of a stream.
-    """
+def _played(spark: SparkSession, sf_dir: str, epochs: int) -> str:
+    """Replay all events in ``epochs`` micro-batches of ascending id; the folder of results."""
     scratch = Scratch(spark)
-    root = scratch.path("replay")
-    stream = boards.event_stream(spark, sf_dir)
+    root, checkpoint = scratch.path("replay"), scratch.path("replay-checkpoint")
+
+    def run(events: DataFrame):
+        return start_replay(boards.replay_moves_of(events), root, checkpoint, compact_every=2)
+
     if epochs > 1:
-        source = scratch.path("source")
-        top = boards.events(spark, sf_dir).agg(F.max("event_id")).first()[0] or 0
-        for k in range(epochs):
-            low, high = (top + 1) * k // epochs, (top + 1) * (k + 1) // epochs
-            part = boards.events(spark, sf_dir).filter(F.col("event_id").between(low, high - 1))
-            part.coalesce(1).write.mode("append").parquet(source)
-        files = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1)
-        stream = files.parquet(source)
-    moves = boards.replay_moves_of(stream)
-    start_replay(moves, root, scratch.path("replay-checkpoint"), compact_every=2).awaitTermination()
+        _fed(spark, sf_dir, epochs, run)
+    else:
+        run(boards.event_stream(spark, sf_dir)).awaitTermination()
     return root
 
 
@@ -113,3 +119,31 @@ def replay_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_stones(spark, _played(spark, sf_dir, 3)).select(
         "board_id", "id", "x", "y", "bid", "uid"
     )
+
+
+def _keyed(spark: SparkSession, sf_dir: str, runs: int, moves_of, walls=None) -> tuple[str, str]:
+    """Play all events as keyed state in several runs; the folders of events and state."""
+    scratch = Scratch(spark)
+    out, checkpoint = scratch.path("play"), scratch.path("play-checkpoint")
+    _fed(spark, sf_dir, runs, lambda events: keyed.start_play(moves_of(events), out, checkpoint, walls))
+    return out, checkpoint
+
+
+def keyed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes that keyed state gives, over three runs from one checkpoint."""
+    out, _ = _keyed(spark, sf_dir, 3, boards.replay_moves_of)
+    log = keyed.play_log(keyed.play_events(spark, out))
+    return log.withColumn("merged", F.col("merged").cast("long"))
+
+
+def keyed_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled stones in the state store after two runs."""
+    _, checkpoint = _keyed(spark, sf_dir, 2, boards.replay_moves_of)
+    return keyed.play_stones(spark, checkpoint)
+
+
+def keyed_hot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same games side by side on one board: its walled zones are the keys."""
+    out, _ = _keyed(spark, sf_dir, 2, boards.zoned_moves_of, walls=(-1, 19))
+    log = keyed.play_log(keyed.play_events(spark, out))
+    return log.withColumn("merged", F.col("merged").cast("long"))

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 _CLEANED: set[str] = set()
@@ -53,24 +54,34 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:04d}-{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Materialise ``df`` and return a frame that reads the written table.
 
-        The shuffle files of the write go with it, as nothing reads them again.
+        The shuffle files of the write go with it, as nothing reads them again.  With ``by``
+        each value of that column is a folder, which ``part`` reads and ``drop`` can delete.
         """
         path = self.path(name)
         before = self.spark.conf.get(_CLEAN_UP)
         self.spark.conf.set(_CLEAN_UP, "true")
         try:
-            df.write.parquet(path)
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
         finally:
             self.spark.conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def part(self, table: DataFrame, by: str, value: int) -> DataFrame:
+        """The rows of one folder of a table written ``by`` a column."""
+        there = [f.rsplit("/", 1)[0] for f in table.where(F.col(by) == value).inputFiles()]
+        there = sorted({f for f in there if f.endswith(f"/{by}={value}")})
+        schema = table.drop(by).schema
+        if not there:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*there)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that ``write`` returned and nothing reads any more."""
         for table in tables:
-            for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()[:1]}:
+            for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
                 folder, fs = self._folder(path)
                 fs.delete(folder, True)
 
