@@ -592,6 +592,23 @@ ORACLES["stream_keyed_hot_log"] = f"""
       20 * (board_id // 400) + 5 + y AS y, uid, outcome, captured, merged
     FROM ({_REPLAY_LOG}) AS log"""
 
+# The same fold, but a square is cleared before a move that comes after half a day.
+_STEP = "FROM played p JOIN moves m ON m.board_id = p.board_id AND m.n = p.n + 1"
+_CLEARED = """FROM (
+  SELECT q.board_id, q.n, CASE WHEN r.idle >= 43200 THEN list_filter(q.st, lambda s: NOT (
+      s.k // 100 - 1 BETWEEN 0 AND 2 AND s.k % 100 - 1 BETWEEN 0 AND 2)) ELSE q.st END AS st
+  FROM played q JOIN moves r ON r.board_id = q.board_id AND r.n = q.n + 1) p
+  JOIN moves m ON m.board_id = p.board_id AND m.n = p.n + 1"""
+
+
+def _with_resets(sql: str) -> str:
+    idle = "floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id) AS idle,"
+    return sql.replace(_STEP, _CLEARED).replace("row_number() OVER (PARTITION BY user_id", f"{idle} row_number() OVER (PARTITION BY user_id", 1)
+
+
+ORACLES["stream_keyed_reset_log"] = _with_resets(_REPLAY_LOG)
+ORACLES["stream_keyed_reset_final"] = _with_resets(ORACLES["replay_final"])
+
 
 def _viewed(gone: str) -> str:
     """The stones of all batches but those that ``gone`` names, labelled and sized."""

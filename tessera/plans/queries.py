@@ -275,6 +275,8 @@ QUERIES: dict[str, Query] = {
     "stream_keyed_log": stream_queries.keyed_log,
     "stream_keyed_final": stream_queries.keyed_final,
     "stream_keyed_hot_log": stream_queries.keyed_hot_log,
+    "stream_keyed_reset_log": stream_queries.keyed_reset_log,
+    "stream_keyed_reset_final": stream_queries.keyed_reset_final,
 }
 
 

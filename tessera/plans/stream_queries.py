@@ -121,11 +121,13 @@ def replay_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _keyed(spark: SparkSession, sf_dir: str, runs: int, moves_of, walls=None) -> tuple[str, str]:
+def _keyed(
+    spark: SparkSession, sf_dir: str, runs: int, moves_of, walls=None, reset=None
+) -> tuple[str, str]:
     """Play all events as keyed state in several runs; the folders of events and state."""
     scratch = Scratch(spark)
     out, checkpoint = scratch.path("play"), scratch.path("play-checkpoint")
-    _fed(spark, sf_dir, runs, lambda events: keyed.start_play(moves_of(events), out, checkpoint, walls))
+    _fed(spark, sf_dir, runs, lambda events: keyed.start_play(moves_of(events), out, checkpoint, walls, reset))
     return out, checkpoint
 
 
@@ -147,3 +149,20 @@ def keyed_hot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = _keyed(spark, sf_dir, 2, boards.zoned_moves_of, walls=(-1, 19))
     log = keyed.play_log(keyed.play_events(spark, out))
     return log.withColumn("merged", F.col("merged").cast("long"))
+
+
+RESET = keyed.IdleReset(0, 2, 43_200)
+"""Half a day without a move of its player clears a quarter of a board."""
+
+
+def keyed_reset_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Idle resets within the games: cells come free again, blocks are cut and keep their label."""
+    out, _ = _keyed(spark, sf_dir, 2, boards.replay_moves_of, reset=RESET)
+    log = keyed.play_log(keyed.play_events(spark, out))
+    return log.withColumn("merged", F.col("merged").cast("long"))
+
+
+def keyed_reset_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stones that games with resets leave, with their labels."""
+    _, checkpoint = _keyed(spark, sf_dir, 2, boards.replay_moves_of, reset=RESET)
+    return keyed.play_stones(spark, checkpoint)

@@ -8,14 +8,18 @@ known size lets Spark choose broadcast or shuffle joins from facts.
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 _CLEANED: set[str] = set()
+_SHIPPED: set[str] = set()
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -49,6 +53,27 @@ class Scratch:
             fs.mkdirs(folder)
             fs.deleteOnExit(folder)
             _CLEANED.add(base)
+        self._ship(f"{base}/tessera.zip")
+
+    def _ship(self, path: str) -> None:
+        """Give the executors this package, once for each application: tasks import it, and
+        only the driver may have it on its path."""
+        context = self.spark.sparkContext
+        home = os.path.dirname(os.path.abspath(__file__))
+        if context.applicationId in _SHIPPED or not os.path.isdir(home):
+            return
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            for folder, _, names in sorted(os.walk(home)):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    inside = os.path.relpath(os.path.join(folder, name), os.path.dirname(home))
+                    archive.write(os.path.join(folder, name), inside)
+        at, fs = self._folder(path)
+        out = fs.create(at, True)
+        out.write(packed.getvalue())
+        out.close()
+        context.addPyFile(fs.makeQualified(at).toString())
+        _SHIPPED.add(context.applicationId)
 
     def path(self, name: str) -> str:
         self._n += 1

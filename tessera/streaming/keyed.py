@@ -2,21 +2,25 @@
 
 The state of a key is a map of its cells and a map of its blocks in the state store, so a move
 reads the cells beside it and the blocks they belong to, however large the board is.  What
-a micro-batch touches is read once and written once.  A block knows its label, its size and
-how many open sides its stones have; its stones are found along neighbours, and of merging
-blocks the smaller one is rewritten.
+a micro-batch touches is read once and written once.  A block knows its label, its size, how
+many open sides its stones have and one stone of each connected part (it has several after a
+reset cut it: they keep one label and live or die together); its stones are found along
+neighbours, and of merging blocks the smaller one is rewritten.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from tessera.functions.clock import whole_seconds
 from tessera.operators.ingest import constraint_reason
-from tessera.schema import BORDER_OWNER
+from tessera.schema import BORDER_OWNER, IDLE_SECONDS
+from tessera.scratch import Scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = (
@@ -25,6 +29,16 @@ EVENTS = (
 )
 _EVENT = Row(*[c.split()[0] for c in EVENTS.split(", ")])
 PLACED, MERGED, CAPTURED, SUICIDE, REJECTED = "placed", "merged", "captured", "suicide", "rejected"
+RESET = "reset"
+
+
+class IdleReset(NamedTuple):
+    """Clear the square from ``lo`` to ``hi`` before a move that comes ``seconds`` or more after
+    the one before it."""
+
+    lo: int = 0
+    hi: int = 18
+    seconds: int = IDLE_SECONDS
 
 
 class _Cache:
@@ -53,6 +67,11 @@ class _Cache:
         self.held, self.stored = {}, {}
 
 
+def _around(c: tuple) -> tuple:
+    x, y = c
+    return ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1))
+
+
 class BoardPlayer(StatefulProcessor):
     """Plays the moves of one key in order of their id.
 
@@ -60,35 +79,40 @@ class BoardPlayer(StatefulProcessor):
     multiple of the period belong to nobody and are never free.
     """
 
-    def __init__(self, walls: tuple[int, int] | None = None):
-        self.walls = walls
+    def __init__(self, walls: tuple[int, int] | None = None, reset: IdleReset | None = None):
+        self.walls, self.reset = walls, reset
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cells = handle.getMapState("cells", "x long, y long", "id long, uid long, block long")
-        self.blocks = handle.getMapState("blocks", "block long", "label long, size long, open long")
-        self.last = handle.getValueState("last", "id long")
+        self.blocks = handle.getMapState(
+            "blocks", "block long", "label long, size long, open long, xs array<long>, ys array<long>"
+        )
+        self.last = handle.getValueState("last", "id long, at long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         board, zone = key
-        last = self.last.get() if self.last.exists() else None
-        last = None if last is None else last[0]
+        last = tuple(self.last.get()) if self.last.exists() else None
         cells, blocks = _Cache(self.cells), _Cache(self.blocks)
-        before = last
+        before = None if last is None else last[0]
         for move in sorted(rows, key=lambda r: r.id):
             if before is not None and move.id <= before:
                 events = [(REJECTED, move.x, move.y, move.uid, None, "late")]
-            elif move.reason is not None:
-                events = [(REJECTED, move.x, move.y, move.uid, None, move.reason)]
-                last = move.id
             else:
-                events = self._play(cells, blocks, move.id, move.x, move.y, move.uid)
-                last = move.id
+                if self.reset and last is not None and None not in (move.at, last[1]):
+                    if move.at - last[1] >= self.reset.seconds:
+                        for seq, event in enumerate(self._clear(cells, blocks)):
+                            yield _EVENT(board, zone, move.id, -1 - seq, *event)
+                if move.reason is not None:
+                    events = [(REJECTED, move.x, move.y, move.uid, None, move.reason)]
+                else:
+                    events = self._play(cells, blocks, move.id, move.x, move.y, move.uid)
+                last = (move.id, move.at)
             for seq, event in enumerate(events):
                 yield _EVENT(board, zone, move.id, seq, *event)
         cells.flush()
         blocks.flush()
         if last is not None:
-            self.last.update((last,))
+            self.last.update(last)
 
     def close(self) -> None:
         pass
@@ -99,12 +123,19 @@ class BoardPlayer(StatefulProcessor):
         lo, period = self.walls
         return (x - lo) % period == 0 or (y - lo) % period == 0
 
-    def _stones_of(self, cells: _Cache, start: tuple, block: int) -> list[tuple]:
-        """The cells of a block, along neighbours."""
-        found, ahead = {start}, [start]
+    @staticmethod
+    def _grown(blocks: _Cache, block: int, by: int) -> None:
+        label, size, free, xs, ys = blocks.get((block,))
+        blocks.put((block,), (label, size, free + by, xs, ys))
+
+    @staticmethod
+    def _stones_of(cells: _Cache, blocks: _Cache, block: int) -> list[tuple]:
+        """The cells of a block, along neighbours from a stone of each part."""
+        _, _, _, xs, ys = blocks.get((block,))
+        ahead = list(zip(xs, ys))
+        found = set(ahead)
         while ahead:
-            x, y = ahead.pop()
-            for n in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+            for n in _around(ahead.pop()):
                 if n not in found:
                     stone = cells.get(n)
                     if stone is not None and stone[2] == block:
@@ -112,21 +143,49 @@ class BoardPlayer(StatefulProcessor):
                         ahead.append(n)
         return list(found)
 
-    def _remove(self, cells: _Cache, blocks: _Cache, start: tuple, block: int) -> list[tuple]:
+    def _remove(self, cells: _Cache, blocks: _Cache, block: int) -> list[tuple]:
         """Take a block off the board; its stones."""
-        gone = self._stones_of(cells, start, block)
-        stones = [(x, y, *cells.get((x, y))[:2]) for x, y in gone]
+        gone = self._stones_of(cells, blocks, block)
+        stones = [(*c, *cells.get(c)[:2]) for c in gone]
         for c in gone:
             cells.put(c, None)
         blocks.put((block,), None)
-        for x, y in gone:
-            for n in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+        for c in gone:
+            for n in _around(c):
                 beside = cells.get(n)
                 if beside is not None:
-                    label, size, free = blocks.get((beside[2],))
-                    blocks.put((beside[2],), (label, size, free + 1))
+                    self._grown(blocks, beside[2], 1)
         return sorted(stones, key=lambda s: s[2])
 
+    def _clear(self, cells: _Cache, blocks: _Cache) -> list[tuple]:
+        """Take all stones of the reset square away; what is left of a block keeps its label."""
+        side = range(self.reset.lo, self.reset.hi + 1)
+        gone = {c: s for c in ((x, y) for x in side for y in side) if (s := cells.get(c)) is not None}
+        cut = {s[2] for s in gone.values()}
+        left = {b: [c for c in self._stones_of(cells, blocks, b) if c not in gone] for b in cut}
+        for c in gone:
+            cells.put(c, None)
+        for c in gone:
+            for n in _around(c):
+                beside = cells.get(n)
+                if beside is not None and beside[2] not in cut:
+                    self._grown(blocks, beside[2], 1)
+        for block, stones in left.items():
+            label = blocks.get((block,))[0]
+            free = sum(cells.get(n) is None and not self._wall(*n) for c in stones for n in _around(c))
+            rest, ends = set(stones), []
+            while rest:
+                ends.append(rest.pop())
+                ahead = [ends[-1]]
+                while ahead:
+                    for n in _around(ahead.pop()):
+                        if n in rest:
+                            rest.remove(n)
+                            ahead.append(n)
+            made = (label, len(stones), free, [x for x, _ in ends], [y for _, y in ends])
+            blocks.put((block,), made if stones else None)
+        return [(RESET, *c, s[1], s[0], None) for c, s in gone.items()]
+
     def _play(self, cells: _Cache, blocks: _Cache, mid: int, x, y, uid: int) -> list[tuple]:
         placed = (PLACED, x, y, uid, mid, None)
         if x is None or y is None:
@@ -134,40 +193,40 @@ class BoardPlayer(StatefulProcessor):
         if self._wall(x, y) or cells.get((x, y)) is not None:
             return [(REJECTED, x, y, uid, None, "occupied")]
         events = [placed]
-        around = [(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)]
-        beside = {n: cells.get(n) for n in around}
-        beside = {n: s for n, s in beside.items() if s is not None}
-        for stone in beside.values():
-            label, size, free = blocks.get((stone[2],))
-            blocks.put((stone[2],), (label, size, free - 1))
-        free = 4 - len(beside) - sum(self._wall(*n) for n in around)
+        beside = [s for s in map(cells.get, _around((x, y))) if s is not None]
+        for stone in beside:
+            self._grown(blocks, stone[2], -1)
+        free = 4 - len(beside) - sum(self._wall(*n) for n in _around((x, y)))
         cells.put((x, y), (mid, uid, mid))
-        blocks.put((mid,), (mid, 1, free))
+        blocks.put((mid,), (mid, 1, free, [x], [y]))
         home = mid
-        own = {s[2]: n for n, s in beside.items() if s[1] == uid}
+        own = {s[2] for s in beside if s[1] == uid}
         if own:
-            home = self._merge(cells, blocks, {**own, mid: (x, y)})
+            home = self._merge(cells, blocks, own | {mid})
             events.append((MERGED, x, y, uid, blocks.get((home,))[0], None))
         # All are judged before one is taken away.
-        enemy = {s[2]: n for n, s in beside.items() if s[1] != uid}
-        for block, n in [(b, n) for b, n in enemy.items() if blocks.get((b,))[2] == 0]:
-            events += [(CAPTURED, a, b, u, i, None) for a, b, i, u in self._remove(cells, blocks, n, block)]
+        enemy = {s[2] for s in beside if s[1] != uid}
+        for block in sorted(b for b in enemy if blocks.get((b,))[2] == 0):
+            events += [(CAPTURED, a, b, u, i, None) for a, b, i, u in self._remove(cells, blocks, block)]
         if blocks.get((home,))[2] == 0:
-            events += [(SUICIDE, a, b, u, i, None) for a, b, i, u in self._remove(cells, blocks, (x, y), home)]
+            events += [(SUICIDE, a, b, u, i, None) for a, b, i, u in self._remove(cells, blocks, home)]
         return events
 
-    def _merge(self, cells: _Cache, blocks: _Cache, parts: dict[int, tuple]) -> int:
-        """Make one block of several, given a stone of each; the largest keeps its number."""
+    def _merge(self, cells: _Cache, blocks: _Cache, parts: set[int]) -> int:
+        """Make one block of several beside a new stone; the largest keeps its number."""
         of = {b: blocks.get((b,)) for b in parts}
         home = max(of, key=lambda b: (of[b][1], -b))
-        for b, start in parts.items():
-            if b != home:
-                for c in self._stones_of(cells, start, b):
-                    stone = cells.get(c)
-                    cells.put(c, (stone[0], stone[1], home))
-                blocks.put((b,), None)
-        sums = [sum(v[k] for v in of.values()) for k in (1, 2)]
-        blocks.put((home,), (min(v[0] for v in of.values()), *sums))
+        for b in parts - {home}:
+            for c in self._stones_of(cells, blocks, b):
+                stone = cells.get(c)
+                cells.put(c, (stone[0], stone[1], home))
+            blocks.put((b,), None)
+        whole = all(len(v[3]) == 1 for v in of.values())
+        ends = [of[home]] if whole else list(of.values())
+        blocks.put((home,), (
+            min(v[0] for v in of.values()), sum(v[1] for v in of.values()), sum(v[2] for v in of.values()),
+            [x for v in ends for x in v[3]], [y for v in ends for y in v[4]],
+        ))
         return home
 
 
@@ -183,7 +242,9 @@ def walled_zone(x: Column, y: Column, lo: int = -1, hi: int = 19) -> Column:
     return F.coalesce((column + 32768) * 65536 + row + 32768, F.lit(0).cast("long"))
 
 
-def stream_play(moves: DataFrame, walls: tuple[int, int] | None = None) -> DataFrame:
+def stream_play(
+    moves: DataFrame, walls: tuple[int, int] | None = None, reset: IdleReset | None = None
+) -> DataFrame:
     """The events of a stream of moves (``board_id, id, x, y, uid``), in append mode.
 
     A row for each thing that happens, numbered by ``seq`` within its move: the stone is
@@ -195,14 +256,20 @@ def stream_play(moves: DataFrame, walls: tuple[int, int] | None = None) -> DataF
     A key is a board.  With ``walls`` (lo, hi), the bounds of ``make_border``, walls divide every
     board as ``walled_zone`` says and each zone is a key, so a hot board is played by many
     tasks.  Walls are never captured; a move on one is ``occupied``.
+
+    With ``reset`` moves have a time ``ts``, and a square is cleared before the first move after
+    an idle time of its key (``reset`` events, with negative ``seq`` of that move).
     """
     zone = F.lit(0).cast("long") if walls is None else walled_zone(F.col("x"), F.col("y"), *walls)
     spark = moves.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    Scratch(spark)  # gives the executors this package
+    at = whole_seconds(F.col("ts")) if reset else F.lit(None)
     keyed = moves.select(
-        "board_id", zone.alias("zone"), "id", "x", "y", "uid", constraint_reason().alias("reason")
+        "board_id", zone.alias("zone"), "id", "x", "y", "uid", constraint_reason().alias("reason"),
+        at.cast("long").alias("at"),
     )
-    player = BoardPlayer(None if walls is None else (walls[0], walls[1] - walls[0]))
+    player = BoardPlayer(None if walls is None else (walls[0], walls[1] - walls[0]), reset)
     return keyed.groupBy("board_id", "zone").transformWithState(
         statefulProcessor=player, outputStructType=EVENTS, outputMode="append", timeMode="none"
     )
@@ -213,11 +280,12 @@ def start_play(
     out: str,
     checkpoint: str,
     walls: tuple[int, int] | None = None,
+    reset: IdleReset | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Write the events of ``stream_play`` as Parquet; state and progress in ``checkpoint``."""
     writer = (
-        stream_play(moves, walls).writeStream.outputMode("append")
+        stream_play(moves, walls, reset).writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint).format("parquet")
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start(out)
