@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +16,8 @@ def _as_rows(df: DataFrame, keep: list[str], fields: dict[str, Column]) -> DataF
     return df.select(*keep, F.inline(F.array(row)))
 
 
-def _spellings(field: str) -> list[str]:
-    """All ways to write a field name in upper and lower case."""
-    return ["".join(p) for p in itertools.product(*[(c, c.upper()) for c in field])]
+_OTHER_CASE = r"""\\|"(X|Y|U[iI][dD]|u(I[dD]|iD))\""""
+"""What every record has in which a field is not written in lower case; few others do."""
 
 
 def parse_moves(df: DataFrame) -> DataFrame:
@@ -33,39 +30,46 @@ def parse_moves(df: DataFrame) -> DataFrame:
     nor null.  A repeated key also rejects (unless the session sets
     ``spark.sql.variant.allowDuplicateKeys``).
     """
-    names = {f: _spellings(f) for f in ("x", "y", "uid")}
-    every = [n for spelled in names.values() for n in spelled]
-    at = {n: i for i, n in enumerate(every)}  # column names ignore case
+    fields = ("x", "y", "uid")
     keep = [c for c in df.columns if c != "body"]
-    parsed = df.selectExpr(
-        *keep, "try_parse_json(body) as _v", "json_object_keys(body) as _keys"
-    )
-    split = parsed.selectExpr(
-        *keep,
-        "schema_of_variant(_v) as _top",
-        "_keys",
-        *[f"schema_of_variant(try_variant_get(_v, '$.{n}', 'variant')) as _t{at[n]}" for n in every],
-        *[f"try_variant_get(_v, '$.{n}', 'bigint') as _n{at[n]}" for n in every],
-    )
+    parsed = df.withColumn("_v", F.expr("try_parse_json(body)"))
+
+    def found(f: str) -> str:
+        """Type and value of a field, under all of its spellings in their order.  Only records
+        with another than the plain spelling need their list of names."""
+
+        def typed(v: str, path: str) -> str:
+            whole = f"try_variant_get({v}, '{path}', 'variant')"
+            return f"named_struct('t', schema_of_variant({whole}), 'n', try_variant_get({v}, '{path}', 'bigint'))"
+
+        return (
+            f"case when _m is null then array({typed('_v', '$.' + f)}) else"
+            f" transform(filter(_names, k -> lower(k) = '{f}'), k -> {typed('_m[k]', '$')}) end as _{f}"
+        )
+
+    odd = F.col("body").rlike(_OTHER_CASE)
+    split = parsed.select(
+        *keep, "_v", F.expr("schema_of_variant(_v)").alias("_top"),
+        F.when(odd, F.expr("json_object_keys(body)")).alias("_names"),
+        F.when(odd, F.expr("try_cast(_v as map<string, variant>)")).alias("_m"),
+    ).selectExpr(*keep, "_top", *map(found, fields))
     ok = F.coalesce(F.col("_top").startswith("OBJECT<") | (F.col("_top") == "VOID"), F.lit(False))
-    for n in every:
-        kind = F.coalesce(f"_t{at[n]}", F.lit("VOID"))
-        ok = ok & ((kind == "VOID") | ((kind == "BIGINT") & F.col(f"_n{at[n]}").isNotNull()))
-
-    def place(n: str) -> Column:
-        return F.when(F.col(f"_n{at[n]}").isNotNull(), F.array_position("_keys", n))
+    for f in fields:
+        ok = ok & F.forall(
+            f"_{f}",
+            lambda e: F.coalesce(e["t"], F.lit("VOID")).isin("VOID") | ((e["t"] == "BIGINT") & e["n"].isNotNull()),
+        )
 
     def last(f: str) -> Column:
-        latest = F.greatest(*[place(n) for n in names[f]])
-        return F.coalesce(*[F.when(place(n) == latest, F.col(f"_n{at[n]}")) for n in names[f]])
+        known = F.filter(F.transform(f"_{f}", lambda e: e["n"]), lambda n: n.isNotNull())
+        return F.coalesce(F.try_element_at(known, F.lit(-1)), F.lit(0).cast("long"))
 
-    judged = split.withColumns({"_ok": ok} | {f"_{f}": last(f) for f in names})
-    zero = F.lit(0).cast("long")
+    judged = split.withColumn("_ok", ok)
     return _as_rows(
         judged,
         keep,
         {"code": F.when(F.col("_ok"), 0).otherwise(-1).cast("long")}
-        | {f: F.when(F.col("_ok"), F.coalesce(f"_{f}", zero)) for f in names},
+        | {f: F.when(F.col("_ok"), last(f)) for f in fields},
     )
 
 
