@@ -172,21 +172,15 @@ def rect_result_json(
     one array of the box, sorted by (y, x).  So no value or task grows with a box, and a
     consumer knows when it has all of an answer.
     """
-    clip = _clipped(rects).withColumns(
-        {
-            "_wide": F.greatest(F.lit(1), F.col("_x2") - F.col("_x1") + 1),
-            "_high": F.greatest(F.lit(1), F.col("_y2") - F.col("_y1") + 1),
-        }
-    )
-    band = F.greatest(F.lit(1), F.floor(F.lit(part_cells) / F.col("_wide"))).cast("long")
-    clip = clip.withColumn("_band", band).withColumn(
-        "parts", F.ceil(F.col("_high") / F.col("_band")).cast("long")
-    )
-    split = lookup_table(clip.select(*BOX, "_y1", "_band", "parts"), "bands")
+    # Bands are functions of the box, so they need no table of their own.
+    x1, y1 = (F.greatest(F.col(c), F.lit(COORD_MIN)) for c in ("x1", "y1"))
+    x2, y2 = (F.least(F.col(c), F.lit(COORD_MAX)) for c in ("x2", "y2"))
+    wide, high = (F.greatest(F.lit(1), b - a + 1) for a, b in ((x1, x2), (y1, y2)))
+    band = F.greatest(F.lit(1), F.floor(F.lit(part_cells) / wide)).cast("long")
+    parts = F.ceil(high / band).cast("long")
     lists = (
         _box_stones(_boxes(rects, tile), stones.select(*CELL, "uid"), tile)
-        .join(split, BOX)
-        .withColumn("part", F.floor((F.col("y") - F.col("_y1")) / F.col("_band")).cast("long"))
+        .withColumn("part", F.floor((F.col("y") - y1) / band).cast("long"))
         .groupBy(*BOX, "part")
         .agg(F.sort_array(F.collect_list(F.struct("y", "x", "uid"))).alias("_s"))
         .select(
@@ -197,10 +191,10 @@ def rect_result_json(
             ).alias("body"),
         )
     )
-    every = split.select(
-        *BOX, "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
-    )
-    bodies = lookup_table(every.join(lists, [*BOX, "part"], "left"), "bodies")
-    return rects.join(bodies, BOX).select(
+    bodies = lookup_table(lists, "bodies")
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    asked = rects.select("request_id", *BOX, parts.alias("parts"))
+    asked = asked.select("*", F.explode(numbers).alias("part"))
+    return asked.join(bodies, [*BOX, "part"], "left").select(
         "request_id", "part", "parts", F.coalesce("body", F.lit("[]")).alias("body")
     )
