@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import folder, id_key, text_or_empty
+from tessera.llm.common import folder, id_key, open_uri, text_or_empty
 from tessera.scratch import Scratch, lookup_table
 
 BUCKETS = 16
+"""Buckets at least; each append gathers its digests in as many tasks."""
+BUCKET_ROWS = 20_000_000
+"""Digests that a bucket should hold, by which a new index chooses their number."""
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -30,17 +34,40 @@ class DigestIndex:
     """Digests seen so far, with the document that keeps each, at a place of its own.
 
     The folder outlives the session: opened again at the same place, the index goes on
-    where it was.  ``buckets`` must stay what it was when the folder was new.
+    where it was, with the number of buckets it was made with, which is kept beside it.  A
+    new one has enough buckets for the ``expected`` number of digests.
     """
 
-    def __init__(self, spark: SparkSession, place: str, buckets: int = BUCKETS):
-        self.spark, self.place, self.buckets = spark, place, buckets
+    def __init__(self, spark: SparkSession, place: str, expected: int = 0):
+        self.spark, self.place = spark, place
+        self.buckets = buckets = self._known() or self._note(
+            max(BUCKETS, 1 << max(0, -(-expected // BUCKET_ROWS) - 1).bit_length())
+        )
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{place}'"
         )
 
+    def _known(self) -> int | None:
+        fs, folder_ = open_uri(self.place)
+        there = fs.get_file_info(FileSelector(folder_, allow_not_found=True))
+        names = [f.base_name for f in there if f.base_name.startswith("_buckets_")]
+        return int(names[0].rpartition("_")[2]) if names else None
+
+    def _note(self, buckets: int) -> int:
+        fs, folder_ = open_uri(self.place)
+        fs.create_dir(folder_)
+        with fs.open_output_stream(f"{folder_}/_buckets_{buckets}") as out:
+            out.write(b"")
+        return buckets
+
+    def rewritten(self, place: str, expected: int) -> DigestIndex:
+        """The same digests in a new index, with buckets for the ``expected`` number."""
+        made = DigestIndex(self.spark, place, expected)
+        made.append(self.plain().withColumnRenamed("keep_id", "doc_id"))
+        return made
+
     def bucketed(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -87,7 +114,7 @@ def index_documents(
     counted = scratch.write(
         digests(docs).groupBy("doc_id", "digest").agg(F.count("*").alias("copies")), "digests"
     )
-    index = DigestIndex(docs.sparkSession, place or folder(scratch, "index"))
+    index = DigestIndex(docs.sparkSession, place or folder(scratch, "index"), counted.count())
     shares = [k / batches for k in range(1, batches)]
     cuts = counted.approxQuantile("doc_id", shares, 0.01) if shares else []
     edges = [None, *sorted({int(c) for c in cuts}), None]

@@ -5,11 +5,15 @@ candidates; a candidate's signatures are compared batch by batch, and it is prun
 soon as the posterior probability of the wanted similarity falls below the accepted miss
 probability; survivors are verified on their full shingle sets.
 
-Within a bucket not all pairs are compared.  Every bucket first compares its members with
-one centre, the member that meets most others over all bands.  What is linked then needs
-no further comparison for the components.  A centre has met its whole bucket and leaves it;
-while the others still lie in different components, each turn takes more centres among them
-and compares those with all that are in another component, until no such pair is left.
+Within a bucket not all pairs are compared.  Each turn takes one centre from every bucket, the
+member that meets most others in the component that has most members there, and compares it
+with the members of other components; what is linked needs no further comparison.  Texts with a
+passage in common meet in many buckets without one link.  So after a few turns, those that are
+still in different components meet by the rarest shingles of their full sets instead.  Two
+texts with a similarity of 0.8 share one of the rarest fifth of the longer one's shingles, and
+that is one of the rarest ninth of the shorter one's (prefix filtering, exact); of the rest
+of a text most shingles occur nowhere else.  There, too, centres go first; of what they leave,
+the shorter ones' ninths are compared with the longer ones' fifths.
 """
 
 from __future__ import annotations
@@ -32,10 +36,10 @@ BANDS, ROWS = 32, 4
 BATCH = 16
 MISS = 1e-7
 """Accepted probability that a pruned pair is similar enough."""
-STAR_ROUNDS = 8
-"""After so many turns, with up to 4**turn centres each, what is left is compared pair by pair."""
-CENTRES = 4
-"""Each turn takes so many times as many centres of a bucket as the one before."""
+BAND_TURNS = 2
+"""Turns of centres in the buckets of the bands, before the rarest shingles take over."""
+RARE_TURNS = 3
+"""Turns of centres in the buckets of the rarest shingles, before what is left is compared."""
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -173,6 +177,23 @@ def _verifier(k: int, percent: int):
     return run
 
 
+def _listed(k: int):
+    """Task: the shingles of each text, a row for each."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = shingle_hashes(text, k).view(np.int64)
+                for low in range(0, len(found), 1 << 16):
+                    part = found[low : low + (1 << 16)]
+                    columns = [np.full(len(part), node), np.full(len(part), len(found)), part]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "size", "s"])
+
+    return run
+
+
 class NearDuplicates:
     """The classes of equal shingle sets of ``docs`` and the links between them."""
 
@@ -229,67 +250,124 @@ class NearDuplicates:
         members = scratch.write(members.join(degrees, "node").drop("size"), "ranked")
         self._fetch(degrees.select("node"))
         empty = self.classes.sparkSession.createDataFrame
-        found, labels = empty([], "a long, b long"), empty([], "node long, component long")
-        tested = None
-        for turn in range(STAR_ROUNDS + 1):
-            centres = self._centres(members, turn) if turn < STAR_ROUNDS else None
-            pairs = self._rest(members) if centres is None else self._stars(members, centres)
-            pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
-            pairs = pairs.dropDuplicates(["lo", "hi"])
-            if tested is not None:
-                pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
-            pairs = scratch.write(pairs.select("a", "b", "lo", "hi"), "pairs")
-            if not pairs.isEmpty():
-                now = pairs.select("lo", "hi")
-                tested = now if tested is None else tested.union(now)
-                good = self._verified(pairs.select("a", "b"))
-                if not good.isEmpty():
-                    # What is known is kept as stars, so each turn adds only its own links.
-                    found = found.union(good)
-                    known = labels.where("node <> component").select("node", "component").toDF("a", "b")
-                    labels = lookup_table(components(known.union(good), scratch), "labels", scratch)
-            if centres is not None:
-                # A turn without new pairs or links still uses up its centres.
-                members = scratch.write(self._apart(members, centres, labels), "apart")
-                if members.isEmpty():
-                    break
-        return found, labels
-
-    def _apart(self, members: DataFrame, centres: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members that were no centre yet, of buckets in which those are of more than one
-        component."""
-        used = centres.select("bucket", F.col("centre").alias("node"))
+        self._tested = None
+        self._found, self._labels = empty([], "a long, b long"), empty([], "node long, component long")
+        members = self._turns(members, BAND_TURNS)
+        if members is not None:
+            members = self._by_rarest(members)
+            members = self._turns(members, RARE_TURNS)
+        if members is not None:
+            self._compare(self._rest(members))
+        return self._found, self._labels
+
+    def _turns(self, members: DataFrame, turns: int) -> DataFrame | None:
+        """Take centres so often; the members of buckets that are then still of more than one
+        component, if there are any."""
+        for turn in range(turns):
+            centres = self._centres(members)
+            self._compare(self._stars(members, centres))
+            members = self.scratch.write(self._apart(members, centres), "apart")
+            if members.isEmpty():
+                return None
+        return members
+
+    def _compare(self, pairs: DataFrame) -> None:
+        """Verify the pairs that were not compared before, and join up what they link."""
+        scratch = self.scratch
+        pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
+        pairs = pairs.dropDuplicates(["lo", "hi"])
+        if self._tested is not None:
+            pairs = pairs.join(self._tested, ["lo", "hi"], "left_anti")
+        pairs = scratch.write(pairs.select("a", "b", "lo", "hi"), "pairs")
+        if pairs.isEmpty():
+            return
+        now = pairs.select("lo", "hi")
+        self._tested = now if self._tested is None else self._tested.union(now)
+        good = self._verified(pairs.select("a", "b"))
+        if good.isEmpty():
+            return
+        # What is known is kept as stars, so each turn adds only its own links.
+        self._found = self._found.union(good)
+        known = self._labels.where("node <> component").select("node", "component").toDF("a", "b")
+        self._labels = lookup_table(components(known.union(good), scratch), "labels", scratch)
+
+    def _labelled_members(self, members: DataFrame) -> DataFrame:
         label = F.coalesce("component", "node").alias("label")
-        now = members.join(used, ["bucket", "node"], "left_anti").join(labels, "node", "left")
-        now = now.select("bucket", "node", "degree", label)
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        kept = [c for c in members.columns if c not in ("label", "component")]
+        return members.join(self._labels, "node", "left").select(*kept, label)
+
+    def _open(self, members: DataFrame) -> DataFrame:
+        """Those in buckets with members of more than one component."""
+        open_ = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         open_ = lookup_table(open_.where("lo < hi").select("bucket"), "open", self.scratch)
-        return now.join(open_, "bucket")
-
-    def _centres(self, members: DataFrame, turn: int) -> DataFrame:
-        """Up to ``CENTRES**turn`` members of each bucket: of those that a hash puts together,
-        the one that meets most others."""
-        label = F.col("label" if "label" in members.columns else "node")
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(CENTRES**turn)).alias("slot")
-        best = F.max(F.struct("degree", F.expr("-node").alias("low"), label.alias("label")))
-        centre = members.groupBy("bucket", slot).agg(best.alias("c"))
+        return members.join(open_, "bucket")
+
+    def _apart(self, members: DataFrame, centres: DataFrame) -> DataFrame:
+        """Members that were no centre yet, in buckets in which those are of more than one
+        component.  A centre has met all others, or is of their component."""
+        used = centres.select("bucket", F.col("centre").alias("node"))
+        members = members.join(used, ["bucket", "node"], "left_anti")
+        return self._open(self._labelled_members(members))
+
+    def _centres(self, members: DataFrame) -> DataFrame:
+        """A member of the component with most members in each bucket: the one that meets most."""
+        label = F.col("label" if "label" in members.columns else "node").alias("label")
+        best = F.max(F.struct("degree", F.expr("-node").alias("low"))).alias("best")
+        parts = members.groupBy("bucket", label).agg(F.count("*").alias("n"), best)
+        most = parts.groupBy("bucket").agg(F.max(F.struct("n", "best", "label")).alias("c"))
         return lookup_table(
-            centre.select("bucket", F.expr("-c.low").alias("centre"), F.col("c.label").alias("core")),
+            most.select("bucket", F.expr("-c.best.low").alias("centre"), F.col("c.label").alias("core")),
             "centres", self.scratch,
         )
 
     def _stars(self, members: DataFrame, centres: DataFrame) -> DataFrame:
-        """Each member with the centres of its bucket that are in another component."""
+        """Each member with the centre of its bucket, if that is in another component."""
         if "label" not in members.columns:
             members = members.withColumn("label", F.col("node"))
         pairs = members.join(centres, "bucket").where("node <> centre AND label <> core")
         return pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
+    def _by_rarest(self, members: DataFrame) -> DataFrame:
+        """The same nodes in a bucket for each of their rarest shingles that another has, too."""
+        scratch = self.scratch
+        nodes = lookup_table(members.select("node").distinct(), "left", scratch)
+        texts = self.texts.join(nodes, "node", "left_semi").select("node", "text")
+        sets = scratch.write(texts.mapInArrow(_listed(self.words), "node long, size long, s long"), "sets")
+        often = sets.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+        often = lookup_table(often, "often", scratch)
+        shared = sets.join(often, "s").groupBy("node", "size").agg(
+            F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared")
+        )
+        # The shingles that no other text has come first and meet nobody.
+        alone = F.col("size") - F.size("shared")
+        probed = F.col("size") - F.ceil(F.col("size") * self.percent / 100) + 1 - alone
+        indexed = F.col("size") - F.ceil(F.col("size") * (2 * self.percent) / (100 + self.percent)) + 1 - alone
+        probed = F.greatest(probed, F.lit(0)).cast("int")
+        rare = shared.select("node", "size", "shared", indexed.alias("indexed"), F.posexplode(F.slice("shared", 1, probed)).alias("at", "r"))
+        rare = rare.select(
+            F.col("r.s").alias("bucket"), "node", F.lit(0).cast("long").alias("degree"), "size",
+            (F.col("at") < F.col("indexed")).alias("short"),
+            (F.col("size") - alone - F.col("at")).alias("rest"),
+        )
+        # A bucket in which nobody is the shorter one finds no pair.
+        found = rare.groupBy("bucket").agg(F.count("*").alias("n"), F.max("short").alias("any"))
+        found = lookup_table(found.where("n > 1 AND any").select("bucket"), "found", scratch)
+        rare = scratch.write(rare.join(found, "bucket"), "rarest")
+        return scratch.write(self._open(self._labelled_members(rare)), "members")
+
     def _rest(self, members: DataFrame) -> DataFrame:
-        """All pairs of a bucket in different components: the exact way for what stars leave."""
-        other = members.select("bucket", F.col("node").alias("b"), F.col("label").alias("core"))
-        pairs = members.join(other, "bucket").where("label < core")
-        return pairs.select(F.col("node").alias("a"), "b").distinct()
+        """The pairs of a bucket that are in different components and could be similar enough:
+        one by its rarest ninth, another that is as long, or up to a quarter longer; and what
+        is not rarer than the bucket's shingle must suffice for both (the first shingle that a
+        pair has in common always passes)."""
+        short = members.where("short").select(
+            "bucket", F.col("node").alias("b"), F.col("label").alias("core"),
+            F.col("size").alias("least"), F.col("rest").alias("remains"),
+        )
+        could = f"label <> core AND size >= least AND {self.percent} * size <= 100 * least"
+        could += f" AND {100 + self.percent} * least(rest, remains) >= {self.percent} * (size + least)"
+        pairs = members.join(short, "bucket").where(could)
+        return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
     def _fetch(self, nodes: DataFrame) -> None:
         """Texts of one document of each class that shares a bucket."""
@@ -311,7 +389,6 @@ class NearDuplicates:
 
         prune = _pruner(self.percent / 100, self.miss)
         likely_ = with_both(pairs, self.signed, "signature").mapInArrow(prune, "a long, b long")
-        likely_ = self.scratch.write(likely_, "likely")
         check = _verifier(self.words, self.percent)
         good = with_both(likely_, self.texts, "text").mapInArrow(check, "a long, b long")
         return self.scratch.write(good, "verified")

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -52,11 +53,11 @@ def test_index_goes_on_where_it_was(spark, tmp_path):
     place = f"file://{tmp_path}/index"
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
     more = spark.createDataFrame([(0, "b"), (4, "c"), (5, "c")], "doc_id long, text string")
-    index = digest_index.DigestIndex(spark, place, 4)
+    index = digest_index.DigestIndex(spark, place)
     index.append(digest_index.digests(docs))
     index.append(digest_index.digests(docs))
     index.close()
-    index = digest_index.DigestIndex(spark, place, 4)
+    index = digest_index.DigestIndex(spark, place)
     index.append(digest_index.digests(more))
     got = {(bytes(r.digest).hex(), r.keep_id) for r in index.plain().collect()}
     index.close()
@@ -64,16 +65,34 @@ def test_index_goes_on_where_it_was(spark, tmp_path):
     assert index.plain().count() == 3
 
 
+def test_buckets_follow_the_expected_size_and_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(digest_index, "BUCKET_ROWS", 10)
+    docs = spark.createDataFrame([(k, str(k % 700)) for k in range(900)], "doc_id long, text string")
+    index = digest_index.DigestIndex(spark, f"file://{tmp_path}/index", expected=300)
+    assert index.buckets == 32
+    index.append(digest_index.digests(docs))
+    index.close()
+    index = digest_index.DigestIndex(spark, f"file://{tmp_path}/index", expected=10**6)
+    assert index.buckets == 32
+    larger = index.rewritten(f"file://{tmp_path}/larger", 700)
+    assert larger.buckets == 128
+    assert sorted(map(tuple, larger.plain().collect())) == sorted(map(tuple, index.plain().collect()))
+    index.append(digest_index.digests(docs))
+    assert index.plain().count() == 700
+    index.close()
+    larger.close()
+
+
 def test_anti_join_reads_buckets_as_they_are(spark, tmp_path):
-    index = digest_index.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    index = digest_index.DigestIndex(spark, f"file://{tmp_path}/index")
     docs = spark.createDataFrame([(k, str(k)) for k in range(50)], "doc_id long, text string")
     index.append(digest_index.digests(docs))
-    new = digest_index.digests(docs).groupBy("digest").count().repartition(4, "digest")
+    new = digest_index.digests(docs).groupBy("digest").count().repartition(index.buckets, "digest")
     plan = new.join(index.bucketed().hint("merge"), "digest", "left_anti")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in text and "Bucketed: true" in text
     right = text[text.index("Bucketed: true") - 1500 :]
-    assert text.count("Exchange hashpartitioning") <= 2 and "SelectedBucketsCount: 4 out of 4" in right
+    assert text.count("Exchange hashpartitioning") <= 2 and "SelectedBucketsCount: 16 out of 16" in right
     index.close()
 
 
@@ -124,30 +143,56 @@ def test_near_duplicates_of_hubs_and_chains(spark, prose, words):
     assert sorted(map(tuple, got), key=str) == near(rows, 4)
 
 
-def test_rest_pairs_are_exact(spark, prose, words, monkeypatch):
-    monkeypatch.setattr(neardup, "STAR_ROUNDS", 0)
-    rows = chains(prose, words)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    work = neardup.NearDuplicates(docs, 4, 80, Scratch(spark))
-    monkeypatch.setattr(work, "_rest", lambda m: neardup.NearDuplicates._rest(work, m.withColumn("label", m.node)))
-    assert work.links()[0].count() >= 36
-
-
-@pytest.mark.parametrize("rounds", [1, neardup.STAR_ROUNDS])
-def test_links_that_the_first_centre_does_not_see(spark, prose, monkeypatch, rounds):
-    """All texts in one bucket, in families that have nothing in common: the first centre
-    links one family at most."""
-    monkeypatch.setattr(neardup, "STAR_ROUNDS", rounds)
+@pytest.mark.parametrize("turns", [(0, 0), (1, 1), (0, 3), (neardup.BAND_TURNS, neardup.RARE_TURNS)])
+def test_links_that_the_first_centre_does_not_see(spark, prose, words, monkeypatch, turns):
+    """All texts in one bucket, in families that have nothing in common, and chains: whatever
+    the turns leave, the rarest shingles and the last pairs find."""
+    monkeypatch.setattr(neardup, "BAND_TURNS", turns[0])
+    monkeypatch.setattr(neardup, "RARE_TURNS", turns[1])
     monkeypatch.setattr(neardup.NearDuplicates, "_bands", staticmethod(lambda: F.array(F.lit(0).cast("long"))))
-    rows = []
+    rows = chains(prose, words)
     for family in range(12):
         text = prose(300 + family, 100)
-        rows += [(3 * family + k, text + " more" * k) for k in range(1 + family % 3)]
+        rows += [(1000 + 3 * family + k, text + " more" * k) for k in range(1 + family % 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = neardup.near_duplicates(docs, words=4).collect()
     assert sorted(map(tuple, got), key=str) == near(rows, 4)
 
 
+def relatives(words, n, replaced, passage=0):
+    """Copies of one text with some words replaced, or texts with one passage in common."""
+    rng = random.Random(n + replaced)
+    base = [rng.choice(words) + str(rng.randrange(9)) for _ in range(300)]
+    rows = []
+    for i in range(n):
+        if passage:
+            own = [rng.choice(words) + str(rng.randrange(9)) for _ in range(300 - passage)]
+            copy = base[:passage] + own
+        else:
+            copy = list(base)
+            for at in rng.sample(range(300), replaced):
+                copy[at] = rng.choice(words) + str(rng.randrange(9))
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("replaced, passage", [(0, 200), (9, 0), (5, 0)])
+def test_relatives_below_the_threshold(spark, words, replaced, passage):
+    """Families in which few or no pairs are linked: no link is lost, and texts that have only
+    a passage in common cost a few comparisons each, however many they are."""
+    made = []
+    for n in (60, 120) if passage else (60,):
+        rows = relatives(words, n, replaced, passage)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        work = neardup.NearDuplicates(docs, 4, 80, Scratch(spark))
+        _, labels = work.links()
+        made.append(work._tested.count())
+        linked = labels.select("component").distinct().count() + n - labels.count()
+        assert linked == len(groups(rows, 4)[0])
+    if passage:
+        assert made[0] <= 10 * 60 and made[1] <= 2.6 * made[0]
+
+
 def test_near_stage(odd, odd_rows, none):
     got = neardup.drop_near_duplicates(odd, words=5)
     assert got.columns == odd.columns
