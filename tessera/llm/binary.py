@@ -29,7 +29,8 @@ HEADER, FOOTER = "<8sI32s", "<QQQ8s"
 DICTIONARY_BYTES = 1 << 16
 DICTIONARY_DOCS = 256
 DICTIONARY_IDS = 1 << 14
-"""The dictionary is trained on at most so many documents, so many ids of each."""
+"""The dictionary is trained on at most so many documents, so many characters and ids of each,
+from a place in the text that a hash chooses."""
 READ_DOCS = 2048
 
 
@@ -98,6 +99,18 @@ def _writer(path: str, end_id: int, width: int, root: str, dictionary: bytes):
     return run
 
 
+def _windows(rows: DataFrame) -> list[str]:
+    """Windows of texts to train the dictionary on: of the documents with the smallest hashes,
+    which a share that fits the number of rows picks before anything is sent."""
+    mark = F.xxhash64("doc_id", "text")
+    share = min(1.0, 4 * DICTIONARY_DOCS / max(rows.count(), 1))
+    few = rows.where(F.pmod(mark, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    room = F.greatest(F.length("text") - DICTIONARY_IDS + 1, F.lit(1))
+    start = F.pmod(F.xxhash64(mark), room).cast("int") + 1
+    cut = few.select(mark.alias("mark"), F.substring("text", start, F.lit(DICTIONARY_IDS)).alias("cut"))
+    return [r.cut for r in cut.orderBy("mark", "cut").limit(DICTIONARY_DOCS).collect()]
+
+
 def write_shards(
     docs: DataFrame,
     scratch: Scratch,
@@ -114,19 +127,16 @@ def write_shards(
     path = tokenizer_path or tokens.default_path()
     root = folder(scratch, "shards")
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(DICTIONARY_DOCS)
     encoder = tokens.encoder(path)
-    cut = F.substring("text", 1, DICTIONARY_IDS).alias("text")
-    texts = [r.text for r in sample.select(cut).toLocalIterator()]
     dictionary = train_dictionary(
-        [_serialized(ids[:DICTIONARY_IDS], width) for ids in encoder.encode(texts) if len(ids)]
+        [_serialized(ids[:DICTIONARY_IDS], width) for ids in encoder.encode(_windows(rows)) if len(ids)]
     )
     fs, file = open_uri(f"{root}/{hashlib.sha256(dictionary).hexdigest()}.zdict")
     with fs.open_output_stream(file, compression=None) as out:
         out.write(dictionary)
-    in_order = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"
-    )
+    # The text's hash also divides the rows of one id, or of none.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    in_order = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     manifest = scratch.write(
         in_order.mapInArrow(
             _writer(path, end_id, width, root, dictionary),

@@ -158,3 +158,22 @@ def test_dictionary_of_few_samples():
 
 def test_shards_of_an_empty_table(none):
     assert binary.token_shards(none).collect() == []
+
+
+def test_rows_without_id_spread_over_shards_and_windows_over_texts(spark):
+    """A hot id, or none, is divided by the texts' hashes; the dictionary sees all of a text."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import binary
+    from tessera.scratch import Scratch
+
+    rows = [(None, f"text {k % 800} of no id") for k in range(4000)] + [(k, f"other {k}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    manifest = binary.write_shards(docs, Scratch(spark))
+    sizes = [r.docs for r in manifest.collect()]
+    assert sum(sizes) == 4500 and len(sizes) > 4 and max(sizes) < 2000
+    assert binary.read_shards(manifest).where("doc_id is null").count() == 4000
+    long = spark.createDataFrame([(k, "a" * 40_000 + "b" * 40_000) for k in range(40)], "doc_id long, text string")
+    windows = binary._windows(long.select("doc_id", F.col("text")))
+    assert len(windows) == 40 and all(len(w) == binary.DICTIONARY_IDS for w in windows)
+    assert any("b" in w for w in windows) and any("b" not in w for w in windows)
