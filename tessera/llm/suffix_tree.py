@@ -19,6 +19,8 @@ depth, the documents' scores are sums over these lists, and no text is looked up
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,11 @@ SPREAD = 1024
 BLOCK_DOCS = 1 << 14
 BLOCK_BYTES = 8 << 20
 """Documents and bytes of text that a task sorts together (one text at least)."""
+PARTS = 2
+"""Pairs and triples of words, of which there are most, are counted in so many turns."""
+FILTER_BITS = 1 << 28
+"""Bits at most, 32 MB, of the filter that keeps contexts too rare to be examined from being
+sent; where it fills up, more is sent and the result is the same."""
 END = np.uint64(0x6A09E667F3BCC909)
 """The end of a text."""
 
@@ -93,9 +100,50 @@ def _starts(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
 
 
-def _sender(depth: int, buckets: int, hot: np.ndarray):
-    """Task: for each block of documents and bucket, the contexts, symbols, counts and the
-    documents that hold them."""
+def _filter_bits(size: int):
+    """Task: the part of a bit array that the ids of this partition set."""
+    import pyarrow as pa
+
+    def run(batches):
+        bits: dict = {}
+        for batch in batches:
+            ids = batch.column(0).to_numpy().view(np.uint64)
+            at = (ids & np.uint64(size - 1)).astype(np.int64)
+            for slot in np.unique(at * 64 // size).tolist():
+                mine = at[at * 64 // size == slot] - slot * (size // 64)
+                bits.setdefault(slot, np.zeros(size // 64, dtype=bool))[mine] = True
+        if bits:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(bits), type=pa.int32()), pa.array([np.packbits(b).tobytes() for b in bits.values()])],
+                names=["slot", "bits"],
+            )
+
+    return run
+
+
+def context_filter(ids: DataFrame) -> np.ndarray:
+    """A bit array of bounded size, at least 32 times the number of ``ids`` while it can be:
+    the bit at an id's low bits is set.  Each of 64 slices is made by one task."""
+    n = ids.count()
+    size = min(FILTER_BITS, 1 << max(10, (32 * n).bit_length()))
+    low = F.col("id").bitwiseAND(F.lit(size - 1))
+    slot = F.floor(low * 64 / size).cast("int")
+    parts = ids.select("id").repartition(64, slot).mapInArrow(_filter_bits(size), "slot int, bits binary")
+    made = np.zeros(size // 8, dtype=np.uint8)
+    for r in parts.collect():
+        made[r.slot * (size // 512) : (r.slot + 1) * (size // 512)] = np.frombuffer(r.bits, np.uint8)
+    return made
+
+
+def _may_be(made: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = ids & np.uint64(len(made) * 8 - 1)
+    byte = made[(at >> np.uint64(3)).astype(np.int64)]
+    return (byte >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+
+
+def _sender(depth: int, buckets: int, hot: np.ndarray, turn: int, turns: int, known):
+    """Task: for each block of documents and bucket of this turn, the contexts, symbols, counts
+    and the documents that hold them.  ``known``: the broadcast filter of contexts."""
     import pyarrow as pa
 
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
@@ -105,19 +153,25 @@ def _sender(depth: int, buckets: int, hot: np.ndarray):
         ids, lengths = text_symbols(texts)
         at, ctx, par = _sequences(ids, lengths, depth)
         del ids
+        if known is not None:
+            may = _may_be(known.value, ctx)
+            at, ctx, par = at[may], ctx[may], par[may]
+        gram = joined(ctx, par) if depth else par
+        key = np.where(np.isin(ctx, hot), gram, ctx) if len(hot) else ctx
+        if turns > 1:
+            now = _bucket(key, buckets) % turns == turn
+            at, ctx, par, gram, key = at[now], ctx[now], par[now], gram[now], key[now]
         if not len(at):
             return
         doc = np.repeat(np.array(docs, dtype=np.uint16), lengths)[at]
         taught = np.repeat(np.array(train, dtype=bool), lengths)[at]
-        gram = joined(ctx, par) if depth else par
         order = np.argsort(gram)
         start = _starts(gram[order])
         m = np.diff(np.append(start, len(order)))
         n = np.add.reduceat(taught[order].astype(np.int64), start)
         pick = order[start]
-        ctx, par, gram = ctx[pick], par[pick], gram[pick]
-        key = np.where(np.isin(ctx, hot), gram, ctx) if len(hot) else ctx
-        by_key = np.argsort(key)
+        ctx, par, key = ctx[pick], par[pick], key[pick]
+        by_key = np.argsort(key) if depth else np.arange(len(key))
         bucket = _bucket(key[by_key], buckets)
         # The lists of documents in the new order of their sequences.
         moved = np.repeat(start[by_key], m[by_key]) + _counting(m[by_key])
@@ -126,10 +180,10 @@ def _sender(depth: int, buckets: int, hot: np.ndarray):
         ends = np.append(0, np.cumsum(m))
         cut = np.append(_starts(bucket), len(bucket))
         for a, b in zip(cut[:-1], cut[1:]):
-            run = _starts(ctx[a:b])
+            run = _starts(ctx[a:b]) if depth else None
             yield [
-                int(bucket[a]), block, ctx[a:b][run].tobytes(),
-                np.diff(np.append(run, b - a)).astype("<u4").tobytes(), par[a:b].tobytes(),
+                int(bucket[a]), block, ctx[a:b][run].tobytes() if depth else b"",
+                np.diff(np.append(run, b - a)).astype("<u4").tobytes() if depth else b"", par[a:b].tobytes(),
                 n[a:b].astype("<u4").tobytes(), m[a:b].astype("<u4").tobytes(),
                 doc[ends[a] : ends[b]].tobytes(),
             ]
@@ -192,8 +246,8 @@ def _counter(depth: int, least: int, spread: np.ndarray):
 
     def counted(p, rows):
         u8, u4 = (lambda b: np.frombuffer(b, dtype="<u8")), (lambda b: np.frombuffer(b, dtype="<u4"))
-        ctx = np.concatenate([np.repeat(u8(r[1]), u4(r[2])) for r in rows])
         par = np.concatenate([u8(r[3]) for r in rows])
+        ctx = np.concatenate([np.repeat(u8(r[1]), u4(r[2])) for r in rows]) if depth else par
         n = np.concatenate([u4(r[4]) for r in rows]).astype(np.int64)
         gram = joined(ctx, par) if depth else par
         order = np.argsort(gram)
@@ -224,10 +278,8 @@ def _counter(depth: int, least: int, spread: np.ndarray):
             keep = total >= 1
         rank = np.cumsum(keep) - 1
         kept = int(keep.sum())
-        yield batch(
-            _GRAM, p, kept, id=gram[keep], ctx=ctx[keep], par=par[keep], n=total[keep],
-            k=rank[keep],
-        )
+        both = {"ctx": ctx[keep], "par": par[keep]} if depth else {}
+        yield batch(_GRAM, p, kept, id=gram[keep], n=total[keep], k=rank[keep], **both)
         lists: dict = {}
         at = 0
         for block, _, _, par_, _, m, docs in rows:
@@ -297,6 +349,14 @@ def _adder(batches):
         )
 
 
+class _Counted(NamedTuple):
+    """Tables of one depth: counts of sequences, of contexts, and which documents hold them."""
+
+    grams: DataFrame
+    stats: DataFrame
+    lists: DataFrame
+
+
 class SuffixTree:
     """The states of a tree learned from the rows of ``docs`` that are not ``held_out``, and the
     scores of all rows."""
@@ -321,18 +381,23 @@ class SuffixTree:
             (F.col("_row") % BLOCK_DOCS).cast("int").alias("doc"),
         )
 
-    def _counted(self, depth: int, hot: np.ndarray) -> DataFrame:
+    def _counted(self, depth: int, hot: np.ndarray, known=None) -> _Counted:
         source = self.docs.select(
             "block", "doc", (~F.col("held_out")).alias("train"), F.encode("text", "utf-8").alias("text")
         )
-        sent = source.mapInArrow(_sender(depth, self.buckets, hot), _SENT)
-        task = _counter(depth, self.least, hot)
-        made = sent.repartitionById(self.buckets, F.col("bucket")).mapInArrow(task, _COUNTED)
-        return self.scratch.write(made, f"counted-{depth}")
-
-    def _hot(self, counted: DataFrame, tokens: int) -> np.ndarray:
+        turns, task, made = (PARTS if depth in (1, 2) else 1), _counter(depth, self.least, hot), None
+        for turn in range(turns):
+            send = _sender(depth, self.buckets, hot, turn, turns, known)
+            sent = source.mapInArrow(send, _SENT)
+            mine = sent.repartitionById(-(-self.buckets // turns), F.expr(f"bucket div {turns}").cast("int"))
+            mine = self.scratch.write(mine.mapInArrow(task, _COUNTED), f"counted-{depth}", by="kind")
+            parts = [self.scratch.part(mine, "kind", k) for k in (_GRAM, _STAT, _LIST)]
+            made = parts if made is None else [a.union(b) for a, b in zip(made, parts)]
+        return _Counted(*made)
+
+    def _hot(self, grams: DataFrame, tokens: int) -> np.ndarray:
         """Contexts that occur so often that there can't be more than ``SPREAD`` of them."""
-        heavy = counted.where(f"kind = {_GRAM}").where(F.col("n") * SPREAD > tokens).select("id").collect()
+        heavy = grams.where((F.col("n") * SPREAD > tokens) & (F.col("n") >= self.least)).select("id").collect()
         return np.array([r.id for r in heavy], dtype=np.int64).view(np.uint64)
 
     def scores(self) -> DataFrame:
@@ -340,35 +405,41 @@ class SuffixTree:
         ``score`` of every row."""
         scratch, d = self.scratch, F.lit(DISCOUNT)
         counted = self._counted(0, np.zeros(0, dtype=np.uint64))
-        words = counted.where(f"kind = {_GRAM}")
+        words = counted.grams
         size = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         tokens, below = size[0], size[0] + 0.5 * (size[1] + 1)
-        log_p = F.log10((F.col("n") + 0.5) / below)
-        # p: probability in the tree so far; g: what it adds to the score of the shorter context.
-        grams = words.select("p", "id", "par", "n", "k", ((F.col("n") + 0.5) / below).alias("prob"), log_p.alias("g"))
-        grams = grams.withColumn("base", F.col("g"))
-        states, sums = None, []
+        # prob: in the tree so far; g: what it adds to the score that the shorter context gives.
+        prob = (F.col("n") + 0.5) / below
+        grams = words.select("p", "id", "n", "k", prob.alias("prob"), F.log10(prob).alias("g"))
+        hot, states, sums = self._hot(words, tokens), None, []
         for depth in range(1, self.depth + 2):
-            found = following = None
+            found = following = next_grams = None
             if depth <= self.depth:
-                hot = self._hot(counted, tokens)
-                following = self._counted(depth, hot)
-                found, next_grams = self._grown(following, grams, states, d, depth)
-            sums.append(self._summed(counted, grams, found, depth == 1))
-            if depth > self.depth:
-                break
+                may, known = self._contexts(grams, states), None
+                if depth > 1:
+                    known = self.docs.sparkSession.sparkContext.broadcast(context_filter(may))
+                following = self._counted(depth, hot, known)
+                hot = self._hot(following.grams, tokens)
+                found, next_grams = self._grown(following, grams, may, d, depth)
+                scratch.drop(following.grams, following.stats)
+            sums.append(self._summed(counted.lists, grams, found, depth == 1))
+            scratch.drop(counted.lists, grams, *([states] if states is not None else []))
             counted, grams, states = following, next_grams, found
         return self._result(sums, tokens, below)
 
-    def _grown(self, counted: DataFrame, shorter: DataFrame, states, d, depth: int):
+    def _contexts(self, grams: DataFrame, states) -> DataFrame:
+        """The sequences that are examined as contexts: often enough, the suffix a state."""
+        may = grams.where(F.col("n") >= self.least)
+        if states is not None:
+            may = may.join(states.select(F.col("id").alias("par")), "par", "left_semi")
+        return self.scratch.write(may.select("id"), "contexts")
+
+    def _grown(self, counted: _Counted, shorter: DataFrame, may: DataFrame, d, depth: int):
         """The states of this depth (``id``, ``lam``) and their symbols."""
         scratch = self.scratch
-        share = counted.where(f"kind = {_STAT}").groupBy("ctx").agg(
+        share = counted.stats.groupBy("ctx").agg(
             *[F.sum(c).alias(c) for c in ("n", "k", "n1", "n2")]
         )
-        may = shorter.where(F.col("n") >= self.least)
-        if states is not None:  # the suffix must be a state
-            may = may.join(states.select(F.col("id").alias("par")), "par", "left_semi")
         lam = ((F.col("k") - F.col("n1")) * d + F.col("n1")) / F.col("n")
         stats = share.where(F.col("n") >= self.least).join(
             may.select(F.col("id").alias("ctx")), "ctx", "left_semi"
@@ -377,38 +448,43 @@ class SuffixTree:
             stats.select("ctx", F.col("n").alias("big"), lam.alias("lam"), (F.col("n1") + 2 * F.col("n2")).alias("rare")),
             f"contexts-{depth}", scratch,
         )
-        grams = counted.where(f"kind = {_GRAM}").select("p", "id", "ctx", "par", "n", "k")
         of_suffix = shorter.where("prob is not null").select(F.col("id").alias("par"), F.col("prob").alias("q"))
-        grams = scratch.write(grams.join(stats, "ctx").join(of_suffix, "par"), f"symbols-{depth}")
+        grams = counted.grams.select("p", "id", "ctx", "par", "n", "k")
+        # Contexts that came through the filter by chance have a suffix that is no state.
+        grams = scratch.write(grams.join(of_suffix, "par"), f"symbols-{depth}")
         n, big, q, lam = F.col("n"), F.col("big"), F.col("q"), F.col("lam")
         left_out = n * F.log(((n - 1 - d) / (big - 1) + lam * q) / q)
-        gain = F.coalesce(F.sum(F.when(n >= 3, left_out)), F.lit(0.0))
-        gains = grams.groupBy("ctx").agg(gain.alias("gain"))
+        often = grams.where("n >= 3").join(stats, "ctx")
+        gains = often.groupBy("ctx").agg(F.sum(left_out).alias("gain"))
+        # Without a symbol that comes three times there is nothing to gain.
         kept = stats.join(gains, "ctx").where(F.col("gain") + F.col("rare") * F.log("lam") > F.log("big"))
-        kept = lookup_table(kept.select(F.col("ctx").alias("id"), "lam"), f"states-{depth}", scratch)
-        # Symbols after a context that is no state add nothing, but may end a longer context.
-        state = kept.select(F.col("id").alias("ctx"), F.lit(True).alias("state"))
-        prob = F.when(F.col("state"), (n - d) / big + lam * q)
-        mine = grams.join(state, "ctx", "left").select(
+        kept = lookup_table(kept.select(F.col("ctx").alias("id"), "lam", "big"), f"states-{depth}", scratch)
+        prob = (n - d) / big + lam * q
+        mine = grams.join(kept.withColumnRenamed("id", "ctx"), "ctx", "left").select(
             "p", "id", "par", "n", "k", prob.alias("prob"),
-            F.coalesce(F.log10(prob / (lam * q)), F.lit(0.0)).alias("g"), F.lit(0.0).alias("base"),
+            F.coalesce(F.log10(prob / (lam * q)), F.lit(0.0)).alias("g"),
         )
-        return kept, scratch.write(mine, f"tree-{depth}")
-
-    def _summed(self, counted: DataFrame, grams: DataFrame, longer, first: bool) -> DataFrame:
+        # Symbols after a context that is no state add nothing, but may end a longer context.
+        often = F.col("n") >= self.least
+        mine = mine.where(F.col("prob").isNotNull() | often)
+        mine = mine.withColumns({c: F.when(often, F.col(c)) for c in ("par", "n")})
+        made = scratch.write(mine, f"tree-{depth}")
+        scratch.drop(grams, stats, may)
+        return kept, made
+
+    def _summed(self, lists: DataFrame, grams: DataFrame, longer, first: bool) -> DataFrame:
         """What the symbols of one depth add to the scores of documents: their own term, and as
         contexts of the next depth the weight of what is not seen there."""
         weight = F.lit(0.0)
         if longer is not None:
             grams = grams.join(longer.select("id", F.log10("lam").alias("w")), "id", "left")
             weight = F.coalesce("w", F.lit(0.0))
+        # Only the root's terms make up the score without a tree.
         values = grams.select(
-            "p", "k", (F.col("g") + weight).alias("score"), F.col("base"),
+            "p", "k", (F.col("g") + weight).alias("score"), F.when(F.lit(first), F.col("g")).otherwise(0.0).cast("double").alias("base"),
             F.lit(1.0 if first else 0.0).alias("known"),
         )
-        lists = counted.where(f"kind = {_LIST}").select(
-            F.col("p").alias("at"), "block", "entries", "m", "docs"
-        )
+        lists = lists.select(F.col("p").alias("at"), "block", "entries", "m", "docs")
         pairs = values.groupBy("p").cogroup(lists.groupBy("at"))
         return self.scratch.write(pairs.applyInArrow(_summer, _SUMS), "sums")
 
