@@ -148,13 +148,21 @@ def mix(
     """
     mixture = Mixture(docs, scratch or Scratch(docs.sparkSession), blocks=blocks)
     dealt = mixture.dealt(mixture.schedule(entropy, repeat_limit, budget, seed))
-    within = F.pmod(F.xxhash64(F.lit(seed), "epoch", "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    position = (F.col("first") + within * F.col("size")) / F.greatest("due", F.lit(1.0))
+    position = _position(seed)
     return dealt.select("doc_id", "source", "tokens", "weight", "epoch", "block", position.alias("position"))
 
 
+def _position(seed: int) -> Column:
+    within = F.pmod(F.xxhash64(F.lit(seed), "epoch", "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return (F.col("first") + within * F.col("size")) / F.greatest("due", F.lit(1.0))
+
+
 def mixed(docs: DataFrame, scratch: Scratch | None = None, seed: int = 0, **options) -> DataFrame:
-    """``docs`` with all their columns, each row as often as ``mix`` reads it."""
+    """``docs`` with all their columns, each row as often as ``mix`` reads it, in the order of
+    its ``position``: written as files, every stretch of them has about the target weights.
+    Rows of one position, as those of a source without tokens, are in the order of a hash."""
     mixture = Mixture(docs, scratch or Scratch(docs.sparkSession))
     options = {"entropy": None, "repeat_limit": REPEAT_LIMIT, "budget": None} | options
-    return mixture.dealt(mixture.schedule(seed=seed, **options)).select("row.*")
+    dealt = mixture.dealt(mixture.schedule(seed=seed, **options))
+    placed = dealt.select("row", _position(seed).alias("position"), F.xxhash64("epoch", "doc_id").alias("tie"))
+    return placed.orderBy("position", "tie").select("row.*")

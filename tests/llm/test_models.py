@@ -262,6 +262,16 @@ def test_budget_and_order(sources):
     assert half.count("big") / len(half) == pytest.approx([r.source for r in got].count("big") / len(got), abs=0.1)
 
 
+def test_the_stage_keeps_the_order(sources):
+    """The rows of the stage are those of the query in the order of their positions."""
+    _, docs = sources
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("position").collect()]
+    got = [r.doc_id for r in mixing.mixed(docs).collect()]
+    assert sorted(got) == sorted(want)
+    differ = sum(a != b for a, b in zip(got, want))  # equal positions may change places
+    assert differ <= len(want) // 20
+
+
 def test_mixing_odd_rows(odd, odd_rows, none):
     got = mixing.mix(odd).collect()
     first = [str(r.doc_id) for r in got if r.epoch == 0]
