@@ -61,7 +61,8 @@ class BlockView:
         if version:
             schema = "name string, bucket int, since int"
             for r in self.spark.read.schema(schema).parquet(f"{self.root}/manifest/version={version}").collect():
-                made[r.name][r.bucket] = r.since
+                if r.bucket >= 0:
+                    made[r.name][r.bucket] = r.since
         return made
 
     def table(self, name: str, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
@@ -221,7 +222,8 @@ class BlockView:
             for b in buckets:
                 now[name].pop(b, None)
             now[name].update({b: version for b in there})
-        rows = [(name, b, v) for name, of in now.items() for b, v in of.items()]
+        # One row is always there, so that a version without stones is one, too.
+        rows = [("", -1, version)] + [(name, b, v) for name, of in now.items() for b, v in of.items()]
         self.spark.createDataFrame(rows, "name string, bucket int, since int").coalesce(1).write.mode(
             "overwrite"
         ).parquet(f"{self.root}/manifest/version={version}")
