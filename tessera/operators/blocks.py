@@ -12,7 +12,7 @@ from tessera.operators.ingest import CELL
 from tessera.operators.last import related_blocks
 from tessera.operators.regions import Split, split_by
 from tessera.schema import TILE
-from tessera.scratch import Scratch, lookup_table
+from tessera.scratch import Scratch, joined, lookup_table
 
 BLOCK = ["board_id", "bid"]
 
@@ -70,8 +70,8 @@ def label_blocks(
             local.filter(F.col(tie) != F.col("id")).select("board_id", tie).distinct(),
             "shared", scratch,
         )
-        tied = local.filter(F.col(tie) != F.col(local_out)).join(
-            shared, ["board_id", tie], "left_semi"
+        tied = joined(
+            local.filter(F.col(tie) != F.col(local_out)), shared, ["board_id", tie], "left_semi"
         )
         pairs = pairs.union(
             tied.select("board_id", F.col(tie).alias("u"), F.col(local_out).alias("v"))
@@ -81,7 +81,7 @@ def label_blocks(
     if pairs.isEmpty():
         return local.select(*kept, F.col(local_out).alias(out))
     root = smallest_of_component(pairs, scratch).withColumnRenamed("u", local_out)
-    labelled = local.join(root, ["board_id", local_out], "left").select(
+    labelled = joined(local, root, ["board_id", local_out], "left").select(
         *kept, F.coalesce("v", local_out).alias(out)
     )
     return scratch.write(labelled, "labels") if written else labelled
@@ -106,7 +106,7 @@ def _touching(local: DataFrame, owner: str | None, tile: int) -> DataFrame:
     )
     b = rim.filter("_lx = 0 or _ly = 0").select(*match, F.col("_label").alias("_b"))
     return (
-        a.join(b, match)
+        joined(a, b, match)
         .filter("_a != _b")
         .select("board_id", F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v"))
         .distinct()
@@ -131,15 +131,14 @@ def smallest_of_component(pairs: DataFrame, scratch: Scratch) -> DataFrame:
             "large-low", scratch,
         )
         large = (
-            both.filter("v > u")
-            .join(low, node)
+            joined(both.filter("v > u"), low, node)
             .select("board_id", F.col("v").alias("u"), F.col("_m").alias("v"))
             .distinct()
         )
         large = scratch.write(large, "large-star")
         low = lookup_table(large.groupBy(*node).agg(F.min("v").alias("_m")), "small-low", scratch)
         small = (
-            large.join(low, node)
+            joined(large, low, node)
             .filter("v != _m")
             .select("board_id", F.col("v").alias("u"), F.col("_m").alias("v"))
             .union(low.select("board_id", "u", F.col("_m").alias("v")))

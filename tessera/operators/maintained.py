@@ -23,7 +23,7 @@ from tessera.functions.geometry import neighbours, tile_of
 from tessera.operators.blocks import BLOCK, label_blocks, smallest_of_component
 from tessera.operators.ingest import CELL
 from tessera.schema import TILE
-from tessera.scratch import Scratch, lookup_table
+from tessera.scratch import Scratch, joined, lookup_table
 
 _TABLES = {
     "stones": "board_id long, id long, x long, y long, uid long, bid long",
@@ -111,8 +111,8 @@ class BlockView:
         if removed is None:
             removed = placed.limit(0)
         removed = write(removed.select("board_id", "id", "x", "y"), "removed")
-        filled = placed.select(*CELL).join(removed.select(*CELL), CELL, "left_anti")
-        freed = removed.select(*CELL).join(placed.select(*CELL), CELL, "left_anti")
+        filled = joined(placed.select(*CELL), removed.select(*CELL), CELL, "left_anti")
+        freed = joined(removed.select(*CELL), placed.select(*CELL), CELL, "left_anti")
         changed = write(
             filled.withColumn("step", F.lit(-1)).union(freed.withColumn("step", F.lit(1))), "changed"
         )
@@ -121,30 +121,30 @@ class BlockView:
         local = self._open("stones", now["stones"], near_cells)
 
         # What goes, and what stays beside a changed cell.
-        gone = write(local.join(removed.select(*_KEY), _KEY, "left_semi"), "gone")
-        stays = local.join(removed.select(*_KEY), _KEY, "left_anti")
+        gone = write(joined(local, removed.select(*_KEY), _KEY, "left_semi"), "gone")
+        stays = joined(local, removed.select(*_KEY), _KEY, "left_anti")
         sides = neighbours(changed.select("board_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "step", "x", "y"))
-        beside = write(sides.join(stays, CELL), "beside")
+        beside = write(joined(sides, stays, CELL), "beside")
         cut = lookup_table(gone.select(*BLOCK).distinct(), "cut", scratch)
         touching = neighbours(placed.select("board_id", F.col("id").alias("new"), "uid", "x", "y"))
-        same = write(touching.join(stays, [*CELL, "uid"]).select("board_id", "new", "id", "bid"), "same")
+        same = write(joined(touching, stays, [*CELL, "uid"]).select("board_id", "new", "id", "bid"), "same")
 
         # The remaining stones of blocks that lost one, labelled again.
         labels = beside.select(*BLOCK).union(same.select(*BLOCK)).union(cut).distinct()
         labels = lookup_table(labels, "labels", scratch)
         by_block = self._numbers(labels, self._by_block())
         homes = self._open("homes", now["homes"], by_block)
-        cut_homes = self._numbers(homes.join(cut, BLOCK, "left_semi"), F.col("home"))
+        cut_homes = self._numbers(joined(homes, cut, BLOCK, "left_semi"), F.col("home"))
         wide = self._open("stones", now["stones"], near_cells | cut_homes)
-        after = wide.join(removed.select(*_KEY), _KEY, "left_anti")
-        rest = write(after.join(cut, BLOCK, "left_semi"), "rest")
+        after = joined(wide, removed.select(*_KEY), _KEY, "left_anti")
+        rest = write(joined(after, cut, BLOCK, "left_semi"), "rest")
         pieces = write(label_blocks(rest.drop("bid"), out="piece", tile=self.tile, scratch=scratch), "pieces")
 
         # Labels that placed stones unite.
         as_piece = pieces.select(*_KEY, "piece")
         old_label = F.coalesce("piece", "bid")
-        pairs = same.join(as_piece, _KEY, "left").select("board_id", F.col("new").alias("a"), old_label.alias("b"))
-        both_new = touching.join(placed.select(*CELL, "uid", "id"), [*CELL, "uid"])
+        pairs = joined(same, as_piece, _KEY, "left").select("board_id", F.col("new").alias("a"), old_label.alias("b"))
+        both_new = joined(touching, placed.select(*CELL, "uid", "id"), [*CELL, "uid"])
         pairs = pairs.union(both_new.select("board_id", F.col("new").alias("a"), F.col("id").alias("b")))
         pairs = write(
             pairs.select("board_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -158,19 +158,19 @@ class BlockView:
         def renamed(df: DataFrame) -> DataFrame:
             """``bid`` replaced by the label of the block that it is part of now."""
             kept = [c for c in df.columns if c != "bid"]
-            return df.join(united, BLOCK, "left").select(*kept, F.coalesce("low", "bid").alias("bid"))
+            return joined(df, united, BLOCK, "left").select(*kept, F.coalesce("low", "bid").alias("bid"))
 
         new = write(renamed(placed.withColumn("bid", F.col("id"))), "new")
         parts = write(renamed(pieces.withColumnRenamed("piece", "bid")), "parts")
 
         # Stones: buckets with a changed cell, of blocks that were cut, and of absorbed ones.
-        whole = labels.join(cut, BLOCK, "left_anti")
-        absorbed = whole.join(united, BLOCK, "left_semi")
-        absorbed_homes = self._numbers(homes.join(absorbed, BLOCK, "left_semi"), F.col("home"))
+        whole = joined(labels, cut, BLOCK, "left_anti")
+        absorbed = joined(whole, united, BLOCK, "left_semi")
+        absorbed_homes = self._numbers(joined(homes, absorbed, BLOCK, "left_semi"), F.col("home"))
         rewritten = self._numbers(cells, self._by_tile()) | cut_homes | absorbed_homes
         old = self._open("stones", now["stones"], rewritten)
-        old = old.join(removed.select(*_KEY), _KEY, "left_anti")
-        kept = renamed(old.join(cut, BLOCK, "left_anti"))
+        old = joined(old, removed.select(*_KEY), _KEY, "left_anti")
+        kept = renamed(joined(old, cut, BLOCK, "left_anti"))
         stones = kept.unionByName(new).unionByName(parts)
         made = {"stones": (rewritten, stones.withColumn("bucket", self._by_tile()))}
 
@@ -178,34 +178,34 @@ class BlockView:
         # was filled or freed; those of cut blocks and placed stones are counted anew.
         seen = after.select(*CELL).union(placed.select(*CELL))
         fresh = new.select(*BLOCK, "x", "y").union(parts.select(*BLOCK, "x", "y"))
-        counted = neighbours(fresh).join(seen, CELL, "left_anti").withColumn("n", F.lit(1).cast("long"))
-        signed = beside.join(cut, BLOCK, "left_anti").select(
+        counted = joined(neighbours(fresh), seen, CELL, "left_anti").withColumn("n", F.lit(1).cast("long"))
+        signed = joined(beside, cut, BLOCK, "left_anti").select(
             *BLOCK, F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("step").cast("long").alias("n")
         )
-        stored = self._open("free", now["free"], by_block).join(whole, BLOCK, "left_semi")
+        stored = joined(self._open("free", now["free"], by_block), whole, BLOCK, "left_semi")
         every = renamed(stored.union(signed)).select(*BLOCK, "x", "y", "n").union(counted.select(*BLOCK, "x", "y", "n"))
         free = every.groupBy(*BLOCK, "x", "y").agg(F.sum("n").alias("n")).where("n > 0")
         free = write(free, "free")
 
         qi = free.groupBy(*BLOCK).agg(F.count("*").alias("qi"))
         size = F.count("*").alias("stones")
-        sizes = self._open("blocks", now["blocks"], by_block).join(whole, BLOCK, "left_semi")
+        sizes = joined(self._open("blocks", now["blocks"], by_block), whole, BLOCK, "left_semi")
         sizes = renamed(sizes.select(*BLOCK, "uid", "stones")).select(*BLOCK, "uid", "stones")
         for some in (new, parts):
             sizes = sizes.union(some.groupBy(*BLOCK, "uid").agg(size).select(*BLOCK, "uid", "stones"))
         sizes = sizes.groupBy(*BLOCK).agg(F.min("uid").alias("uid"), F.sum("stones").alias("stones"))
-        blocks = sizes.join(qi, BLOCK, "left").select(
+        blocks = joined(sizes, qi, BLOCK, "left").select(
             *BLOCK, "uid", "stones", F.coalesce("qi", F.lit(0)).cast("long").alias("qi")
         )
         # A block's homes are the buckets of its stones and of the cells beside them.
         where = neighbours(fresh, 5).select(*BLOCK, self._by_tile().alias("home"))
-        lies = renamed(homes.join(whole, BLOCK, "left_semi")).select(*BLOCK, "home").union(where).distinct()
+        lies = renamed(joined(homes, whole, BLOCK, "left_semi")).select(*BLOCK, "home").union(where).distinct()
 
         affected = labels.union(united.select(*BLOCK)).union(fresh.select(*BLOCK)).distinct()
         affected = lookup_table(affected, "affected", scratch)
         touched = self._numbers(affected, self._by_block())
         for name, rows in {"free": free, "blocks": blocks, "homes": lies}.items():
-            others = self._open(name, now[name], touched).join(affected, BLOCK, "left_anti")
+            others = joined(self._open(name, now[name], touched), affected, BLOCK, "left_anti")
             columns = [c.split()[0] for c in _TABLES[name].split(", ")]
             full = others.select(*columns).union(rows.select(*columns))
             made[name] = (touched, full.withColumn("bucket", self._by_block()))
@@ -235,6 +235,6 @@ class BlockView:
         differ = {b for b in before.keys() | after.keys() if before.get(b) != after.get(b)}
         old, new = (self._open("stones", m, differ) for m in (before, after))
         cells = ["board_id", "id", "x", "y", "uid"]
-        plus = new.join(old.select(*_KEY), _KEY, "left_anti").select(*cells, F.lit(1).cast("long").alias("change"))
-        minus = old.join(new.select(*_KEY), _KEY, "left_anti").select(*cells, F.lit(-1).cast("long").alias("change"))
+        plus = joined(new, old.select(*_KEY), _KEY, "left_anti").select(*cells, F.lit(1).cast("long").alias("change"))
+        minus = joined(old, new.select(*_KEY), _KEY, "left_anti").select(*cells, F.lit(-1).cast("long").alias("change"))
         return plus.union(minus)

@@ -130,3 +130,13 @@ def lookup_table(df: DataFrame, name: str = "lookup", scratch: Scratch | None =
     decides whether it is broadcast instead.
     """
     return (scratch or Scratch(df.sparkSession)).write(df, name)
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join two tables that both grow with the input, by shuffle.
+
+    Spark would gather the smaller one on the driver to broadcast it as long as its files are
+    below a limit, each of many joins anew, and compressed files say little about its size in
+    memory.  So joined nothing passes the driver, and hot partitions are still split.
+    """
+    return left.join(right.hint("merge"), on, how)
