@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions.geometry import tile_of
 from tessera.operators.ingest import CELL
 from tessera.schema import COORD_MAX, COORD_MIN
-from tessera.scratch import lookup_table
+from tessera.scratch import joined, lookup_table
 
 BOX = ["board_id", "x1", "y1", "x2", "y2"]
 STEP = 8
@@ -118,9 +118,7 @@ def _inside() -> Column:
 
 def _box_stones(boxes: DataFrame, stones: DataFrame, tile: int) -> DataFrame:
     return (
-        _box_tiles(boxes)
-        .drop("_full")
-        .join(_stone_tiles(stones, boxes, tile), _TILE_KEY)
+        joined(_box_tiles(boxes).drop("_full"), _stone_tiles(stones, boxes, tile), _TILE_KEY)
         .filter(_inside())
         .drop("_lvl", "_tx", "_ty")
     )
@@ -129,7 +127,7 @@ def _box_stones(boxes: DataFrame, stones: DataFrame, tile: int) -> DataFrame:
 def rects_join(rects: DataFrame, stones: DataFrame, tile: int = FINEST) -> DataFrame:
     """One row per request and stone inside its inclusive box."""
     hits = _box_stones(_boxes(rects, tile), stones, tile)
-    return rects.join(hits, BOX).select(
+    return joined(rects, hits, BOX).select(
         "request_id", *[c for c in stones.columns if c != "board_id"], "board_id"
     )
 
