@@ -1,16 +1,19 @@
 """Ordered replay as keyed state: every board, or walled zone of one, plays in the stream.
 
-The state of a key is a map of its cells and a map of its blocks in the state store, so a move
-reads the cells beside it and the blocks they belong to, however large the board is.  What
-a micro-batch touches is read once and written once.  A block knows its label, its size, how
-many open sides its stones have and one stone of each connected part (it has several after a
-reset cut it: they keep one label and live or die together); its stones are found along
-neighbours, and of merging blocks the smaller one is rewritten.
+The state of a key is a map of square pages in the state store, each with the stones on its
+cells and the blocks numbered after a stone placed there, so a move reads the pages of the cells
+beside it and of the blocks they belong to, however large the board is.  A look into the store
+costs about as much as playing a move; what a micro-batch touches is read page by page, once,
+and written once.  A block knows its label, its size, how many open sides its stones have and
+one stone of each connected part (it has several after a reset cut it: they keep one label and
+live or die together); its stones are found along neighbours, and of merging blocks the smaller
+one is rewritten.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -20,7 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from tessera.functions.clock import whole_seconds
 from tessera.operators.ingest import constraint_reason
 from tessera.schema import BORDER_OWNER, IDLE_SECONDS
-from tessera.scratch import Scratch
+from tessera.scratch import Scratch, joined
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = (
@@ -41,30 +44,69 @@ class IdleReset(NamedTuple):
     seconds: int = IDLE_SECONDS
 
 
-class _Cache:
-    """A map of the state store, read once and written back once for a micro-batch."""
+PAGE = 8
+"""Edge length of a page in cells."""
+
+
+def _page_of(c: tuple) -> tuple:
+    return (c[0] // PAGE, c[1] // PAGE)
+
+
+class _Pages:
+    """The pages of a key: read from the store once and written back once for a micro-batch.
+
+    In the store a page is two JSON lists of whole numbers, as one string costs less there than
+    many numbers: ``[x, y, id, uid]`` and the number and page of the block for each stone, and
+    number, label, size, open sides and the stones of its parts for each block.
+    """
 
     def __init__(self, state):
-        self.state, self.held, self.stored = state, {}, {}
+        self.state, self.held, self.stored, self.changed = state, {}, set(), set()
+
+    def page(self, at: tuple) -> tuple[dict, dict]:
+        if at not in self.held:
+            stones, blocks = {}, {}
+            if (kept := self.state.getValue(at)) is not None:
+                self.stored.add(at)
+                stones = {(x, y): (i, u, (n, a, b)) for x, y, i, u, n, a, b in json.loads(kept[0])}
+                blocks = {
+                    (n, *at): (label, size, free, ends[::2], ends[1::2])
+                    for n, label, size, free, *ends in json.loads(kept[1])
+                }
+            self.held[at] = stones, blocks
+        return self.held[at]
+
+    def flush(self) -> None:
+        for at in self.changed:
+            stones, blocks = self.held[at]
+            if stones or blocks:
+                kept = [(*c, i, u, *block) for c, (i, u, block) in stones.items()]
+                numbered = [
+                    (block[0], label, size, free, *(v for end in zip(xs, ys) for v in end))
+                    for block, (label, size, free, xs, ys) in blocks.items()
+                ]
+                self.state.updateValue(at, (json.dumps(kept), json.dumps(numbered)))
+            elif at in self.stored:
+                self.state.removeKey(at)
+
+
+class _Cache:
+    """The stones (part 0) or the blocks (part 1) of the pages, by cell or by number and page."""
+
+    def __init__(self, pages: _Pages, part: int, page_of: Callable[[tuple], tuple]):
+        self.pages, self.part, self.page_of = pages, part, page_of
 
     def get(self, key: tuple):
-        if key not in self.held:
-            self.held[key] = self.stored[key] = self.state.getValue(key)
-        return self.held[key]
+        return self.pages.page(self.page_of(key))[self.part].get(key)
 
     def put(self, key: tuple, value: tuple | None) -> None:
-        self.held[key] = value
-
-    def flush(self) -> None:
-        for key, value in self.held.items():
-            # Keys that were put without a look are in the store only if they were read before.
-            if key in self.stored and value == self.stored[key]:
-                continue
-            if value is not None:
-                self.state.updateValue(key, value)
-            elif self.stored.get(key) is not None:
-                self.state.removeKey(key)
-        self.held, self.stored = {}, {}
+        at = self.page_of(key)
+        held = self.pages.page(at)[self.part]
+        self.pages.changed.add(at)
+        if value is None:
+            held.pop(key, None)
+        else:
+            held[key] = value
 
 
 def _around(c: tuple) -> tuple:
@@ -83,16 +125,14 @@ class BoardPlayer(StatefulProcessor):
         self.walls, self.reset = walls, reset
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cells = handle.getMapState("cells", "x long, y long", "id long, uid long, block long")
-        self.blocks = handle.getMapState(
-            "blocks", "block long", "label long, size long, open long, xs array<long>, ys array<long>"
-        )
+        self.pages = handle.getMapState("pages", "x long, y long", "stones string, blocks string")
         self.last = handle.getValueState("last", "id long, at long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         board, zone = key
-        last = tuple(self.last.get()) if self.last.exists() else None
-        cells, blocks = _Cache(self.cells), _Cache(self.blocks)
+        last = self.last.get()
+        pages = _Pages(self.pages)
+        cells, blocks = _Cache(pages, 0, _page_of), _Cache(pages, 1, lambda block: block[1:])
         before = None if last is None else last[0]
         for move in sorted(rows, key=lambda r: r.id):
             if before is not None and move.id <= before:
@@ -109,8 +149,7 @@ class BoardPlayer(StatefulProcessor):
                 last = (move.id, move.at)
             for seq, event in enumerate(events):
                 yield _EVENT(board, zone, move.id, seq, *event)
-        cells.flush()
-        blocks.flush()
+        pages.flush()
         if last is not None:
             self.last.update(last)
 
@@ -124,14 +163,14 @@ class BoardPlayer(StatefulProcessor):
         return (x - lo) % period == 0 or (y - lo) % period == 0
 
     @staticmethod
-    def _grown(blocks: _Cache, block: int, by: int) -> None:
-        label, size, free, xs, ys = blocks.get((block,))
-        blocks.put((block,), (label, size, free + by, xs, ys))
+    def _grown(blocks: _Cache, block: tuple, by: int) -> None:
+        label, size, free, xs, ys = blocks.get(block)
+        blocks.put(block, (label, size, free + by, xs, ys))
 
     @staticmethod
-    def _stones_of(cells: _Cache, blocks: _Cache, block: int) -> list[tuple]:
+    def _stones_of(cells: _Cache, blocks: _Cache, block: tuple) -> list[tuple]:
         """The cells of a block, along neighbours from a stone of each part."""
-        _, _, _, xs, ys = blocks.get((block,))
+        _, _, _, xs, ys = blocks.get(block)
         ahead = list(zip(xs, ys))
         found = set(ahead)
         while ahead:
@@ -143,13 +182,13 @@ class BoardPlayer(StatefulProcessor):
                         ahead.append(n)
         return list(found)
 
-    def _remove(self, cells: _Cache, blocks: _Cache, block: int) -> list[tuple]:
+    def _remove(self, cells: _Cache, blocks: _Cache, block: tuple) -> list[tuple]:
         """Take a block off the board; its stones."""
         gone = self._stones_of(cells, blocks, block)
         stones = [(*c, *cells.get(c)[:2]) for c in gone]
         for c in gone:
             cells.put(c, None)
-        blocks.put((block,), None)
+        blocks.put(block, None)
         for c in gone:
             for n in _around(c):
                 beside = cells.get(n)
@@ -171,7 +210,7 @@ class BoardPlayer(StatefulProcessor):
                 if beside is not None and beside[2] not in cut:
                     self._grown(blocks, beside[2], 1)
         for block, stones in left.items():
-            label = blocks.get((block,))[0]
+            label = blocks.get(block)[0]
             free = sum(cells.get(n) is None and not self._wall(*n) for c in stones for n in _around(c))
             rest, ends = set(stones), []
             while rest:
@@ -183,7 +222,7 @@ class BoardPlayer(StatefulProcessor):
                             rest.remove(n)
                             ahead.append(n)
             made = (label, len(stones), free, [x for x, _ in ends], [y for _, y in ends])
-            blocks.put((block,), made if stones else None)
+            blocks.put(block, made if stones else None)
         return [(RESET, *c, s[1], s[0], None) for c, s in gone.items()]
 
     def _play(self, cells: _Cache, blocks: _Cache, mid: int, x, y, uid: int) -> list[tuple]:
@@ -197,33 +236,33 @@ class BoardPlayer(StatefulProcessor):
         for stone in beside:
             self._grown(blocks, stone[2], -1)
         free = 4 - len(beside) - sum(self._wall(*n) for n in _around((x, y)))
-        cells.put((x, y), (mid, uid, mid))
-        blocks.put((mid,), (mid, 1, free, [x], [y]))
-        home = mid
+        home = (mid, *_page_of((x, y)))
+        cells.put((x, y), (mid, uid, home))
+        blocks.put(home, (mid, 1, free, [x], [y]))
         own = {s[2] for s in beside if s[1] == uid}
         if own:
-            home = self._merge(cells, blocks, own | {mid})
-            events.append((MERGED, x, y, uid, blocks.get((home,))[0], None))
+            home = self._merge(cells, blocks, own | {home})
+            events.append((MERGED, x, y, uid, blocks.get(home)[0], None))
         # All are judged before one is taken away.
         enemy = {s[2] for s in beside if s[1] != uid}
-        for block in sorted(b for b in enemy if blocks.get((b,))[2] == 0):
+        for block in sorted(b for b in enemy if blocks.get(b)[2] == 0):
             events += [(CAPTURED, a, b, u, i, None) for a, b, i, u in self._remove(cells, blocks, block)]
-        if blocks.get((home,))[2] == 0:
+        if blocks.get(home)[2] == 0:
             events += [(SUICIDE, a, b, u, i, None) for a, b, i, u in self._remove(cells, blocks, home)]
         return events
 
-    def _merge(self, cells: _Cache, blocks: _Cache, parts: set[int]) -> int:
+    def _merge(self, cells: _Cache, blocks: _Cache, parts: set[tuple]) -> tuple:
         """Make one block of several beside a new stone; the largest keeps its number."""
-        of = {b: blocks.get((b,)) for b in parts}
-        home = max(of, key=lambda b: (of[b][1], -b))
+        of = {b: blocks.get(b) for b in parts}
+        home = max(of, key=lambda b: (of[b][1], -b[0]))
         for b in parts - {home}:
             for c in self._stones_of(cells, blocks, b):
                 stone = cells.get(c)
                 cells.put(c, (stone[0], stone[1], home))
-            blocks.put((b,), None)
+            blocks.put(b, None)
         whole = all(len(v[3]) == 1 for v in of.values())
         ends = [of[home]] if whole else list(of.values())
-        blocks.put((home,), (
+        blocks.put(home, (
             min(v[0] for v in of.values()), sum(v[1] for v in of.values()), sum(v[2] for v in of.values()),
             [x for v in ends for x in v[3]], [y for v in ends for y in v[4]],
         ))
@@ -311,20 +350,26 @@ def play_log(events: DataFrame) -> DataFrame:
     )
 
 
-def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
-    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
-
-
 def play_stones(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The labelled stones that the state store holds, as of the last committed micro-batch."""
-    cells = _state(spark, checkpoint, "cells").select(
-        "key.board_id", "key.zone", F.col("user_map_value.block").alias("block"), "user_map_value.id",
-        "user_map_key.x", "user_map_key.y", "user_map_value.uid",
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "pages").load()
+
+    def listed(name: str) -> Column:
+        return F.from_json(f"user_map_value.{name}", "array<array<bigint>>").alias(name)
+
+    # Written, as both sides of the join would read the whole store.
+    pages = state.select("key.board_id", "key.zone", listed("stones"), listed("blocks"))
+    pages = Scratch(spark).write(pages, "pages")
+    stone, block = F.col("stone"), F.col("block")
+    cells = pages.select("board_id", "zone", F.explode("stones").alias("stone")).select(
+        "board_id", "zone", stone[4].alias("block"), stone[2].alias("id"),
+        stone[0].alias("x"), stone[1].alias("y"), stone[3].alias("uid"),
     )
-    blocks = _state(spark, checkpoint, "blocks").select(
-        "key.board_id", "key.zone", "user_map_key.block", F.col("user_map_value.label").alias("bid")
+    blocks = pages.select("board_id", "zone", F.explode("blocks").alias("block")).select(
+        "board_id", "zone", block[0].alias("block"), block[1].alias("bid")
     )
-    return cells.join(blocks, ["board_id", "zone", "block"]).select("board_id", "id", "x", "y", "bid", "uid")
+    labelled = joined(cells, blocks, ["board_id", "zone", "block"])
+    return labelled.select("board_id", "id", "x", "y", "bid", "uid")
 
 
 def walls_of(zones: DataFrame, lo: int = -1, hi: int = 19) -> DataFrame:
