@@ -36,7 +36,7 @@ def check(spark, view, left):
 def test_equals_fresh_labels_after_each_batch(spark, tmp_path):
     view = BlockView(spark, str(tmp_path), buckets=6, tile=4)
     seen = []
-    for placed, removed, left in batches(3, 2, 7, 4):
+    for placed, removed, left in batches(12, 2, 7, 4):
         view.apply(spark.createDataFrame(placed, STONES), spark.createDataFrame(removed, STONES[: STONES.rindex(",")]))
         check(spark, view, left)
         seen.append(left)
