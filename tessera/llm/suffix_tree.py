@@ -11,9 +11,9 @@ the distribution of the suffix.  A symbol is scored by the longest context that
 
 Per depth the texts are read once.  A task sorts the symbols of a block of documents by
 context and sends each context's share to one bucket; the contexts with more than a
-1,024th of all symbols, so at most that many, are spread over all buckets by their next
-symbol.  A bucket's task adds the counts up and keeps, beside them, which documents hold each
-symbol.  Since log probabilities along the chain of suffixes are sums of one term for each
+4,096th of all symbols, so at most that many, are spread over all buckets by their next
+symbol.  A bucket's task adds the counts up, one range of contexts after another, and keeps,
+beside them, which documents hold each symbol.  Since log probabilities along the chain of suffixes are sums of one term for each
 depth, the documents' scores are sums over these lists, and no text is looked up twice.
 """
 
@@ -34,11 +34,15 @@ DEPTH = 3
 LEAST = 8
 """Occurrences that a context needs to be examined."""
 DISCOUNT = 0.75
-SPREAD = 1024
+SPREAD = 4096
 """Contexts with more than this fraction of all symbols are spread over all buckets."""
 BLOCK_DOCS = 1 << 14
 BLOCK_BYTES = 8 << 20
 """Documents and bytes of text that a task sorts together (one text at least)."""
+SLICE = 1 << 18
+"""Sequences, as sent, that a bucket's task counts at a time (one context at least)."""
+BATCH_BYTES = 1 << 20
+"""Bytes of an Arrow batch of counts and lists (one row at least)."""
 PARTS = 2
 """Pairs and triples of words, of which there are most, are counted in so many turns."""
 FILTER_BITS = 1 << 28
@@ -47,6 +51,8 @@ sent; where it fills up, more is sent and the result is the same."""
 END = np.uint64(0x6A09E667F3BCC909)
 """The end of a text."""
 
+_LOW = np.uint64((1 << 32) - 1)
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -96,6 +102,65 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
 
 
+def _share(key: np.ndarray, buckets: int, shares: int) -> np.ndarray:
+    """Which of so many equal ranges inside its bucket holds each key."""
+    inside = ((key >> np.uint64(32)) * np.uint64(buckets)) & _LOW
+    return ((inside * np.uint64(shares)) >> np.uint64(32)).astype(np.int64)
+
+
+def _among(ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether each id is in ``hot``, which ascends."""
+    if not len(hot):
+        return np.zeros(len(ids), dtype=bool)
+    return hot[np.minimum(np.searchsorted(hot, ids), len(hot) - 1)] == ids
+
+
+def _keyed(ctx: np.ndarray, par: np.ndarray, depth: int, hot: np.ndarray):
+    """Ids of the sequences, and keys that order them: the upper half, which tells the bucket,
+    is the context's, or where that is spread the sequence's own; the lower half is its own."""
+    if not depth:
+        return par, par
+    gram = joined(ctx, par)
+    upper = np.where(_among(ctx, hot), gram, ctx) if len(hot) else ctx
+    return gram, (upper & ~_LOW) | (gram & _LOW)
+
+
+def _ordered(gram: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """An order by key in which equal sequences are neighbours, also where keys are equal by
+    chance."""
+    order = np.argsort(key, kind="stable")
+    g, k = gram[order], key[order]
+    mixed = np.flatnonzero((k[1:] == k[:-1]) & (g[1:] != g[:-1]))
+    if len(mixed):
+        at = np.flatnonzero(np.isin(k, np.unique(k[mixed])))
+        order[at] = order[at][np.lexsort((g[at], k[at]))]
+    return order
+
+
+def _steps(a: np.ndarray) -> bytes:
+    """Differences of neighbours, small and alike where ``a`` ascends, so that they compress."""
+    return np.diff(a, prepend=a.dtype.type(0)).tobytes()
+
+
+def _from_steps(steps: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, dtype=kind), dtype=kind)
+
+
+def _in_batches(rows, kinds, names):
+    """Arrow batches of rows with blobs, each of about ``BATCH_BYTES``."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(zip(*held), kinds)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(zip(*held), kinds)], names=names)
+
+
 def _starts(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
 
@@ -156,28 +221,24 @@ def _sender(depth: int, buckets: int, hot: np.ndarray, turn: int, turns: int, kn
         if known is not None:
             may = _may_be(known.value, ctx)
             at, ctx, par = at[may], ctx[may], par[may]
-        gram = joined(ctx, par) if depth else par
-        key = np.where(np.isin(ctx, hot), gram, ctx) if len(hot) else ctx
+        key = _keyed(ctx, par, depth, hot)[1]
         if turns > 1:
             now = _bucket(key, buckets) % turns == turn
-            at, ctx, par, gram, key = at[now], ctx[now], par[now], gram[now], key[now]
+            at, ctx, par, key = at[now], ctx[now], par[now], key[now]
         if not len(at):
             return
+        # In the order of the texts where keys are equal, so that the documents ascend.
+        order = np.argsort(key, kind="stable")
+        ctx, par, at, bucket = ctx[order], par[order], at[order], _bucket(key[order], buckets)
+        del key, order
+        new = (ctx[1:] != ctx[:-1]) | (par[1:] != par[:-1])
+        start = np.flatnonzero(np.concatenate([[True], new]))
         doc = np.repeat(np.array(docs, dtype=np.uint16), lengths)[at]
         taught = np.repeat(np.array(train, dtype=bool), lengths)[at]
-        order = np.argsort(gram)
-        start = _starts(gram[order])
-        m = np.diff(np.append(start, len(order)))
-        n = np.add.reduceat(taught[order].astype(np.int64), start)
-        pick = order[start]
-        ctx, par, key = ctx[pick], par[pick], key[pick]
-        by_key = np.argsort(key) if depth else np.arange(len(key))
-        bucket = _bucket(key[by_key], buckets)
-        # The lists of documents in the new order of their sequences.
-        moved = np.repeat(start[by_key], m[by_key]) + _counting(m[by_key])
-        doc = doc[order[moved]]
-        ctx, par, n, m = ctx[by_key], par[by_key], n[by_key], m[by_key]
-        ends = np.append(0, np.cumsum(m))
+        n = np.add.reduceat(taught, start, dtype=np.uint32)
+        ends = np.append(start, len(at))
+        m = np.diff(ends)
+        ctx, par, bucket = ctx[start], par[start], bucket[start]
         cut = np.append(_starts(bucket), len(bucket))
         for a, b in zip(cut[:-1], cut[1:]):
             run = _starts(ctx[a:b]) if depth else None
@@ -185,17 +246,14 @@ def _sender(depth: int, buckets: int, hot: np.ndarray, turn: int, turns: int, kn
                 int(bucket[a]), block, ctx[a:b][run].tobytes() if depth else b"",
                 np.diff(np.append(run, b - a)).astype("<u4").tobytes() if depth else b"", par[a:b].tobytes(),
                 n[a:b].astype("<u4").tobytes(), m[a:b].astype("<u4").tobytes(),
-                doc[ends[a] : ends[b]].tobytes(),
+                _steps(doc[ends[a] : ends[b]]),
             ]
 
     def run(batches):
         held, size, last = ([], [], []), 0, None
 
         def flush():
-            rows = list(block_rows(last, *held))
-            if rows:
-                columns = [pa.array(v, type=t) for v, t in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield from _in_batches(block_rows(last, *held), kinds, names)
 
         for batch in batches:
             block, doc, train, text = batch.columns
@@ -214,51 +272,84 @@ def _sender(depth: int, buckets: int, hot: np.ndarray, turn: int, turns: int, kn
     return run
 
 
-def _counting(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each size."""
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def _counter(depth: int, least: int, spread: np.ndarray):
+def _counter(depth: int, buckets: int, least: int, spread: np.ndarray):
     """Task: the counts of a bucket's sequences, what each context has, and for each block the
-    documents that hold the sequences that were kept."""
+    documents that hold the sequences that were kept.  What was sent is counted in slices, each
+    a range of keys: a task holds the sent blobs and the arrays of one slice."""
     import pyarrow as pa
 
     names = [c.split()[0] for c in _COUNTED.split(", ")]
     kinds = [pa.int32()] * 2 + [pa.int64()] * 8 + [pa.binary()] * 3
 
+    step = BATCH_BYTES // 64
+
     def batch(kind, p, rows, **columns):
         made = {"kind": np.full(rows, kind, np.int32), "p": np.full(rows, p, np.int32)}
-        made |= {c: v.view(np.int64) if isinstance(v, np.ndarray) else v for c, v in columns.items()}
-        empty = [None] * rows
-        return pa.RecordBatch.from_arrays(
-            [pa.array(made.get(c, empty), type=t) for c, t in zip(names, kinds)], names=names
-        )
+        made |= {c: v.view(np.int64) for c, v in columns.items()}
+        for low in range(0, rows, step):
+            size = min(step, rows - low)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(made[c][low : low + size], type=t) if c in made else pa.nulls(size, t) for c, t in zip(names, kinds)],
+                names=names,
+            )
 
     def run(batches):
         parts: dict = {}
         for one in batches:
-            for bucket, block, ctx, runs, par, n, m, docs in zip(*(c.to_pylist() for c in one.columns)):
-                parts.setdefault(bucket, []).append((block, ctx, runs, par, n, m, docs))
-        for p, rows in parts.items():
-            yield from counted(p, rows)
-            rows.clear()
+            for bucket, *row in zip(*(c.to_pylist() for c in one.columns)):
+                parts.setdefault(bucket, []).append(row)
+        for p in list(parts):
+            yield from counted(p, parts.pop(p))
+
+    def cut(row, slices):
+        block, ctx, runs, par, n, m, docs = row
+        par, n, m = (np.frombuffer(b, dtype=t) for b, t in ((par, "<u8"), (n, "<u4"), (m, "<u4")))
+        ctx = np.repeat(np.frombuffer(ctx, dtype="<u8"), np.frombuffer(runs, dtype="<u4")) if depth else par
+        docs = _from_steps(docs, "<u2")
+        if slices == 1:
+            return [(block, ctx, par, n, m, docs)]
+        share = _share(_keyed(ctx, par, depth, spread)[1], buckets, slices)
+        at = np.searchsorted(share, np.arange(slices + 1))
+        held = np.append(0, np.cumsum(m, dtype=np.int64))[at]
+        return [
+            (block, ctx[a:b], par[a:b], n[a:b], m[a:b], docs[c:d])
+            for a, b, c, d in zip(at[:-1], at[1:], held[:-1], held[1:])
+        ]
 
     def counted(p, rows):
-        u8, u4 = (lambda b: np.frombuffer(b, dtype="<u8")), (lambda b: np.frombuffer(b, dtype="<u4"))
-        par = np.concatenate([u8(r[3]) for r in rows])
-        ctx = np.concatenate([np.repeat(u8(r[1]), u4(r[2])) for r in rows]) if depth else par
-        n = np.concatenate([u4(r[4]) for r in rows]).astype(np.int64)
-        gram = joined(ctx, par) if depth else par
-        order = np.argsort(gram)
+        slices = 1 + sum(len(r[3]) for r in rows) // (8 * SLICE)
+        rows = [cut(r, slices) for r in rows]
+        lists: dict = {}
+        before = 0
+        for i in range(slices):
+            mine = [r[i] for r in rows if len(r[i][2])]
+            if mine:
+                made, before = counted_slice(p, mine, lists, before)
+                for one in made:
+                    yield from one
+        del rows
+        found = ((block, *map(np.concatenate, zip(*got))) for block, got in lists.items())
+        empty = [None] * 7
+        yield from _in_batches(
+            ([_LIST, p, *empty, block, _steps(entries), m.tobytes(), _steps(docs)] for block, entries, m, docs in found),
+            kinds, names,
+        )
+
+    def counted_slice(p, rows, lists, before):
+        """Batches of counts, and how many sequences were kept with the ``before`` ones."""
+        ctx, par, n = (np.concatenate([r[j] for r in rows]) for j in (1, 2, 3))
+        gram, key = _keyed(ctx, par, depth, spread)
+        order = _ordered(gram, key)
         start = _starts(gram[order])
-        which = np.empty(len(gram), dtype=np.int64)
-        which[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(gram))))
-        total = np.add.reduceat(n[order], start)
+        which = np.empty(len(gram), dtype=np.int32)
+        which[order] = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.append(start, len(gram))))
+        total = np.add.reduceat(n[order], start, dtype=np.int64)
         pick = order[start]
         ctx, par, gram = ctx[pick], par[pick], gram[pick]
+        del key, order, pick, n
+        made = []
         if depth:
-            by = np.argsort(ctx)
+            by = np.argsort(ctx, kind="stable")
             first = _starts(ctx[by])
             of = np.empty(len(ctx), dtype=np.int64)
             of[by] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ctx))))
@@ -268,34 +359,25 @@ def _counter(depth: int, least: int, spread: np.ndarray):
             ]
             home = ctx[by][first]
             # Contexts that are spread over the buckets have a share of their count here.
-            enough = (sums[0] >= least) | np.isin(home, spread)
+            enough = (sums[0] >= least) | _among(home, spread)
             keep = (total >= 2) & enough[of]
-            yield batch(
+            made.append(batch(
                 _STAT, p, int(enough.sum()), ctx=home[enough],
                 **{c: v[enough] for c, v in zip(("n", "k", "n1", "n2"), sums)},
-            )
+            ))
         else:
             keep = total >= 1
-        rank = np.cumsum(keep) - 1
-        kept = int(keep.sum())
+        rank = np.cumsum(keep) - 1 + before
         both = {"ctx": ctx[keep], "par": par[keep]} if depth else {}
-        yield batch(_GRAM, p, kept, id=gram[keep], n=total[keep], k=rank[keep], **both)
-        lists: dict = {}
+        made.append(batch(_GRAM, p, int(keep.sum()), id=gram[keep], n=total[keep], k=rank[keep], **both))
         at = 0
-        for block, _, _, par_, _, m, docs in rows:
-            size = len(par_) // 8
-            w, m, docs = which[at : at + size], u4(m), np.frombuffer(docs, dtype="<u2")
-            at += size
+        for block, _, _, _, m, docs in rows:
+            w = which[at : at + len(m)]
+            at += len(m)
             ok = keep[w]
-            lists.setdefault(block, []).append(
-                (rank[w[ok]].astype("<u4"), m[ok], docs[np.repeat(ok, m)])
-            )
-        for block, found in lists.items():
-            blobs = [np.concatenate([f[j] for f in found]).tobytes() for j in range(3)]
-            if blobs[0]:
-                yield batch(
-                    _LIST, p, 1, block=[block], entries=[blobs[0]], m=[blobs[1]], docs=[blobs[2]]
-                )
+            if ok.any():
+                lists.setdefault(block, []).append((rank[w[ok]].astype("<u4"), m[ok], docs[np.repeat(ok, m)]))
+        return made, before + int(keep.sum())
 
     return run
 
@@ -309,15 +391,22 @@ def _summer(values, lists):
     table = {}
     for name in ("score", "base", "known"):
         table[name] = np.zeros(size)
-        table[name][rank] = values.column(name).to_numpy()
+        if name in values.column_names:
+            table[name][rank] = values.column(name).to_numpy()
+        elif "base" in values.column_names:
+            table[name][rank] = 1  # words that are in the tree
+    used = [v.any() for v in table.values()]
     out: dict = {c.split()[0]: [] for c in _SUMS.split(", ")}
     for block, entries, m, docs in zip(*(lists.column(c).to_pylist() for c in ("block", "entries", "m", "docs"))):
-        entries, m = np.frombuffer(entries, dtype="<u4"), np.frombuffer(m, dtype="<u4")
-        docs = np.frombuffer(docs, dtype="<u2")
+        entries, m = _from_steps(entries, "<u4"), np.frombuffer(m, dtype="<u4")
+        docs = _from_steps(docs, "<u2")
         good = entries < size
         entries, docs, m = entries[good], docs[np.repeat(good, m)], m[good]
         entry = np.repeat(entries, m)
-        sums = [np.bincount(docs, weights=v[entry], minlength=BLOCK_DOCS) for v in table.values()]
+        sums = [
+            np.bincount(docs, weights=v[entry], minlength=BLOCK_DOCS) if some else np.zeros(BLOCK_DOCS)
+            for v, some in zip(table.values(), used)
+        ]
         some = np.flatnonzero((sums[0] != 0) | (sums[2] != 0))
         if not len(some):
             continue
@@ -365,6 +454,8 @@ class SuffixTree:
         self.scratch, self.depth, self.least = scratch, depth, least
         spark = docs.sparkSession
         small_batches(spark)
+        # Blobs make rows large: without it a batch holds all that a bucket gets.
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         text = text_or_empty()
         crc = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -385,7 +476,7 @@ class SuffixTree:
         source = self.docs.select(
             "block", "doc", (~F.col("held_out")).alias("train"), F.encode("text", "utf-8").alias("text")
         )
-        turns, task, made = (PARTS if depth in (1, 2) else 1), _counter(depth, self.least, hot), None
+        turns, task, made = (PARTS if depth in (1, 2) else 1), _counter(depth, self.buckets, self.least, hot), None
         for turn in range(turns):
             send = _sender(depth, self.buckets, hot, turn, turns, known)
             sent = source.mapInArrow(send, _SENT)
@@ -398,7 +489,7 @@ class SuffixTree:
     def _hot(self, grams: DataFrame, tokens: int) -> np.ndarray:
         """Contexts that occur so often that there can't be more than ``SPREAD`` of them."""
         heavy = grams.where((F.col("n") * SPREAD > tokens) & (F.col("n") >= self.least)).select("id").collect()
-        return np.array([r.id for r in heavy], dtype=np.int64).view(np.uint64)
+        return np.sort(np.array([r.id for r in heavy], dtype=np.int64).view(np.uint64))
 
     def scores(self) -> DataFrame:
         """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``,
@@ -421,7 +512,6 @@ class SuffixTree:
                 following = self._counted(depth, hot, known)
                 hot = self._hot(following.grams, tokens)
                 found, next_grams = self._grown(following, grams, may, d, depth)
-                scratch.drop(following.grams, following.stats)
             sums.append(self._summed(counted.lists, grams, found, depth == 1))
             scratch.drop(counted.lists, grams, *([states] if states is not None else []))
             counted, grams, states = following, next_grams, found
@@ -452,6 +542,7 @@ class SuffixTree:
         grams = counted.grams.select("p", "id", "ctx", "par", "n", "k")
         # Contexts that came through the filter by chance have a suffix that is no state.
         grams = scratch.write(grams.join(of_suffix, "par"), f"symbols-{depth}")
+        scratch.drop(counted.grams, counted.stats)
         n, big, q, lam = F.col("n"), F.col("big"), F.col("q"), F.col("lam")
         left_out = n * F.log(((n - 1 - d) / (big - 1) + lam * q) / q)
         often = grams.where("n >= 3").join(stats, "ctx")
@@ -479,11 +570,9 @@ class SuffixTree:
         if longer is not None:
             grams = grams.join(longer.select("id", F.log10("lam").alias("w")), "id", "left")
             weight = F.coalesce("w", F.lit(0.0))
-        # Only the root's terms make up the score without a tree.
-        values = grams.select(
-            "p", "k", (F.col("g") + weight).alias("score"), F.when(F.lit(first), F.col("g")).otherwise(0.0).cast("double").alias("base"),
-            F.lit(1.0 if first else 0.0).alias("known"),
-        )
+        values = grams.select("p", "k", (F.col("g") + weight).alias("score"), *(["g"] if first else []))
+        # Only the root's terms make up the score without a tree; later ones of zero add nothing.
+        values = values.withColumnRenamed("g", "base") if first else values.where("score != 0")
         lists = lists.select(F.col("p").alias("at"), "block", "entries", "m", "docs")
         pairs = values.groupBy("p").cogroup(lists.groupBy("at"))
         return self.scratch.write(pairs.applyInArrow(_summer, _SUMS), "sums")

@@ -1,9 +1,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +143,40 @@ def test_held_out_documents_gain(spark, words):
     rows = corpus(words, 400)
     got = [r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
     assert sum(r.score for r in got) > 0.85 * sum(r.base_score for r in got)
+
+
+def test_buckets_are_counted_in_slices(spark, words, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "SLICE", 16)
+    monkeypatch.setattr(suffix_tree, "BATCH_BYTES", 640)
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 2000)
+    rows = [(i, "the " + t.replace(" ", " the ", 2)) for i, t in corpus(words, 120)]
+    want, _ = plain_scores(rows, 3, 4)
+    same(score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 4).collect(), want)
+
+
+def test_a_bucket_takes_little_more_than_was_sent():
+    """One bucket with eight blocks of pairs that are nearly all different."""
+    rng, none = random.Random(7), np.zeros(0, dtype=np.uint64)
+    sent = []
+    for block in range(8):
+        texts = [" ".join(str(rng.randrange(3000)) for _ in range(1000)).encode() for _ in range(80)]
+        columns = [[block] * 80, list(range(80)), [True] * 80, texts]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "doc", "train", "text"])
+        sent += suffix_tree._sender(1, 1, none, 0, 1, None)([batch])
+    size, most, found = sum(b.nbytes for b in sent), 0, Counter()
+    tracemalloc.start()
+    for batch in suffix_tree._counter(1, 1, 8, none)(iter(sent)):
+        most = max(most, batch.nbytes)
+        found.update(batch.column(0).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[suffix_tree._LIST] == 8
+    assert size > 10e6 and peak < 4 * size
+    assert most < 4 * suffix_tree.BATCH_BYTES
+
+
+def test_order_keeps_equal_sequences_together():
+    gram = np.array([5, 9, 5, 9, 2, 5, 7], dtype=np.uint64)
+    key = np.array([3, 3, 3, 3, 8, 3, 1], dtype=np.uint64)
+    got = gram[suffix_tree._ordered(gram, key)].tolist()
+    assert got == [7, 5, 5, 5, 9, 9, 2]
