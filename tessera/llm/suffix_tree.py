@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches, text_or_empty
-from tessera.llm.words import mix, span_hashes
+from tessera.llm.words import BASES, mix, span_hashes
 from tessera.scratch import Scratch, lookup_table
 
 DEPTH = 3
@@ -41,6 +41,9 @@ BLOCK_BYTES = 8 << 20
 """Documents and bytes of text that a task sorts together (one text at least)."""
 SLICE = 1 << 18
 """Sequences, as sent, that a bucket's task counts at a time (one context at least)."""
+GROUP_BYTES = 1 << 17
+"""Bytes of text that are cut into words together (one text at least): their arrays stay small
+enough for a processor's cache."""
 BATCH_BYTES = 1 << 20
 """Bytes of an Arrow batch of counts and lists (one row at least)."""
 PARTS = 2
@@ -53,31 +56,60 @@ END = np.uint64(0x6A09E667F3BCC909)
 
 _LOW = np.uint64((1 << 32) - 1)
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_SPACE = bytes(b in b" \t\n\v\f\r" for b in range(256))
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+"""What keeps the first bytes of eight."""
 _SENT = "bucket int, block long, ctx binary, runs binary, par binary, n binary, m binary, docs binary"
 _COUNTED = (
     "kind int, p int, id long, ctx long, par long, n long, k long, n1 long, n2 long, "
     "block long, entries binary, m binary, docs binary"
 )
-_GRAM, _STAT, _LIST = 0, 1, 2
+_GRAM, _STAT, _LIST, _SIZE = 0, 1, 2, 3
 _SUMS = "block long, docs binary, score binary, base binary, known binary"
 
 
 def text_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words of each text, its end after them, and how many symbols each has."""
-    raw = _LOWER[np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)]
-    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    space = _SPACE[raw]
+    made, first, size = [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= GROUP_BYTES or i + 1 == len(texts):
+            made.append(_group_symbols(texts[first : i + 1]))
+            first, size = i + 1, 0
+    ids, lengths = (np.concatenate(a) for a in zip(*made))
+    return ids, lengths
+
+
+def _word_ids(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of ``raw``, eight bytes at a time; those beyond 64 bytes by ``span_hashes``.
+    Eight more bytes follow the last span."""
+    eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    sizes = ends - starts
+    made = eight[starts] & _FIRST[np.minimum(sizes, 8)]
+    made = mix(mix(made + sizes.astype(np.uint64) * np.uint64(BASES[0])))
+    at = np.flatnonzero(sizes > 8)
+    for done in range(8, 64, 8):
+        more = eight[starts[at] + done] & _FIRST[np.minimum(sizes[at] - done, 8)]
+        made[at] = mix(mix(made[at] + more))
+        at = at[sizes[at] > done + 8]
+        if not len(at):
+            return made
+    made[at] = span_hashes(np.frombuffer(raw, dtype=np.uint8), starts[at], ends[at])
+    return made
+
+
+def _group_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    raw = (b" " + b" ".join(texts) + b" " * 9).translate(_LOWER)
+    space = np.frombuffer(raw.translate(_SPACE), dtype=bool)
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
-    words = span_hashes(raw, starts, ends)
-    of = np.searchsorted(1 + np.cumsum(sizes) - sizes, starts, side="right") - 1
-    lengths = np.bincount(of, minlength=len(texts)) + 1
-    ids = np.full(len(words) + len(texts), END, dtype=np.uint64)
-    ids[np.arange(len(words)) + of] = words
+    after = 1 + np.cumsum([len(t) + 1 for t in texts])
+    lengths = np.diff(np.searchsorted(starts, after), prepend=0) + 1
+    ids = np.full(len(starts) + len(texts), END, dtype=np.uint64)
+    word = np.ones(len(ids), dtype=bool)
+    word[np.cumsum(lengths) - 1] = False
+    ids[word] = _word_ids(raw, starts, ends)
     return ids, lengths
 
 
@@ -89,13 +121,16 @@ def joined(ctx: np.ndarray, par: np.ndarray) -> np.ndarray:
 def _sequences(ids: np.ndarray, lengths: np.ndarray, depth: int):
     """For each symbol with ``depth`` words before it in its text: its place, the id of these
     words, and that of the words but the first with the symbol."""
+    if not depth:
+        return np.arange(len(ids)), ids, ids
     first = np.cumsum(lengths) - lengths
-    place = np.arange(len(ids)) - np.repeat(first, lengths)
+    far = np.ones(len(ids), dtype=bool)
+    for d in range(depth):
+        far[first[lengths > d] + d] = False
     made = ids
     for _ in range(depth - 1):
         made = np.concatenate([made[:1], joined(made[:-1], made[1:])])
-    at = np.flatnonzero(place >= depth)
-    return at, (made[at - 1] if depth else made[at]), made[at]
+    return np.flatnonzero(far), made[:-1][far[1:]], made[far]
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -125,10 +160,37 @@ def _keyed(ctx: np.ndarray, par: np.ndarray, depth: int, hot: np.ndarray):
     return gram, (upper & ~_LOW) | (gram & _LOW)
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """The order of a stable sort.  Keys are sorted together with their places, which numpy
+    does much faster than it finds an order; the few whose lowest bits had to give way to the
+    places are then put right."""
+    if len(key) < 2:
+        return np.arange(len(key))
+    least, bits = key.min(), (len(key) - 1).bit_length()
+    lost = max(0, int(key.max() - least).bit_length() + bits - 64)
+    made = key - least
+    made >>= np.uint64(lost)
+    made <<= np.uint64(bits)
+    made |= np.arange(len(key), dtype=np.uint64)
+    made.sort()
+    order = (made & np.uint64((1 << bits) - 1)).astype(np.int64)
+    if lost:
+        k = key[order]
+        wrong = np.flatnonzero(k[1:] < k[:-1])
+        if len(wrong):
+            made >>= np.uint64(bits)
+            of = np.cumsum(np.concatenate([[False], made[1:] != made[:-1]]), dtype=np.int32)
+            mixed = np.zeros(of[-1] + 1, dtype=bool)
+            mixed[of[wrong]] = True
+            at = np.flatnonzero(mixed[of])
+            order[at] = order[at][np.argsort(k[at], kind="stable")]
+    return order
+
+
 def _ordered(gram: np.ndarray, key: np.ndarray) -> np.ndarray:
     """An order by key in which equal sequences are neighbours, also where keys are equal by
     chance."""
-    order = np.argsort(key, kind="stable")
+    order = _order(key)
     g, k = gram[order], key[order]
     mixed = np.flatnonzero((k[1:] == k[:-1]) & (g[1:] != g[:-1]))
     if len(mixed):
@@ -216,6 +278,10 @@ def _sender(depth: int, buckets: int, hot: np.ndarray, turn: int, turns: int, kn
 
     def block_rows(block, texts, docs, train):
         ids, lengths = text_symbols(texts)
+        if not depth:
+            # How many symbols each document has, for the bucket that its block falls into.
+            sizes = lengths.astype("<u4").tobytes()
+            yield [block % buckets, block, b"", b"", b"", b"", sizes, _steps(np.array(docs, dtype=np.uint16))]
         at, ctx, par = _sequences(ids, lengths, depth)
         del ids
         if known is not None:
@@ -228,14 +294,15 @@ def _sender(depth: int, buckets: int, hot: np.ndarray, turn: int, turns: int, kn
         if not len(at):
             return
         # In the order of the texts where keys are equal, so that the documents ascend.
-        order = np.argsort(key, kind="stable")
+        order = _order(key)
         ctx, par, at, bucket = ctx[order], par[order], at[order], _bucket(key[order], buckets)
         del key, order
         new = (ctx[1:] != ctx[:-1]) | (par[1:] != par[:-1])
         start = np.flatnonzero(np.concatenate([[True], new]))
-        doc = np.repeat(np.array(docs, dtype=np.uint16), lengths)[at]
-        taught = np.repeat(np.array(train, dtype=bool), lengths)[at]
-        n = np.add.reduceat(taught, start, dtype=np.uint32)
+        doc = np.array(docs, dtype=np.uint16) * np.uint16(2) + np.array(train, dtype=np.uint16)
+        doc = np.repeat(doc, lengths)[at]
+        n = np.add.reduceat(doc & np.uint16(1), start, dtype=np.uint32)
+        doc >>= np.uint16(1)
         ends = np.append(start, len(at))
         m = np.diff(ends)
         ctx, par, bucket = ctx[start], par[start], bucket[start]
@@ -317,6 +384,13 @@ def _counter(depth: int, buckets: int, least: int, spread: np.ndarray):
         ]
 
     def counted(p, rows):
+        if not depth:
+            # Words have ids; what has none tells how many symbols the documents of a block have.
+            sizes = ((r[0], np.frombuffer(r[5], dtype="<u4").astype("<f8"), _from_steps(r[6], "<u2")) for r in rows if not r[3])
+            yield from _in_batches(
+                ([_SIZE, p, *[None] * 7, block, None, m.tobytes(), docs.tobytes()] for block, m, docs in sizes), kinds, names
+            )
+            rows = [r for r in rows if r[3]]
         slices = 1 + sum(len(r[3]) for r in rows) // (8 * SLICE)
         rows = [cut(r, slices) for r in rows]
         lists: dict = {}
@@ -349,7 +423,7 @@ def _counter(depth: int, buckets: int, least: int, spread: np.ndarray):
         del key, order, pick, n
         made = []
         if depth:
-            by = np.argsort(ctx, kind="stable")
+            by = _order(ctx)
             first = _starts(ctx[by])
             of = np.empty(len(ctx), dtype=np.int64)
             of[by] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ctx))))
@@ -426,7 +500,7 @@ def _adder(batches):
     for batch in batches:
         for block, docs, *sums in zip(*(c.to_pylist() for c in batch.columns)):
             docs = np.frombuffer(docs, dtype="<u2")
-            into = total.setdefault(block, np.zeros((3, BLOCK_DOCS)))
+            into = total.setdefault(block, np.zeros((4, BLOCK_DOCS)))
             for row, s in zip(into, sums):
                 if s:
                     row[docs] += np.frombuffer(s, dtype="<f8")
@@ -434,16 +508,18 @@ def _adder(batches):
         some = np.flatnonzero(sums.any(axis=0)).astype(np.int32)
         columns = [np.full(len(some), block), some, *(s[some] for s in sums)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in columns], names=["block", "doc", "score", "base", "known"]
+            [pa.array(c) for c in columns], names=["block", "doc", "score", "base", "known", "symbols"]
         )
 
 
 class _Counted(NamedTuple):
-    """Tables of one depth: counts of sequences, of contexts, and which documents hold them."""
+    """Tables of one depth: counts of sequences, of contexts, and which documents hold them; of
+    depth zero, how many symbols the documents have."""
 
     grams: DataFrame
     stats: DataFrame
     lists: DataFrame
+    sizes: DataFrame | None = None
 
 
 class SuffixTree:
@@ -474,7 +550,7 @@ class SuffixTree:
 
     def _counted(self, depth: int, hot: np.ndarray, known=None) -> _Counted:
         source = self.docs.select(
-            "block", "doc", (~F.col("held_out")).alias("train"), F.encode("text", "utf-8").alias("text")
+            "block", "doc", (~F.col("held_out")).alias("train"), F.col("text").cast("binary").alias("text")
         )
         turns, task, made = (PARTS if depth in (1, 2) else 1), _counter(depth, self.buckets, self.least, hot), None
         for turn in range(turns):
@@ -482,7 +558,8 @@ class SuffixTree:
             sent = source.mapInArrow(send, _SENT)
             mine = sent.repartitionById(-(-self.buckets // turns), F.expr(f"bucket div {turns}").cast("int"))
             mine = self.scratch.write(mine.mapInArrow(task, _COUNTED), f"counted-{depth}", by="kind")
-            parts = [self.scratch.part(mine, "kind", k) for k in (_GRAM, _STAT, _LIST)]
+            kinds = (_GRAM, _STAT, _LIST) if depth else (_GRAM, _STAT, _LIST, _SIZE)
+            parts = [self.scratch.part(mine, "kind", k) for k in kinds]
             made = parts if made is None else [a.union(b) for a, b in zip(made, parts)]
         return _Counted(*made)
 
@@ -496,7 +573,7 @@ class SuffixTree:
         ``score`` of every row."""
         scratch, d = self.scratch, F.lit(DISCOUNT)
         counted = self._counted(0, np.zeros(0, dtype=np.uint64))
-        words = counted.grams
+        words, sizes = counted.grams, counted.sizes
         size = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         tokens, below = size[0], size[0] + 0.5 * (size[1] + 1)
         # prob: in the tree so far; g: what it adds to the score that the shorter context gives.
@@ -515,7 +592,7 @@ class SuffixTree:
             sums.append(self._summed(counted.lists, grams, found, depth == 1))
             scratch.drop(counted.lists, grams, *([states] if states is not None else []))
             counted, grams, states = following, next_grams, found
-        return self._result(sums, tokens, below)
+        return self._result(sums, sizes, tokens, below)
 
     def _contexts(self, grams: DataFrame, states) -> DataFrame:
         """The sequences that are examined as contexts: often enough, the suffix a state."""
@@ -577,15 +654,14 @@ class SuffixTree:
         pairs = values.groupBy("p").cogroup(lists.groupBy("at"))
         return self.scratch.write(pairs.applyInArrow(_summer, _SUMS), "sums")
 
-    def _result(self, sums: list[DataFrame], tokens: int, below: float) -> DataFrame:
-        every = sums[0]
-        for more in sums[1:]:
-            every = every.union(more)
-        schema = "block long, doc int, score double, base double, known double"
+    def _result(self, sums: list[DataFrame], sizes: DataFrame, tokens: int, below: float) -> DataFrame:
+        every = sizes.select("block", "docs", F.col("m").alias("symbols"))
+        for more in sums:
+            every = more.unionByName(every, allowMissingColumns=True)
+        schema = "block long, doc int, score double, base double, known double, symbols double"
         added = every.repartition(self.buckets, "block").mapInArrow(_adder, schema)
-        n_tokens = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
-        rows = self.docs.select("doc_id", "held_out", "block", "doc", n_tokens.alias("n_tokens"))
-        made = rows.join(added, ["block", "doc"], "left")
+        rows = self.docs.select("doc_id", "held_out", "block", "doc")
+        made = rows.join(added, ["block", "doc"], "left").withColumn("n_tokens", F.col("symbols").cast("long"))
         known = F.coalesce(F.col("known"), F.lit(0.0)).cast("long")
         new = (F.col("n_tokens") - known) * F.log10(F.lit(0.5 / below))
         return made.select(

@@ -180,3 +180,35 @@ def test_order_keeps_equal_sequences_together():
     key = np.array([3, 3, 3, 3, 8, 3, 1], dtype=np.uint64)
     got = gram[suffix_tree._ordered(gram, key)].tolist()
     assert got == [7, 5, 5, 5, 9, 9, 2]
+
+
+def test_texts_are_not_read_again_for_their_lengths(spark, words, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(corpus(words, 60), "doc_id long, text string").repartition(3).write.parquet(path)
+    got = score_documents(spark.read.parquet(path), scan=True)
+    read = re.findall(r"ReadSchema: struct<(.*?)>", got._jdf.queryExecution().executedPlan().toString())
+    assert any("doc_id" in r for r in read) and not any("text" in r for r in read)
+
+
+def test_order_is_that_of_a_stable_sort():
+    rng = random.Random(5)
+    for size in (0, 1, 2, 300):
+        for bits in (3, 40, 64):
+            key = np.array([rng.getrandbits(bits) for _ in range(size)], dtype=np.uint64)
+            assert suffix_tree._order(key).tolist() == np.argsort(key, kind="stable").tolist()
+    # What differs in the lowest bits only, where the places go.
+    key = np.array([(rng.getrandbits(2) << 62) | rng.getrandbits(6) for _ in range(500)], dtype=np.uint64)
+    assert suffix_tree._order(key).tolist() == np.argsort(key, kind="stable").tolist()
+
+
+@pytest.mark.parametrize("group", [1, 60, 1 << 17])
+def test_symbols_of_texts(group, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "GROUP_BYTES", group)
+    long = "abcdefgh" * 8
+    texts = ["", " \t\n", "A\x00 a a\x00\x00 \x1c\xa0 a", f"{long} {long}X {long}x {long[:-1]}", long * 9 + " " + long * 9 + "y", "É é"]
+    texts += [" ".join("abcdefghijklmnopqr"[:n] for n in range(1, 19))]
+    ids, lengths = suffix_tree.text_symbols([t.encode() for t in texts])
+    want = [s for t in texts for s in symbols(t)]
+    assert lengths.tolist() == [len(symbols(t)) for t in texts]
+    found = dict(zip(want, ids.tolist()))
+    assert [found[w] for w in want] == ids.tolist() and len(set(found.values())) == len(found)
